@@ -40,7 +40,7 @@ def adjacent_sentences(t: Tables):
     "SELECT doc_id, cui, sty, pref, str, start_pos, end_pos FROM tmentions",
 )
 def dictionary_annotate(t: Tables):
-    return t.text_mentions.select("doc_id", "cui", "sty", "pref", "str", long("start_pos"), long("end_pos"))
+    return t.tag_text().select("doc_id", "cui", "sty", "pref", "str", long("start_pos"), long("end_pos"))
 
 
 INDEXED = """idx AS (SELECT m.doc_id, m.cui, m.str, m.start_pos, m.end_pos, m.negation, m.temporality, m.experiencer, min(s.sent_no) AS i

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ TEXT_WINDOW = 150
 HEAD_WINDOW = 200
 SNIPPET_WINDOW = 20
 
+# characters looked at per token before the whole text is read
+TOKEN_REACH = 30
+
 SENTENCE = r"[^.\n\s][^.\n]*\.?"
 WORD = r"[A-Za-z0-9]+"
 
@@ -24,6 +29,14 @@ def _int(value: int | Column) -> Column:
     return F.lit(value) if isinstance(value, int) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once.
+
+    An expression used inside a lambda would otherwise be worked out again for every element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def slice_text(text: str | Column, start: int | Column, end: int | Column) -> Column:
     """Characters start..end of the text."""
     s = F.greatest(_int(start), F.lit(0))
@@ -117,17 +130,38 @@ def clean_tokens(text: str | Column) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(*STOP_WORDS))
 
 
+def _blank_tokens(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda t: t != "")
+
+
+def last_items(tokenize: Callable[[Column], Column], text: str | Column, start: int | Column, n: int) -> Column:
+    """The last n tokens before a position.
+
+    A short stretch is looked at first. It settles the answer if it holds one token more than
+    asked for, as only its first token can be cut; otherwise the whole text before is read.
+    """
+    reach = TOKEN_REACH * (n + 1)
+    near, whole = tokenize(before(text, start, reach)), tokenize(slice_text(text, 0, start))
+    tail = lambda a: F.slice(a, F.greatest(F.size(a) - n, F.lit(0)) + 1, F.lit(n))
+    return F.when((F.size(near) > n) | (_int(start) <= reach), tail(near)).otherwise(tail(whole))
+
+
+def first_items(tokenize: Callable[[Column], Column], text: str | Column, end: int | Column, n: int) -> Column:
+    """The first n tokens from a position on, by the same way as :func:`last_items`."""
+    reach = TOKEN_REACH * (n + 1)
+    near = tokenize(after(text, end, reach))
+    whole = tokenize(F.substring(_col(text), _int(end) + 1, F.length(_col(text))))
+    return F.when(F.size(near) > n, F.slice(near, 1, n)).otherwise(F.slice(whole, 1, n))
+
+
 def tokens_before(text: str | Column, start: int | Column, n: int) -> Column:
     """The last n blank-separated tokens before a position."""
-    head = F.filter(F.split(slice_text(text, 0, start), r"\s+"), lambda t: t != "")
-    return F.slice(head, F.greatest(F.size(head) - n, F.lit(0)) + 1, F.lit(n))
+    return last_items(_blank_tokens, text, start, n)
 
 
 def tokens_after(text: str | Column, end: int | Column, n: int) -> Column:
     """The first n blank-separated tokens from a position on."""
-    rest = F.substring(_col(text), _int(end) + 1, F.length(_col(text)))
-    tail = F.filter(F.split(rest, r"\s+"), lambda t: t != "")
-    return F.slice(tail, 1, n)
+    return first_items(_blank_tokens, text, end, n)
 
 
 def first_number(text: str | Column, end: int | Column, max_distance: int = 15) -> Column:
@@ -242,7 +276,14 @@ def occurrences(text: str | Column, surface: str | Column) -> Column:
 
     every = F.aggregate(gaps, begin, step, lambda acc: acc["out"])
     # the piece behind the last match is not followed by one
-    return F.slice(every, F.lit(1), F.size(every) - 1)
+    return let(every, lambda found: F.slice(found, F.lit(1), F.size(found) - 1))
+
+
+def nearest(positions: Column, wanted: Column) -> Column:
+    """The position nearest to the wanted one, the smaller of two; null for no positions."""
+    return F.array_min(
+        F.transform(positions, lambda p: F.struct(F.abs(p - wanted).alias("dist"), p.alias("pos")))
+    )["pos"]
 
 
 def relocate(text: str | Column, start: int | Column, end: int | Column, surface: str | Column) -> Column:
@@ -252,22 +293,19 @@ def relocate(text: str | Column, start: int | Column, end: int | Column, surface
     occurrences at the same distance the first is taken.
     """
     t, s, e, surf = _col(text), _int(start), _int(end), _col(surface)
-    near = F.array_min(
-        F.transform(
-            occurrences(t, surf),
-            lambda p: F.struct(F.abs(p - s).alias("dist"), p.alias("pos")),
-        )
-    )["pos"]
-    moved = F.when(slice_text(t, s, e) == surf, s).otherwise(F.coalesce(near, s))
-    width = F.when((slice_text(t, s, e) == surf) | near.isNull(), e - s).otherwise(F.length(surf))
-    return F.struct(moved.alias("start"), (moved + width).alias("end"))
+    stay = F.struct(s.alias("start"), e.alias("end"))
+    to = let(
+        nearest(occurrences(t, surf), s),
+        lambda p: F.struct(F.coalesce(p, s).alias("start"), F.when(p.isNull(), e).otherwise(p + F.length(surf)).alias("end")),
+    )
+    return F.when(slice_text(t, s, e) == surf, stay).otherwise(to)
 
 
 def repair_quotes(json_text: str | Column) -> Column:
     """Escape bare double quotes inside the text features of an annotation JSON string."""
     t = _col(json_text)
     # a feature value runs up to the first  ","  or  "}  or  ", "  that follows it
-    pattern = r'(string_orig":"|pref": "|PREF":"|str": ")((?:(?!","|"\}|", ").)*)(?=","|"\}|", ")'
+    pattern = r'(string_orig":"|pref": "|PREF":"|str": ")(.*?)(?=","|"\}|", ")'
     gaps = F.split(t, pattern, -1)
     heads = F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
     values = F.regexp_extract_all(t, F.lit(pattern), F.lit(2))
@@ -303,10 +341,6 @@ def padded_window(codes: Column, size: int, pad: int = 0) -> Column:
 
 def collapse_runs(tags: Column) -> Column:
     """Array with repeated neighbours taken once."""
-    return F.aggregate(
-        tags,
-        F.array().cast("array<string>"),
-        lambda acc, tag: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1) == tag), acc
-        ).otherwise(F.concat(acc, F.array(tag))),
-    )
+    before = F.concat(F.array(F.lit(None).cast("string")), tags)
+    marked = F.zip_with(tags, before, lambda tag, prev: F.when(prev.isNull() | (tag != prev), tag))
+    return F.filter(marked, lambda tag: tag.isNotNull())

@@ -24,24 +24,48 @@ TAIL_TAGS = ["PUNCT", "SPACE"]
 CONTENT_TAGS = ["VERB", "NOUN", "PROPN"]
 
 
-def tagged_sentences(docs: DataFrame, tags: DataFrame, *, default: str = "NOUN") -> DataFrame:
-    """Sentences with their words as an array of pos, start, end, word and tag.
+def tagged_sentences(docs: DataFrame, tags: DataFrame, *, only: DataFrame | None = None, default: str = "NOUN") -> DataFrame:
+    """Sentences with their words, tags and offsets as arrays, and the positions of stops, verbs and runs.
 
-    ``tags(token, tag)`` is any token to tag table; words it lacks get the default. The array of
+    ``tags(token, tag)`` is any token to tag table; words it lacks get the default. ``only`` names
+    the sentences to tag, by ``(doc_id, sent_no)``. The array of
     one sentence is collected, never that of a document.
     """
-    words = textmine.tokens(docs).select("doc_id", "sent_no", "tok_no", "start_pos", "end_pos", "token")
+    sents = textmine.sentences(docs)
+    if only is not None:
+        sents = sents.join(only, ["doc_id", "sent_no"], "left_semi")
+    words = textmine.sentence_tokens(sents)
     named = words.join(
         scale.bounded_broadcast(tags.select(F.col("token").alias("_t"), "tag")), F.lower("token") == F.col("_t"), "left"
     )
     item = F.struct("tok_no", "start_pos", "end_pos", "token", F.coalesce("tag", F.lit(default)).alias("tag"))
-    return named.groupBy("doc_id", "sent_no").agg(F.sort_array(F.collect_list(item)).alias("words"))
+    rows = named.groupBy("doc_id", "sent_no").agg(F.sort_array(F.collect_list(item)).alias("words"))
+    tag_list = F.transform("words", lambda w: w["tag"])
+    before = F.concat(F.array(F.lit(None).cast("string")), tag_list)
+    # a run starts where the tag differs from the one before; the last pair has no tag
+    runs = F.filter(F.zip_with(tag_list, before, lambda t, p: F.when(p.isNull() | (t != p), t)), lambda t: t.isNotNull())
+    starts = _positions(F.zip_with(tag_list, before, lambda t, p: F.coalesce(t.isNotNull() & (p.isNull() | (t != p)), F.lit(False))))
+    return rows.select(
+        "doc_id",
+        "sent_no",
+        tag_list.alias("tags"),
+        F.transform("words", lambda w: w["token"]).alias("toks"),
+        F.transform("words", lambda w: w["start_pos"]).alias("starts"),
+        F.transform("words", lambda w: w["end_pos"]).alias("ends"),
+        _positions(F.transform("words", lambda w: w["tag"].isin(*STOP_TAGS))).alias("stops"),
+        _positions(F.transform("words", lambda w: w["tag"] == "VERB")).alias("verbs"),
+        runs.alias("run_tags"),
+        starts.alias("run_starts"),
+    )
+
+
+def _positions(flags: Column) -> Column:
+    """Indexes of the true items."""
+    return F.filter(F.transform(flags, lambda f, i: F.when(f, i)), lambda i: i.isNotNull())
 
 
-def _last_index(flags: Column, upto: Column) -> Column:
-    """Last index below ``upto`` whose flag is set, or -1."""
-    marked = F.transform(F.slice(flags, F.lit(1), upto), lambda f, i: F.when(f, i).otherwise(-1))
-    return F.coalesce(F.array_max(marked), F.lit(-1))
+def _count_below(values: Column | str, limit: Column) -> Column:
+    return F.size(F.filter(values, lambda v: v < limit))
 
 
 def pattern_features(mentions: DataFrame, docs: DataFrame, tags: DataFrame) -> DataFrame:
@@ -50,49 +74,53 @@ def pattern_features(mentions: DataFrame, docs: DataFrame, tags: DataFrame) -> D
     ``pattern`` is the collapsed tag sequence of the words around the mention up to the next stop
     tag on both sides, ``variant`` the other words of that stretch, ``sent_pattern`` the tags
     before the mention back to the verb and ``sent_text`` the content words among them.
-    ``full_pattern`` is the collapsed tag sequence of the whole sentence.
+    ``full_pattern`` is the collapsed tag sequence of the whole sentence. What belongs to the
+    sentence alone is worked out once per sentence and not per mention.
     """
-    spans = textmine.sentences(docs).select("doc_id", "sent_no", "sent_start", "sent_end")
-    placed = mentions.join(spans, "doc_id").where(
-        (F.col("start_pos") >= F.col("sent_start")) & (F.col("end_pos") <= F.col("sent_end"))
-    )
-    rows = placed.join(tagged_sentences(docs, tags), ["doc_id", "sent_no"])
-    inside = lambda w: (w["start_pos"] >= F.col("start_pos")) & (w["end_pos"] <= F.col("end_pos"))
-    rows = rows.withColumn("_tags", F.transform("words", lambda w: F.when(inside(w), MARK).otherwise(w["tag"])))
-    rows = rows.withColumn("_first", F.array_position("_tags", MARK).cast("int") - 1).where("_first >= 0")
-    n = F.size("_tags")
-    marks = F.size(F.filter("_tags", lambda t: t == MARK))
-    rows = rows.withColumn("_stops", F.transform("_tags", lambda t: t.isin(*STOP_TAGS)))
-    rows = rows.withColumn("_from", _last_index(F.col("_stops"), F.col("_first")) + 1)
-    behind = F.slice("_stops", F.col("_first") + 1, n)
-    to = F.array_position(behind, F.lit(True)).cast("int")
-    rows = rows.withColumn("_to", F.when(to > 0, F.col("_first") + to - 1).otherwise(n))
-
-    stretch = F.slice("_tags", F.col("_from") + 1, F.col("_to") - F.col("_from"))
-    left = F.slice("words", F.col("_from") + 1, F.col("_first") - F.col("_from"))
-    right = F.slice("words", F.col("_first") + marks + 1, F.greatest(F.col("_to") - F.col("_first") - marks, F.lit(0)))
-    left_text = F.array_join(F.transform(left, lambda w: w["token"]), " ")
-    right_text = F.array_join(F.transform(right, lambda w: w["token"]), " ")
-    variant = F.concat_ws(
-        f" {GAP} ", F.nullif(left_text, F.lit("")), F.nullif(right_text, F.lit(""))
-    )
+    placed = textmine.place_in_sentences(mentions, docs)
+    held = placed.select("doc_id", "sent_no").distinct()
+    rows = placed.join(tagged_sentences(docs, tags, only=held), ["doc_id", "sent_no"])
+    size = F.size("tags")
+    rows = rows.withColumn("_first", _count_below("starts", F.col("start_pos")))
+    rows = rows.withColumn("_next", _count_below("ends", F.col("end_pos") + 1)).where("_next > _first")
+    first, follow = F.col("_first"), F.col("_next")
+    rows = rows.withColumn(
+        "_from", F.coalesce(F.array_max(F.filter("stops", lambda p: p < first)), F.lit(-1)) + 1
+    ).withColumn("_to", F.coalesce(F.array_min(F.filter("stops", lambda p: p >= follow)), size))
+    begin, stop = F.col("_from"), F.col("_to")
+
+    mark = F.array(F.lit(MARK))
+    left, right = (begin, first - begin), (follow, stop - follow)
+    stretch = F.concat(F.slice("tags", left[0] + 1, left[1]), mark, F.slice("tags", right[0] + 1, right[1]))
+    left_text = F.array_join(F.slice("toks", left[0] + 1, left[1]), " ")
+    right_text = F.array_join(F.slice("toks", right[0] + 1, right[1]), " ")
+    variant = F.concat_ws(f" {GAP} ", F.nullif(left_text, F.lit("")), F.nullif(right_text, F.lit("")))
 
     # words before the mention, nearest first, up to and with the first verb
-    back = F.reverse(F.slice("words", F.lit(1), F.col("_first")))
-    verb = F.array_position(F.transform(back, lambda w: w["tag"]), "VERB").cast("int")
-    path = F.when(verb > 0, F.slice(back, F.lit(1), verb)).otherwise(back)
-    content = F.filter(path, lambda w: w["tag"].isin(*CONTENT_TAGS))
+    verb = F.coalesce(F.array_max(F.filter("verbs", lambda p: p < first)), F.lit(0))
+    path_tags = F.reverse(F.slice("tags", verb + 1, first - verb))
+    path_toks = F.reverse(F.slice("toks", verb + 1, first - verb))
+    content = F.filter(
+        F.zip_with(path_toks, path_tags, lambda w, t: F.when(t.isin(*CONTENT_TAGS), w)), lambda w: w.isNotNull()
+    )
 
-    whole = tx.collapse_runs(F.col("_tags"))
-    kept = _last_index(F.transform(whole, lambda t: ~t.isin(*TAIL_TAGS)), F.size(whole)) + 1
+    # runs that start before the mention, and runs that end behind it
+    n_before = _count_below("run_starts", first)
+    n_gone = _count_below("run_starts", follow + 1)
+    # the run that holds the word behind the mention is kept
+    rest = F.when(follow < size, F.slice("run_tags", F.greatest(n_gone, F.lit(1)), F.size("run_tags"))).otherwise(
+        F.array().cast("array<string>")
+    )
+    whole = F.array_join(F.concat(F.slice("run_tags", F.lit(1), n_before), mark, rest), STEP)
+    tail = "|".join(TAIL_TAGS)
     return rows.select(
-        *mentions.columns,
+        *[c for c in mentions.columns if c != "sent_no"],
         "sent_no",
         F.array_join(tx.collapse_runs(stretch), STEP).alias("pattern"),
         variant.alias("variant"),
-        F.array_join(F.transform(path, lambda w: w["tag"]), BACK_STEP).alias("sent_pattern"),
-        F.array_join(F.transform(content, lambda w: w["token"]), " ").alias("sent_text"),
-        F.array_join(F.slice(whole, F.lit(1), kept), STEP).alias("full_pattern"),
+        F.array_join(path_tags, BACK_STEP).alias("sent_pattern"),
+        F.array_join(content, " ").alias("sent_text"),
+        F.regexp_replace(whole, rf"(?:{STEP}(?:{tail}))+$", "").alias("full_pattern"),
     )
 
 

@@ -43,54 +43,100 @@ def adjacent_sentences(docs: DataFrame) -> DataFrame:
     )
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """One row per word with its offsets in the document."""
-    s = sentences(docs)
-    one = s.select("doc_id", "sent_no", "sent_start", F.posexplode(tx.word_spans("sent_text")).alias("tok_no", "w"))
+# words per stretch; a sentence without any full stop can hold a whole document
+STRETCH_WORDS = 32
+
+
+def _stretches(text: Column) -> Column:
+    """Runs of at most STRETCH_WORDS words with their offsets."""
+    return tx.find_spans(text, rf"{tx.WORD}(?:[^A-Za-z0-9]+{tx.WORD}){{0,{STRETCH_WORDS - 1}}}")
+
+
+def sentence_tokens(sents: DataFrame) -> DataFrame:
+    """One row per word of the sentences with its offsets in the document."""
+    runs = sents.select("doc_id", "sent_no", "sent_start", F.posexplode(_stretches(F.col("sent_text"))).alias("r", "run"))
+    one = runs.select("doc_id", "sent_no", "sent_start", "r", "run", F.posexplode(tx.word_spans(F.col("run.str"))).alias("i", "w"))
+    base = F.col("sent_start") + F.col("run.start")
     return one.select(
         "doc_id",
         "sent_no",
-        "tok_no",
-        (F.col("sent_start") + F.col("w.start")).alias("start_pos"),
-        (F.col("sent_start") + F.col("w.end")).alias("end_pos"),
+        (F.col("r") * STRETCH_WORDS + F.col("i")).alias("tok_no"),
+        (base + F.col("w.start")).alias("start_pos"),
+        (base + F.col("w.end")).alias("end_pos"),
         F.col("w.str").alias("token"),
     )
 
 
-def _ngrams(spans: Column, size: int) -> Column:
-    """Runs of ``size`` neighbouring words as struct of start, end and lower-case term."""
-    last = F.size(spans) - size
-    runs = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.struct(
-            F.get(spans, i)["start"].alias("start"),
-            F.get(spans, i + (size - 1))["end"].alias("end"),
-            F.lower(F.array_join(F.transform(F.slice(spans, i + 1, size), lambda w: w["str"]), " ")).alias("term"),
-        ),
-    )
-    return F.when(last >= 0, runs).otherwise(F.array().cast("array<struct<start:int,end:int,term:string>>"))
+def tokens(docs: DataFrame) -> DataFrame:
+    """One row per word of the documents."""
+    return sentence_tokens(sentences(docs))
+
+
+def place_in_sentences(mentions: DataFrame, docs: DataFrame, *, bucket: int = 256) -> DataFrame:
+    """Mentions with the number of the sentence that holds them whole; others are dropped.
+
+    Both sides meet by document and a short stretch of text, so a mention sees the few sentences
+    around it and a document with very many mentions spreads over many keys.
+    """
+    spans = sentences(docs).select("doc_id", "sent_no", "sent_start", "sent_end")
+    low, high = F.floor(F.col("sent_start") / bucket), F.floor(F.col("sent_end") / bucket)
+    spread = spans.withColumn("_b", F.explode(F.sequence(low, high)))
+    there = mentions.drop("sent_no").withColumn("_b", F.floor(F.col("start_pos") / bucket))
+    joined = there.join(spread, ["doc_id", "_b"])
+    inside = (F.col("start_pos") >= F.col("sent_start")) & (F.col("end_pos") <= F.col("sent_end"))
+    return joined.where(inside).drop("_b", "sent_start", "sent_end")
+
+
+def _word_start(gaps: Column, wordlist: Column, at: Column) -> Column:
+    """Offset of one word from the lengths of the gaps and words before it."""
+    add = lambda acc, part: acc + F.length(part)
+    before = F.aggregate(F.slice(gaps, F.lit(1), at + 1), F.lit(0), add)
+    return F.aggregate(F.slice(wordlist, F.lit(1), at), before, add)
 
 
 def dictionary_annotate(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Tag dictionary terms in the text; a match inside a longer one is dropped.
 
     ``gazetteer(term, cui, sty, pref)`` with lower-case terms, words separated by one space.
-    Runs of one to n words of a sentence are looked up by equality, so the work grows with the
-    text and not with text times terms.
+    Words that start no term are dropped first; runs of the others are looked up by equality, so
+    the work grows with the text and not with text times terms. Offsets are worked out for the
+    matches only.
     """
-    longest = gazetteer.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 0
-    rows = sentences(docs).select("doc_id", "sent_no", "sent_start", "sent_text", tx.word_spans("sent_text").alias("w"))
-    runs = F.concat(*[_ngrams(F.col("w"), n) for n in range(1, longest + 1)])
-    grams = rows.select("doc_id", "sent_no", "sent_start", "sent_text", F.explode(runs).alias("g"))
-    hits = grams.join(scale.bounded_broadcast(gazetteer), F.col("g.term") == F.col("term")).select(
+    longest = gazetteer.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
+    first_words = gazetteer.select(F.split("term", " ")[0].alias("word")).distinct()
+    parts = sentences(docs).withColumn("runs", _stretches(F.col("sent_text")))
+    parts = parts.select("doc_id", "sent_no", "sent_start", "sent_text", "runs", F.posexplode("runs").alias("r", "run"))
+    # a run of words may reach into the next stretch, so its first words are added
+    following = F.get("runs", F.col("r") + 1)
+    lead = F.regexp_extract(following["str"], rf"^{tx.WORD}(?:[^A-Za-z0-9]+{tx.WORD}){{0,{max(longest - 2, 0)}}}", 0)
+    reach = F.coalesce(following["start"] + F.length(lead), F.col("run.end")) if longest > 1 else F.col("run.end")
+    rows = parts.select(
+        "doc_id",
+        "sent_no",
+        (F.col("sent_start") + F.col("run.start")).alias("part_start"),
+        tx.slice_text("sent_text", F.col("run.start"), reach).alias("part"),
+    ).withColumn("words", F.regexp_extract_all("part", F.lit(tx.WORD), F.lit(0)))
+    one = rows.select("doc_id", "sent_no", "part_start", "part", "words", F.posexplode("words").alias("at", "w"))
+    one = one.where(F.col("at") < STRETCH_WORDS).withColumn("word", F.lower("w")).drop("w")
+    begin = one.join(scale.bounded_broadcast(first_words), "word", "left_semi")
+    lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.size("words") - F.col("at")))
+    runs = begin.withColumn("n", F.explode(lengths))
+    term = F.lower(F.array_join(F.slice("words", F.col("at") + 1, F.col("n")), " "))
+    hits = runs.withColumn("term", term).join(scale.bounded_broadcast(gazetteer), "term")
+    gaps = F.split("part", tx.WORD, -1)
+    last = F.col("at") + F.col("n") - 1
+    hits = hits.withColumn("s", _word_start(gaps, F.col("words"), F.col("at"))).withColumn(
+        "e", _word_start(gaps, F.col("words"), last) + F.length(F.get("words", last))
+    )
+    hits = hits.select(
         "doc_id",
         "sent_no",
         "cui",
         "sty",
         "pref",
-        tx.slice_text("sent_text", F.col("g.start"), F.col("g.end")).alias("str"),
-        (F.col("sent_start") + F.col("g.start")).alias("start_pos"),
-        (F.col("sent_start") + F.col("g.end")).alias("end_pos"),
+        tx.slice_text("part", F.col("s"), F.col("e")).alias("str"),
+        (F.col("part_start") + F.col("s")).alias("start_pos"),
+        (F.col("part_start") + F.col("e")).alias("end_pos"),
     )
     # a match lies inside another one if one with its start, or an earlier one, ends as late
     same = F.max("end_pos").over(Window.partitionBy("doc_id", "sent_no", "start_pos"))
@@ -112,15 +158,20 @@ def _within_slop(wordlist: Column, terms: Sequence[str], slop: int) -> Column:
         at = F.transform(wordlist, lambda w, pos: F.when(w == term, pos - i))
         return F.filter(at, lambda p: p.isNotNull())
 
-    lists = [adjusted(i, t) for i, t in enumerate(terms)]
+    places = F.struct(*[adjusted(i, t).alias(f"p{i}") for i, t in enumerate(terms)])
+
+    def within(found: Column) -> Column:
+        lists = [found[f"p{i}"] for i in range(len(terms))]
+
+        def fits(low: Column) -> Column:
+            ok = F.lit(True)
+            for positions in lists:
+                ok = ok & F.exists(positions, lambda p: (p >= low) & (p <= low + slop))
+            return ok
 
-    def fits(low: Column) -> Column:
-        ok = F.lit(True)
-        for positions in lists:
-            ok = ok & F.exists(positions, lambda p: (p >= low) & (p <= low + slop))
-        return ok
+        return F.exists(F.concat(*lists), fits)
 
-    return F.exists(F.concat(*lists), fits)
+    return tx.let(places, within)
 
 
 def text_search(
@@ -182,14 +233,22 @@ def numeric_search(
 
 
 def relocate_offsets(mentions: DataFrame, docs: DataFrame) -> DataFrame:
-    """Mentions with offsets moved to the nearest occurrence of their surface text."""
-    joined = scale.split_hot_join(mentions, docs.select("doc_id", "text"), "doc_id")
-    return (
-        joined.withColumn("_at", tx.relocate("text", F.col("start_pos"), F.col("end_pos"), "str"))
-        .withColumn("start_pos", F.col("_at.start"))
-        .withColumn("end_pos", F.col("_at.end"))
-        .drop("_at", "text")
-    )
+    """Mentions with offsets moved to the nearest occurrence of their surface text.
+
+    Spans that show their text stay. For the others each distinct text of a document is looked
+    for once, however many mentions show it.
+    """
+    texts = docs.select("doc_id", "text")
+    shown = tx.slice_text("text", F.col("start_pos"), F.col("end_pos")) == F.col("str")
+    checked = scale.split_hot_join(mentions, texts, "doc_id").withColumn("_ok", shown).drop("text")
+    rows = checked.withColumn("_key", F.when(~F.col("_ok"), F.lower("str")))
+    wanted = rows.where("_key IS NOT NULL").groupBy("doc_id", "_key").agg(F.min("str").alias("_str"))
+    places = wanted.join(texts, "doc_id").select("doc_id", "_key", tx.occurrences("text", "_str").alias("_at"))
+    near = tx.nearest(F.col("_at"), F.col("start_pos"))
+    moved = rows.join(places, ["doc_id", "_key"], "left").withColumn("_near", near)
+    start = F.coalesce("_near", "start_pos")
+    end = F.when(F.col("_near").isNotNull(), F.col("_near") + F.length("str")).otherwise(F.col("end_pos"))
+    return moved.withColumns({"start_pos": start, "end_pos": end}).select(*mentions.columns)
 
 
 def vocabulary(docs: DataFrame, *, top: int) -> DataFrame:
@@ -206,9 +265,13 @@ def encode_windows(mentions: DataFrame, docs: DataFrame, vocab: DataFrame, *, si
     Mentions need an ``id``.
     """
     text = scale.split_hot_join(mentions.select("id", "doc_id", "start_pos", "end_pos"), docs.select("doc_id", "text"), "doc_id")
-    before = F.slice(F.reverse(tx.words(tx.slice_text("text", 0, F.col("start_pos")))), 1, side)
-    behind = F.slice(tx.words(tx.slice_text("text", F.col("end_pos"), F.length("text"))), 1, side)
-    around = text.select("id", F.concat(F.reverse(before), behind).alias("words"))
+    around = text.select(
+        "id",
+        F.concat(
+            tx.last_items(tx.words, "text", F.col("start_pos"), side),
+            tx.first_items(tx.words, "text", F.col("end_pos"), side),
+        ).alias("words"),
+    )
     exploded = around.select("id", F.posexplode_outer("words").alias("pos", "token"))
     coded = exploded.join(scale.bounded_broadcast(vocab.select("token", "idx")), "token", "left")
     # at most 2 * side words per mention

@@ -47,6 +47,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Spread rows over the cores if the input has fewer splits than there are cores.
+
+    Heavy row-local work on a few large rows would otherwise run on few cores. Input with enough
+    splits, which is any large input, is left as it is and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint if the counted size is within the bound, else the frame as it is.
 

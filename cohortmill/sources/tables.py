@@ -6,6 +6,7 @@ as concept mentions, parts as concepts; ``documents`` and ``pages`` give the run
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +31,8 @@ GAZETTEER = [
     ("of the", "C9000007", "Body Part, Organ", "Of The"),
 ]
 
-_closures: dict[tuple[str, str], DataFrame] = {}
+# tables written once per application and folder, as an earlier stage of a real job would
+_written: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def cui_of(number: str | Column) -> Column:
@@ -53,6 +55,13 @@ class Tables:
         """A frame of fixed configuration rows."""
         return self.spark.createDataFrame(rows, schema)
 
+    def written(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A frame written to the shared folder the first time it is asked for."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _written:
+            _written[key] = scale.cut(build())
+        return _written[key]
+
     @cached_property
     def patients(self) -> DataFrame:
         return self.raw("customer").select(
@@ -119,12 +128,9 @@ class Tables:
     @property
     def closure(self) -> DataFrame:
         """Study concepts with all concepts below their seeds; written once per folder."""
-        key = (self.spark.sparkContext.applicationId, self.folder)
-        if key not in _closures:
-            _closures[key] = scale.cut(
-                ontology.transitive_closure(self.seeds, self.edges, keys=["name", "priority"])
-            )
-        return _closures[key]
+        return self.written(
+            "closure", lambda: ontology.transitive_closure(self.seeds, self.edges, keys=["name", "priority"])
+        )
 
     @property
     def exclusive(self) -> DataFrame:
@@ -168,11 +174,16 @@ class Tables:
     @cached_property
     def text_docs(self) -> DataFrame:
         """Running text; the source acts as the patient."""
-        return self.raw("documents").select("doc_id", F.col("source").alias("pid"), "lang", "text")
+        docs = self.raw("documents").select("doc_id", F.col("source").alias("pid"), "lang", "text")
+        return scale.spread_small_input(docs)
 
     @cached_property
     def text_mentions(self) -> DataFrame:
         """Dictionary mentions in the running text, with a context class by position."""
+        return self.written("text_mentions", self.tag_text)
+
+    def tag_text(self) -> DataFrame:
+        """Tag the running text."""
         s, d = F.col("start_pos"), F.col("doc_id")
         return textmine.dictionary_annotate(self.text_docs, self.gazetteer).select(
             "doc_id",
