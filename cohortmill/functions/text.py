@@ -60,14 +60,16 @@ def find_spans(text: str | Column, pattern: str, group: int = 0) -> Column:
     lengths give the character offsets without leaving the JVM. ``str`` is the given group.
     """
     t = _col(text)
-    gaps = F.transform(F.split(t, pattern, -1), F.length)
     whole = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
     shown = whole if group == 0 else F.regexp_extract_all(t, F.lit(pattern), F.lit(group))
-    parts = F.arrays_zip(
-        F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"),
-        F.transform(whole, F.length).alias("len"),
-        shown.alias("str"),
-    )
+    gaps = F.split(t, pattern, -1)
+    # one gap more than matches: the last pair has no match
+    if group == 0:
+        parts = F.zip_with(gaps, whole, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"), m.alias("str")))
+    else:
+        parts = F.arrays_zip(
+            F.transform(gaps, F.length).alias("gap"), F.transform(whole, F.length).alias("len"), shown.alias("str")
+        )
     start = F.struct(
         F.lit(0).alias("pos"),
         F.array().cast("array<struct<start:int,end:int,str:string>>").alias("out"),
@@ -77,7 +79,8 @@ def find_spans(text: str | Column, pattern: str, group: int = 0) -> Column:
         s = acc["pos"] + part["gap"]
         e = s + part["len"]
         span = F.struct(s.alias("start"), e.alias("end"), part["str"].alias("str"))
-        return F.struct(e.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+        longer = F.struct(e.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.when(part["len"].isNull(), acc).otherwise(longer)
 
     return F.aggregate(parts, start, step, lambda acc: acc["out"])
 

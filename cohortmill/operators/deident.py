@@ -94,4 +94,4 @@ def deidentify(docs: DataFrame, rules: Sequence[MaskRule], *, letter: LetterRule
 
 def sensitive_values(deidentified: DataFrame) -> DataFrame:
     """Distinct removed values per type, as flat rows."""
-    return deidentified.select(F.explode("found").alias("f")).select("f.type", "f.value").distinct()
+    return deidentified.select(F.explode_outer("found").alias("f")).where("f IS NOT NULL").select("f.type", "f.value").distinct()

@@ -17,8 +17,8 @@ HEADER = r"(?md)^([^\n:]+):$"
 
 def section_headings(docs: DataFrame, *, pattern: str = HEADER) -> DataFrame:
     """How often each heading occurs, title as written."""
-    titles = docs.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("title"))
-    return titles.groupBy("title").agg(F.count("*").alias("freq"))
+    titles = docs.select(F.explode_outer(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("title"))
+    return titles.where("title IS NOT NULL").groupBy("title").agg(F.count("*").alias("freq"))
 
 
 def merged_headings(headings: DataFrame, *, k: int | None = None, number_only: bool = False) -> DataFrame:
@@ -64,7 +64,7 @@ def parse_sections(
     )
     # headers are found on the line before the list is used, so the text is scanned once
     rows = docs.withColumn("_heads", F.when(F.size(heads) > 0, F.concat(F.array(none), mapped)))
-    one = rows.select("*", F.posexplode("_heads").alias("sec_no", "h"))
+    one = rows.select("*", F.posexplode_outer("_heads").alias("sec_no", "h")).where("h IS NOT NULL")
     following = F.get("_heads", F.col("sec_no") + 1)["start"]
     return one.select(
         *[c for c in docs.columns if c != "text"],

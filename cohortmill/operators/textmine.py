@@ -13,8 +13,9 @@ from cohortmill.functions import text as tx
 
 def sentences(docs: DataFrame, *, keep: Sequence[str] = ()) -> DataFrame:
     """One row per sentence with its number, offsets and text."""
-    spans = docs.select("doc_id", *keep, F.posexplode(tx.sentence_spans("text")).alias("sent_no", "span"))
-    return spans.select(
+    # an inner explode would make Spark test the array for emptiness first and build it twice
+    spans = docs.select("doc_id", *keep, F.posexplode_outer(tx.sentence_spans("text")).alias("sent_no", "span"))
+    return spans.where("span IS NOT NULL").select(
         "doc_id",
         *keep,
         "sent_no",
@@ -27,7 +28,7 @@ def sentences(docs: DataFrame, *, keep: Sequence[str] = ()) -> DataFrame:
 def adjacent_sentences(docs: DataFrame) -> DataFrame:
     """Sentences with the text before and after; taken from the row, so nothing is shuffled."""
     rows = docs.select("doc_id", tx.sentence_spans("text").alias("spans"))
-    one = rows.select("doc_id", "spans", F.posexplode("spans").alias("sent_no", "span"))
+    one = rows.select("doc_id", "spans", F.posexplode_outer("spans").alias("sent_no", "span")).where("span IS NOT NULL")
 
     def at(shift: int) -> Column:
         return F.get("spans", F.col("sent_no") + shift)["str"]
@@ -49,13 +50,14 @@ STRETCH_WORDS = 32
 
 def _stretches(text: Column) -> Column:
     """Runs of at most STRETCH_WORDS words with their offsets."""
-    return tx.find_spans(text, rf"{tx.WORD}(?:[^A-Za-z0-9]+{tx.WORD}){{0,{STRETCH_WORDS - 1}}}")
+    return tx.find_spans(text, rf"[A-Za-z0-9]++(?:[^A-Za-z0-9]++[A-Za-z0-9]++){{0,{STRETCH_WORDS - 1}}}+")
 
 
 def sentence_tokens(sents: DataFrame) -> DataFrame:
     """One row per word of the sentences with its offsets in the document."""
-    runs = sents.select("doc_id", "sent_no", "sent_start", F.posexplode(_stretches(F.col("sent_text"))).alias("r", "run"))
-    one = runs.select("doc_id", "sent_no", "sent_start", "r", "run", F.posexplode(tx.word_spans(F.col("run.str"))).alias("i", "w"))
+    runs = sents.select("doc_id", "sent_no", "sent_start", F.posexplode_outer(_stretches(F.col("sent_text"))).alias("r", "run"))
+    runs = runs.where("run IS NOT NULL")
+    one = runs.select("doc_id", "sent_no", "sent_start", "r", "run", F.posexplode_outer(tx.word_spans(F.col("run.str"))).alias("i", "w"))
     base = F.col("sent_start") + F.col("run.start")
     return one.select(
         "doc_id",
@@ -105,7 +107,8 @@ def dictionary_annotate(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
     longest = gazetteer.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
     first_words = gazetteer.select(F.split("term", " ")[0].alias("word")).distinct()
     parts = sentences(docs).withColumn("runs", _stretches(F.col("sent_text")))
-    parts = parts.select("doc_id", "sent_no", "sent_start", "sent_text", "runs", F.posexplode("runs").alias("r", "run"))
+    parts = parts.select("doc_id", "sent_no", "sent_start", "sent_text", "runs", F.posexplode_outer("runs").alias("r", "run"))
+    parts = parts.where("run IS NOT NULL")
     # a run of words may reach into the next stretch, so its first words are added
     following = F.get("runs", F.col("r") + 1)
     lead = F.regexp_extract(following["str"], rf"^{tx.WORD}(?:[^A-Za-z0-9]+{tx.WORD}){{0,{max(longest - 2, 0)}}}", 0)
@@ -116,7 +119,7 @@ def dictionary_annotate(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
         (F.col("sent_start") + F.col("run.start")).alias("part_start"),
         tx.slice_text("sent_text", F.col("run.start"), reach).alias("part"),
     ).withColumn("words", F.regexp_extract_all("part", F.lit(tx.WORD), F.lit(0)))
-    one = rows.select("doc_id", "sent_no", "part_start", "part", "words", F.posexplode("words").alias("at", "w"))
+    one = rows.select("doc_id", "sent_no", "part_start", "part", "words", F.posexplode_outer("words").alias("at", "w"))
     one = one.where(F.col("at") < STRETCH_WORDS).withColumn("word", F.lower("w")).drop("w")
     begin = one.join(scale.bounded_broadcast(first_words), "word", "left_semi")
     lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.size("words") - F.col("at")))
@@ -253,7 +256,7 @@ def relocate_offsets(mentions: DataFrame, docs: DataFrame) -> DataFrame:
 
 def vocabulary(docs: DataFrame, *, top: int) -> DataFrame:
     """The most common words with their index: ``token, n, idx`` (ties by the word)."""
-    counts = docs.select(F.explode(tx.words("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = docs.select(F.explode_outer(tx.words("text")).alias("token")).where("token IS NOT NULL").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     ranked = counts.orderBy(F.desc("n"), "token").limit(top)
     return ranked.withColumn("idx", F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1)
 

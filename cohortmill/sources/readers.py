@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortmill import scale, schemas
@@ -111,11 +112,27 @@ def sentence_table(parsed: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: the character sets that Spark decodes itself
+JVM_CHARSETS = {"us-ascii", "iso-8859-1", "utf-8", "utf-16be", "utf-16le", "utf-16", "utf-32"}
+
+
+def decoded(content: str, encoding: str) -> Column:
+    """Text of a binary column; other character sets go through an Arrow batch function."""
+    if encoding.lower() in JVM_CHARSETS:
+        return F.decode(content, encoding)
+
+    @F.pandas_udf("string")
+    def decode(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else bytes(v).decode(encoding))
+
+    return decode(content)
+
+
 def read_documents(spark: SparkSession, folder: str, *, key: str = r"([^/]+)$", encoding: str = "utf-8") -> DataFrame:
     """Text files of a folder: ``doc_id`` from the file name and the whole text, decoded once."""
     files = spark.read.format("binaryFile").load(folder)
     return files.select(
-        F.regexp_extract("path", key, 1).alias("doc_id"), F.decode("content", encoding).alias("text")
+        F.regexp_extract("path", key, 1).alias("doc_id"), decoded("content", encoding).alias("text")
     )
 
 
