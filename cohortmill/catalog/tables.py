@@ -220,7 +220,27 @@ def events_by_admission(t: Tables):
     return readers.events_by_admission(events, items)
 
 
-@query("markup_to_text", "SC17")
+def markup_sql() -> str:
+    """The same text steps as nested SQL calls."""
+    expr = "html"
+    steps = [(rf"(?is)<{tag}\b.*?</{tag}\s*>", "' '") for tag in ("table", "script", "style", "head", "nav")]
+    steps += [
+        (r"(?s)<!--.*?-->", "' '"),
+        (r"(?i)<(?:title|sec|h[1-6])\b[^>]*>", "chr(10)"),
+        (r"(?i)</(?:title|sec|h[1-6])\s*>", "'.' || chr(10)"),
+        (r"(?i)</(?:p|div|li|article|section|footer)\s*>|<br\s*/?>", "chr(10)"),
+        (r"<[^>]*>", "' '"),
+    ]
+    for pattern, into in steps:
+        expr = f"regexp_replace({expr}, '{pattern}', {into}, 'g')"
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+        expr = f"replace({expr}, '{name}', '{char}')"
+    expr = rf"regexp_replace({expr}, '[ \t]+', ' ', 'g')"
+    expr = rf"regexp_replace({expr}, ' ?\n[ \n]*', chr(10), 'g')"
+    return f"SELECT page_id, trim({expr}) AS text FROM pages"
+
+
+@query("markup_to_text", "SC17", markup_sql())
 def markup_to_text(t: Tables):
     return sections.markup_to_text(t.raw("pages")).select("page_id", "text")
 

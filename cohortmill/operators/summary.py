@@ -48,11 +48,25 @@ def patient_concept_matrix(mentions: DataFrame, docs: DataFrame, patients: DataF
     return for_all_patients(patients, wide, sorted(names))
 
 
+def per_doc_concept(mentions: DataFrame, closure: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    """Named counts per document and study concept.
+
+    A small closure is broadcast to the mentions, so untagged mentions go away in the scan stage
+    and one exchange counts the rest. A large one meets mentions already counted by document and
+    concept, so no hot document or concept reaches the join row by row.
+    """
+    aggs = [value.alias(name) for name, value in counts.items()]
+    pairs = closure.select("cui", F.col("name").alias("concept"))
+    if scale.is_small(pairs):
+        return mentions.join(F.broadcast(pairs), "cui").groupBy("doc_id", "concept").agg(*aggs)
+    counted = mentions.groupBy("doc_id", "cui").agg(*aggs)
+    sums = [F.sum(name).alias(name) for name in counts]
+    return counted.join(pairs, "cui").groupBy("doc_id", "concept").agg(*sums)
+
+
 def study_rows(mentions: DataFrame, docs: DataFrame, closure: DataFrame) -> DataFrame:
     """``pid, doc_id, concept, n``: mentions per document and study concept."""
-    counted = doc_concepts(mentions)
-    tagged = joins.study_mentions(counted, closure).groupBy("doc_id", "concept").agg(F.sum("n").alias("n"))
-    return with_patient(tagged, docs)
+    return with_patient(per_doc_concept(mentions, closure, {"n": F.count("*")}), docs)
 
 
 def study_counts(mentions: DataFrame, docs: DataFrame, closure: DataFrame) -> DataFrame:
@@ -97,12 +111,7 @@ def accepted_or_ruled(mentions: DataFrame, docs: DataFrame, closure: DataFrame,
     ``closure`` holds every concept once. ``group`` is a column of the documents.
     """
     ok = F.col("ruled_by").isNull() & cx.positive("lenient")
-    counted = mentions.groupBy("doc_id", "cui").agg(
-        F.count_if(ok).alias("f"), F.count_if(~ok).alias("rf")
-    )
-    per_doc = joins.study_mentions(counted, closure).groupBy("doc_id", "concept").agg(
-        F.sum("f").alias("f"), F.sum("rf").alias("rf")
-    )
+    per_doc = per_doc_concept(mentions, closure, {"f": F.count_if(ok), "rf": F.count_if(~ok)})
     grp = F.lit("") if group is None else group
     placed = per_doc.join(docs.select("doc_id", "pid", grp.alias("grp")), "doc_id")
     return placed.groupBy("grp", "pid", "concept").agg(

@@ -57,13 +57,18 @@ def spread_small_input(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether the counted size is within the broadcast bound."""
+    return df.count() <= max_rows
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint if the counted size is within the bound, else the frame as it is.
 
     Without the hint Spark plans a shuffled join, which adaptive execution may still turn
     into a broadcast by measured size or split where it is skewed.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def split_hot_join(

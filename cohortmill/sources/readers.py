@@ -32,11 +32,13 @@ def parse_annotation_lines(lines: DataFrame, column: str = "value", *, repair: b
     """
     text = F.col(column)
     schema = schemas.ANNOTATION_LINE
-    rows = lines.withColumn("_j", F.from_json(text, schema))
-    if repair:
-        rows = rows.withColumn(
-            "_j", F.when(F.col("_j.docId").isNull(), F.from_json(tx.repair_quotes(text), schema)).otherwise(F.col("_j"))
-        )
+
+    def checked(parsed: Column) -> Column:
+        again = F.from_json(tx.repair_quotes(text), schema)
+        return F.when(parsed["docId"].isNull(), again).otherwise(parsed) if repair else parsed
+
+    # unfolding a one-item array keeps Spark from parsing the line again for every field
+    rows = lines.select(text, F.explode_outer(F.transform(F.array(F.from_json(text, schema)), checked)).alias("_j"))
     return rows.select(
         F.col("_j.docId").alias("docId"),
         F.col("_j.annotations").alias("annotations"),
@@ -57,9 +59,11 @@ def read_annotation_files(spark: SparkSession, folder: str, *, key: str = r"([^/
 
 def _spans(parsed: DataFrame) -> DataFrame:
     flat = parsed.where("bad IS NULL") if "bad" in parsed.columns else parsed
-    return flat.select(
-        F.col("docId").alias("doc_id"), F.posexplode(F.flatten("annotations")).alias("input_no", "a")
+    # an inner explode would make Spark parse the line again to test for emptiness
+    spans = flat.select(
+        F.col("docId").alias("doc_id"), F.posexplode_outer(F.flatten("annotations")).alias("input_no", "a")
     )
+    return spans.where("a IS NOT NULL")
 
 
 # fixed values: annotation types of the input format

@@ -70,11 +70,17 @@ def xml_lines(mentions: DataFrame, *, id_prefix: str = "mention") -> DataFrame:
 
 
 def write_standoff(lines: DataFrame, path: str) -> None:
-    """Write lines as text, one folder per document, in order."""
-    order = ["doc_id", F.desc("kind"), "line_no"] if "kind" in lines.columns else ["doc_id", "line_no"]
-    lines.repartition("doc_id").sortWithinPartitions(*order).select("doc_id", "line").write.mode(
-        "overwrite"
-    ).partitionBy("doc_id").text(path)
+    """Write lines as text, one folder per document, in order.
+
+    Ranges of (document, line) go to the tasks, so the lines of a very large document come from
+    several tasks, as files in order.
+    """
+    order = [F.col("doc_id")]
+    if "kind" in lines.columns:
+        order.append(F.desc("kind"))
+    order.append(F.col("line_no"))
+    ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.select("doc_id", "line").write.mode("overwrite").partitionBy("doc_id").text(path)
 
 
 def entity_types(mentions: DataFrame) -> DataFrame:

@@ -339,5 +339,15 @@ def test_standoff_files(spark, frame, tmp_path):
     schema = "doc_id long, cui string, sty string, str string, start_pos int, end_pos int, negation string, ruled_by string"
     data = [(1, "C1", "Disease or Syndrome", "flu", 5, 8, "Negated", None), (1, "C2", "Sign", "ill", 1, 4, "Affirmed", None)]
     sinks.write_standoff(sinks.standoff_lines(frame(data, schema)), str(tmp_path / "out"))
-    text = "".join(p.read_text() for p in (tmp_path / "out" / "doc_id=1").glob("part-*"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out" / "doc_id=1").glob("part-*")))
     assert text.splitlines() == ["T1\tSign 1 4\till", "T2\tDisease_or_Syndrome 5 8\tflu", "A2\tNegated T2"]
+
+
+def test_study_counts_agree_with_and_without_broadcast(frame, monkeypatch):
+    mentions = frame([(d, f"C{c}") for d in range(6) for c in range(d)] + [(1, "C0")] * 5, "doc_id long, cui string")
+    docs = frame([(d, d % 2) for d in range(6)], "doc_id long, pid long")
+    closure = frame([("A", "C0"), ("A", "C1"), ("B", "C1"), ("B", "C4")], "name string, cui string")
+    small = rows(summary.study_counts(mentions, docs, closure))
+    monkeypatch.setattr(scale, "is_small", lambda df, max_rows=0: False)
+    assert rows(summary.study_counts(mentions, docs, closure)) == small
+    assert (1, "A", 3, 10) in small
