@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cohortmill import scale
 
 # rows of one cell that one task compares; larger cells are cut into blocks of this size
-BLOCK_ROWS = 2_000
+BLOCK_ROWS = 1_000
 MAX_PIVOTS = 256
 
 
@@ -69,6 +69,18 @@ def _cells(points: DataFrame, pivots: np.ndarray, eps: float, *, halo: str) -> D
     return points.select("id", "vec").mapInPandas(place, schema)
 
 
+def _within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
+    """Which rows of ``a`` and ``b`` are within eps: by matrix product, near the border exactly."""
+    sa, sb = (a * a).sum(1), (b * b).sum(1)
+    square = sa[:, None] + sb[None, :] - 2.0 * (a @ b.T)
+    doubt = 1e-11 * (sa[:, None] + sb[None, :]) + 1e-300
+    near = square <= eps * eps
+    rows, cols = np.nonzero(np.abs(square - eps * eps) <= doubt)
+    if rows.size:
+        near[rows, cols] = _exact(a[rows], b[cols]) <= eps
+    return near
+
+
 def _forest(x: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, eps: float) -> list[tuple[int, int]]:
     """Edges that join all rows linked by a pair within eps, at most one less than the rows.
 
@@ -76,17 +88,17 @@ def _forest(x: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray,
     """
     group = np.arange(len(x))
     edges = []
-    for i in np.nonzero(left)[0]:
-        others = np.nonzero(right)[0]
-        others = others[others != i]
-        close = others[_exact(x[i], x[others]) <= eps]
-        if close.size == 0:
-            continue
-        kinds, where = np.unique(group[close], return_index=True)
-        for kind, at in zip(kinds, where):
-            if kind != group[i]:
-                edges.append((int(ids[i]), int(ids[close[at]])))
-                group[group == kind] = group[i]
+    rows, others = np.nonzero(left)[0], np.nonzero(right)[0]
+    y = x[others]
+    for at in range(0, len(rows), 256):
+        chunk = rows[at : at + 256]
+        for i, near in zip(chunk, _within(x[chunk], y, eps)):
+            close = others[near]
+            kinds, where = np.unique(group[close], return_index=True)
+            for kind, first in zip(kinds, where):
+                if kind != group[i]:
+                    edges.append((int(ids[i]), int(ids[close[first]])))
+                    group[group == kind] = group[i]
     return edges
 
 
