@@ -437,7 +437,7 @@ def patient_articles(t: Tables):
     docs = t.text_docs.select("doc_id", "pid")
     mentions = t.text_mentions.withColumn("ruled_by", F.lit(None).cast("string"))
     articles = t.text_docs.select("pid", "doc_id", "text")
-    return summary.build_patient_entities(mentions, docs, articles, part_rows=2_000)
+    return summary.build_patient_entities(mentions, docs, articles)
 
 
 @query(

@@ -132,12 +132,14 @@ def rule_chain(t: Tables):
 @query(
     "relocate_offsets", "J8",
     """WITH m AS (SELECT x.doc_id, x.cui, x.str, x.start_pos AS orig, x.start_pos + 5 AS s, substring(d.text, x.start_pos + 6, length(x.str)) AS shown
-         FROM tmentions x JOIN documents d ON d.doc_id = x.doc_id WHERE x.sty <> 'Body Part, Organ'),
-       c AS (SELECT m.doc_id, m.cui, m.orig, m.s, m.str, m.shown, k.start_pos AS p FROM m JOIN toks k ON k.doc_id = m.doc_id AND lower(k.token) = lower(m.str))
+         FROM tmentions x JOIN documents d ON d.doc_id = x.doc_id),
+       k AS (SELECT g.doc_id, g.start_pos, lower(substring(d.text, CAST(g.start_pos AS BIGINT) + 1, CAST(g.end_pos - g.start_pos AS BIGINT))) AS shown
+         FROM grams g JOIN documents d ON d.doc_id = g.doc_id WHERE g.term IN (SELECT term FROM gaz)),
+       c AS (SELECT m.doc_id, m.cui, m.orig, m.s, m.str, m.shown, k.start_pos AS p FROM m JOIN k ON k.doc_id = m.doc_id AND k.shown = lower(m.str))
        SELECT doc_id, cui, orig, CAST(CASE WHEN shown = str THEN s ELSE arg_min(p, (abs(p - s), p)) END AS BIGINT) AS start_pos FROM c GROUP BY doc_id, cui, orig, s, str, shown""",
 )
 def relocate_offsets(t: Tables):
-    moved = t.text_mentions.where("sty <> 'Body Part, Organ'").withColumn("orig", long("start_pos"))
+    moved = t.text_mentions.withColumn("orig", long("start_pos"))
     moved = moved.withColumn("start_pos", F.col("start_pos") + 5).withColumn("end_pos", F.col("end_pos") + 5)
     return textmine.relocate_offsets(moved, t.text_docs).select("doc_id", "cui", "orig", long("start_pos"))
 
@@ -402,7 +404,7 @@ def vocabulary(t: Tables):
     "encode_windows", "SF24",
     f"""WITH {VOCAB}, m AS (SELECT x.doc_id || '-' || x.start_pos || '-' || x.cui AS id,
            regexp_extract_all(lower(substring(d.text, 1, x.start_pos)), '[a-z0-9]+') AS a,
-           regexp_extract_all(lower(substring(d.text, x.end_pos + 1)), '[a-z0-9]+') AS b FROM tmentions x JOIN documents d ON d.doc_id = x.doc_id WHERE x.sty <> 'Finding'),
+           regexp_extract_all(lower(substring(d.text, x.end_pos + 1)), '[a-z0-9]+') AS b FROM tmentions x JOIN documents d ON d.doc_id = x.doc_id),
        l AS (SELECT id, list_concat(a[greatest(len(a) - 3, 1):], b[1:4]) AS ws FROM m),
        u AS (SELECT id, unnest(ws) AS token, generate_subscripts(ws, 1) AS i FROM l),
        c AS (SELECT u.id, string_agg(CAST(v.idx + 1 AS VARCHAR), ' ' ORDER BY u.i) AS s, count(v.idx) AS k FROM u LEFT JOIN voc v ON u.token = v.token GROUP BY u.id)
@@ -410,7 +412,7 @@ def vocabulary(t: Tables):
 )
 def encode_windows(t: Tables):
     ids = F.concat_ws("-", F.col("doc_id").cast("string"), F.col("start_pos").cast("string"), "cui")
-    rows = t.text_mentions.where("sty <> 'Finding'").withColumn("id", ids)
+    rows = t.text_mentions.withColumn("id", ids)
     vocab = textmine.vocabulary(t.text_docs, top=500)
     codes = textmine.encode_windows(rows, t.text_docs, vocab, side=4, size=8)
     return codes.select("id", F.array_join(F.transform("codes", lambda c: c.cast("string")), " ").alias("codes"))

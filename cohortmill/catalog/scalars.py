@@ -83,11 +83,11 @@ def char_windows(t: Tables):
     r"""WITH w AS (SELECT m.doc_id, m.cui, m.start_pos,
          list_filter(regexp_split_to_array(substring(d.text, 1, m.start_pos), '\s+'), lambda x: x <> '') AS a,
          list_filter(regexp_split_to_array(substring(d.text, m.end_pos + 1), '\s+'), lambda x: x <> '') AS b
-         FROM tmentions m JOIN documents d ON m.doc_id = d.doc_id WHERE m.sty <> 'Finding')
+         FROM tmentions m JOIN documents d ON m.doc_id = d.doc_id)
        SELECT doc_id, cui, start_pos, array_to_string(a[greatest(len(a) - 2, 1):], ' ') AS prev_words, array_to_string(b[1:3], ' ') AS next_words FROM w""",
 )
 def token_windows(t: Tables):
-    rows = t.text_mentions.where("sty <> 'Finding'").join(t.text_docs.select("doc_id", "text"), "doc_id")
+    rows = t.text_mentions.join(t.text_docs.select("doc_id", "text"), "doc_id")
     return rows.select(
         "doc_id", "cui", F.col("start_pos").cast("long").alias("start_pos"),
         F.array_join(tx.tokens_before("text", F.col("start_pos"), 3), " ").alias("prev_words"),

@@ -253,12 +253,18 @@ def merge_patient_results(patients: DataFrame, results: dict[str, DataFrame], *,
 
 
 def build_patient_entities(
-    mentions: DataFrame, docs: DataFrame, articles: DataFrame | None = None, *, part_rows: int = 50_000
+    mentions: DataFrame,
+    docs: DataFrame,
+    articles: DataFrame | None = None,
+    *,
+    part_rows: int = 50_000,
+    part_bytes: int = 64 * 1024 * 1024,
 ) -> DataFrame:
     """Nested annotations and articles per patient, in parts of a bounded size.
 
-    A patient with more than about ``part_rows`` rows gets several numbered parts, so no row and
-    no task has to hold one whole patient of any size. All parts together are the entity.
+    A patient with more than about ``part_rows`` rows or ``part_bytes`` of text gets several
+    numbered parts, so no row and no task has to hold one whole patient of any size. All parts
+    together are the entity.
     """
     rows = joins.attach_patient(mentions, docs).select(
         "pid",
@@ -271,10 +277,10 @@ def build_patient_entities(
     if articles is not None:
         arts = articles.select("pid", F.struct("doc_id", "text").alias("article"))
         rows = rows.unionByName(arts.withColumn("ann", F.lit(None)), allowMissingColumns=True)
-    sizes = rows.groupBy("pid").agg(F.count("*").alias("_n"))
-    large = scale.bounded_broadcast(
-        sizes.where(F.col("_n") > part_rows).select("pid", F.ceil(F.col("_n") / part_rows).alias("_parts"))
-    )
+    text_bytes = F.coalesce(F.octet_length("article.text"), F.lit(0)).cast("long")
+    sizes = rows.groupBy("pid").agg(F.count("*").alias("_n"), F.sum(text_bytes).alias("_bytes"))
+    parts = F.greatest(F.ceil(F.col("_n") / part_rows), F.ceil(F.col("_bytes") / part_bytes))
+    large = scale.bounded_broadcast(sizes.select("pid", parts.alias("_parts")).where("_parts > 1"))
     salt = F.pmod(F.xxhash64("ann", "article"), F.coalesce("_parts", F.lit(1)))
     return (
         rows.join(large, "pid", "left")

@@ -61,6 +61,10 @@ def test_large_patient_comes_in_bounded_parts(frame):
     assert out.where("pid = 1").count() > 4
     assert out.agg(F.sum(F.size("anns"))).first()[0] == 100
     assert out.where("pid = 2").agg(F.sum(F.size("anns"))).first()[0] == 20
+    texts = frame([(2, 1000 + i, "x" * 50) for i in range(40)], "pid long, doc_id long, text string")
+    out = summary.build_patient_entities(frame(data, schema), docs, texts, part_bytes=200)
+    assert out.where("pid = 2").count() > 4 and out.where("pid = 1").count() == 1
+    assert out.agg(F.sum(F.size("articles")), F.sum(F.size("anns"))).first()[:] == (40, 100)
 
 
 # --- ontology
