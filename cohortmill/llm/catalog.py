@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortmill.llm import chat, decontaminate, language, licenses, mixing, neighbours, quality, repeats, secrets
+import corpus_pipeline
+from cohortmill.llm import chat, decontaminate, language, licenses, mixing, nearcopies, neighbours, quality, repeats, secrets
 from cohortmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies among all documents."""
+    return nearcopies.near_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates in all documents."""
     return licenses.license_digest(table(spark, sf_dir, "documents"))
@@ -57,6 +63,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -65,16 +76,19 @@ QUERIES: dict[str, Query] = {
         op3_quality,
         op4_repeats,
         op5_mix_sources,
+        op6_near_copies,
         op7_licenses,
         op8_chat,
         op9_nearest,
         op10_language,
+        pipeline,
     )
 }
 
 SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.SQL,
     "op5_mix_sources": mixing.SQL,
+    "op6_near_copies": nearcopies.SQL,
     "op7_licenses": licenses.SQL,
     "op8_chat": chat.SQL,
 }

@@ -30,8 +30,8 @@ WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MAX_EPOCHS = 2
 SEED = "5"
-#: Buckets of the seeded order per source.
-BUCKETS = 1 << 14
+#: Places of the seeded order, and its buckets per source.
+PLACES, BUCKETS = 1 << 48, 1 << 14
 
 
 def size_of(text: Column) -> Column:
@@ -39,14 +39,16 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def place_of(doc_id: Column, seed: str = SEED) -> Column:
+    """Place of a document in the seeded order, below ``PLACES``."""
+    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+    return F.conv(F.substring(mark, 1, 12), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """One slim row per document: id, source, size and its place in the seeded order."""
-    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     return docs.select(
-        "doc_id",
-        "source",
-        size_of(F.col("text")).alias("size"),
-        F.conv(F.substring(mark, 1, 12), 16, 10).cast("long").alias("place"),
+        "doc_id", "source", size_of(F.col("text")).alias("size"), place_of(F.col("doc_id"), seed).alias("place")
     )
 
 
@@ -85,8 +87,12 @@ def targets_of(slim: DataFrame, weights: Sequence[float], budget: float, max_epo
     return water_fill(cut(sources.withColumn("weight", weight)), budget, max_epochs)
 
 
-def drawn(slim: DataFrame, targets: DataFrame) -> DataFrame:
-    """Repetitions of every document: ``epochs`` whole ones of its source and perhaps one more."""
+def bucket_of(place: Column) -> Column:
+    return F.floor(place / F.lit(PLACES // BUCKETS))
+
+
+def aims_of(slim: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row per source: its target, whole epochs, what is left, and the bucket in which that is reached."""
     share = F.col("target") / F.col("source_size")
     aims = targets.select(
         F.col("source").alias("of"),
@@ -94,16 +100,23 @@ def drawn(slim: DataFrame, targets: DataFrame) -> DataFrame:
         "target",
         F.when(F.col("source_size") > 0, F.floor(share)).otherwise(0).cast("long").alias("epochs"),
     ).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    slim = slim.withColumn("bucket", F.floor(F.col("place") / F.lit((1 << 48) // BUCKETS)))
-    sums = slim.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    sums = slim.groupBy("source", bucket_of(F.col("place")).alias("bucket")).agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("ahead", F.coalesce(F.sum("words").over(before), F.lit(0)))
     borders = sums.join(aims, F.col("source").eqNullSafe(F.col("of"))).where(
         (F.col("ahead") < F.col("rest")) & (F.col("ahead") + F.col("words") >= F.col("rest"))
     )
     borders = borders.select(F.col("of").alias("at"), F.col("bucket").alias("border"), "ahead")
-    aims = cut(aims.join(borders, F.col("of").eqNullSafe(F.col("at")), "left").drop("at"))
-    docs = slim.join(aims, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    return cut(aims.join(borders, F.col("of").eqNullSafe(F.col("at")), "left").drop("at"))
+
+
+def drawn(rows: DataFrame, aims: DataFrame) -> DataFrame:
+    """Rows (doc_id, source, size, place and more) with ``repeats``: whole epochs and perhaps one more.
+
+    Rows beside the border buckets are judged where they are; only those in a border bucket are moved.
+    """
+    rows = rows.withColumn("bucket", bucket_of(F.col("place")))
+    docs = rows.join(aims, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     at_border = F.col("bucket") == F.col("border")
     inside = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size")
     edge = (
@@ -115,8 +128,7 @@ def drawn(slim: DataFrame, targets: DataFrame) -> DataFrame:
     calm = docs.where(~F.coalesce(at_border, F.lit(False))).withColumn(
         "more", F.coalesce(F.col("bucket") < F.col("border"), F.lit(False))
     )
-    both = calm.unionByName(edge)
-    return both.withColumn("repeats", F.col("epochs") + F.col("more").cast("long"))
+    return calm.unionByName(edge).withColumn("repeats", F.col("epochs") + F.col("more").cast("long"))
 
 
 def mixed(
@@ -128,10 +140,32 @@ def mixed(
 ) -> DataFrame:
     """doc_id, source, size, source_size, target and repeats of every document."""
     slim = cut(sized(docs, seed))
-    out = drawn(slim, targets_of(slim, weights, budget, max_epochs))
+    out = drawn(slim, aims_of(slim, targets_of(slim, weights, budget, max_epochs)))
     return out.select("doc_id", "source", "size", "source_size", "target", "repeats")
 
 
+def resampled(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    budget: float = BUDGET,
+    max_epochs: float = MAX_EPOCHS,
+    seed: str = SEED,
+) -> DataFrame:
+    """The mix itself: the columns of the documents and ``epoch``, a row for each repetition from 1 on."""
+    named = {c: f"in_{k}" for k, c in enumerate(docs.columns)}
+    rows = docs.select(
+        *(F.col(f"`{c}`").alias(n) for c, n in named.items()),
+        "doc_id",
+        "source",
+        size_of(F.col("text")).alias("size"),
+        place_of(F.col("doc_id"), seed).alias("place"),
+    )
+    slim = cut(rows.select("doc_id", "source", "size", "place"))
+    out = drawn(rows, aims_of(slim, targets_of(slim, weights, budget, max_epochs))).where("repeats > 0")
+    out = out.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))))
+    return out.select(*(F.col(n).alias(c) for c, n in named.items() if c != "epoch"), "epoch")
+
+
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """Digest per document: doc_id, size, source_size, target, taken."""
     return mixed(docs, **options).select(

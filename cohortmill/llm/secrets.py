@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from cohortmill.llm.common import map_arrow, texts
+from cohortmill.scale import cut
 
 #: Fixed rules of the contract, on UTF-8 bytes. Kinds in the order of ties.
 ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -230,7 +231,8 @@ def learned(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_D
         ]
 
     found = map_arrow(sample, [text_col], [StructField("found", pairs)], collect)
-    found = found.select(F.inline("found")).distinct()
+    # written: the strings of each kind are chosen by a job of their own
+    found = cut(found.select(F.inline("found")).distinct())
     strings = {}
     for kind in range(4):
         rows = found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(SAMPLE_STRINGS).collect()
