@@ -7,6 +7,7 @@ from cohortmill.catalog import (  # noqa: F401
     mentions,
     notes,
     scalars,
+    studies,
     tables,
     verdicts,
 )

@@ -32,7 +32,7 @@ VIEWS: dict[str, str] = {
     "docs": """SELECT o_orderkey AS doc_id, o_custkey AS pid, o_orderdate AS doc_date,
         o_orderpriority AS doc_type, o_orderstatus AS src_table FROM orders""",
     "mentions": """SELECT l.l_orderkey AS doc_id, l.l_partkey AS cui_num,
-        concat('C', lpad(CAST(l.l_partkey AS VARCHAR), 7, '0')) AS cui,
+        printf('C%07d', l.l_partkey) AS cui,
         p.p_name AS str, p.p_type AS sty, p.p_brand AS pref,
         CAST(l.l_quantity AS INT) * 20 + l.l_linenumber AS start_pos,
         CAST(l.l_quantity AS INT) * 20 + l.l_linenumber + CAST(length(p.p_name) AS INT) AS end_pos,
@@ -47,11 +47,11 @@ VIEWS: dict[str, str] = {
         CASE WHEN experiencer <> 'Patient' THEN 'otherM' WHEN temporality <> 'Recent' THEN 'hisM'
         WHEN negation = 'Negated' THEN 'negM' ELSE 'posM' END AS ui_type,
         upper(md5(concat_ws('_', cui, negation, experiencer, temporality))) AS ctx_id FROM mentions""",
-    "edges": """SELECT concat('C', lpad(CAST(CAST(floor(p_partkey / 10) AS BIGINT) AS VARCHAR), 7, '0')) AS parent,
-        concat('C', lpad(CAST(p_partkey AS VARCHAR), 7, '0')) AS child FROM part WHERE p_partkey >= 10""",
-    "labels_dim": """SELECT concat('C', lpad(CAST(p_partkey AS VARCHAR), 7, '0')) AS cui, p_name AS label,
+    "edges": """SELECT printf('C%07d', CAST(floor(p_partkey / 10) AS BIGINT)) AS parent,
+        printf('C%07d', p_partkey) AS child FROM part WHERE p_partkey >= 10""",
+    "labels_dim": """SELECT printf('C%07d', p_partkey) AS cui, p_name AS label,
         p_type AS sty FROM part""",
-    "seeds": """SELECT name, priority, concat('C', lpad(CAST(seed AS VARCHAR), 7, '0')) AS cui FROM (VALUES
+    "seeds": """SELECT name, priority, printf('C%07d', seed) AS cui FROM (VALUES
         ('S1', 1, 1), ('S2', 2, 12), ('S3', 3, 2), ('S4', 4, 3), ('S5', 5, 4)) AS t(name, priority, seed)""",
     "closure": """SELECT name, priority, cui FROM seeds UNION
         SELECT c.name, c.priority, e.child FROM closure c JOIN edges e ON e.parent = c.cui""",
@@ -74,9 +74,9 @@ VIEWS: dict[str, str] = {
         FROM (SELECT doc_id, sent_no, sent_start, n, w,
                 sum(length(w)) OVER (PARTITION BY doc_id, sent_no ORDER BY n) - length(w) AS s
               FROM (SELECT doc_id, sent_no, sent_start,
-                      unnest(regexp_extract_all(sent_text, '[A-Za-z0-9]+|[^A-Za-z0-9]+')) AS w,
-                      generate_subscripts(regexp_extract_all(sent_text, '[A-Za-z0-9]+|[^A-Za-z0-9]+'), 1) AS n
-                    FROM sents)) WHERE regexp_matches(w, '^[A-Za-z0-9]')""",
+                      unnest(regexp_extract_all(sent_text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+')) AS w,
+                      generate_subscripts(regexp_extract_all(sent_text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+'), 1) AS n
+                    FROM sents)) WHERE regexp_matches(w, '^[\p{L}\p{N}]')""",
     "gaz": """SELECT * FROM (VALUES ('thatin','C9000001','Disease or Syndrome','Thatin'),
         ('ononst','C9000002','Disease or Syndrome','Ononst'), ('inoran','C9000003','Sign or Symptom','Inoran'),
         ('hehely','C9000004','Laboratory Procedure','Hehely'),

@@ -106,7 +106,9 @@ MAPPED = [("a", "C0000001"), ("b", "C0000002"), ("c", "C0000012"), ("d", "C00000
 def term_closure(t: Tables):
     terms = t.config(TERMS, "name string, term string")
     mapped = t.config(MAPPED, "term string, cui string")
-    return ontology.term_closure(terms, mapped, reach_of_all(t))
+    # only what the terms are mapped to is closed
+    roots = mapped.select(F.col("cui").alias("root"), "cui").distinct()
+    return ontology.term_closure(terms, mapped, ontology.transitive_closure(roots, t.edges, keys=["root"]))
 
 
 @query(
@@ -139,7 +141,7 @@ NAMES = "concat(p_name, ' ', p_type, ' ', CAST(p_partkey AS VARCHAR))"
 
 @query(
     "align_names", "U6",
-    f"""SELECT {NAMES} AS name, CASE WHEN p_type = 'SMALL' THEN '' ELSE concat('C', lpad(CAST(p_partkey AS VARCHAR), 7, '0')) END AS cui FROM part""",
+    f"""SELECT {NAMES} AS name, CASE WHEN p_type = 'SMALL' THEN '' ELSE printf('C%07d', p_partkey) END AS cui FROM part""",
 )
 def align_names(t: Tables):
     name = F.concat_ws(" ", "p_name", "p_type", F.col("p_partkey").cast("string"))
@@ -152,13 +154,13 @@ def hpo_map(t: Tables):
     """Ids of another vocabulary: the concepts of small size, several per id."""
     k = F.col("p_partkey")
     return t.raw("part").where("p_size < 20").select(
-        F.concat(F.lit("HP:"), F.lpad(F.floor(k / 10).cast("string"), 7, "0")).alias("id"),
+        F.format_string("HP:%07d", F.floor(k / 10).cast("long")).alias("id"),
         F.concat(F.lit("UMLS:"), cui_of("p_partkey")).alias("cui"),
     )
 
 
-HPO = """hpo AS (SELECT concat('HP:', lpad(CAST(CAST(floor(p_partkey / 10) AS BIGINT) AS VARCHAR), 7, '0')) AS id,
-       concat('C', lpad(CAST(p_partkey AS VARCHAR), 7, '0')) AS cui FROM part WHERE p_size < 20)"""
+HPO = """hpo AS (SELECT printf('HP:%07d', CAST(floor(p_partkey / 10) AS BIGINT)) AS id,
+       printf('C%07d', p_partkey) AS cui FROM part WHERE p_size < 20)"""
 
 
 @query(
@@ -201,7 +203,7 @@ def code_patterns(t: Tables):
 
 ICD = """icd AS (SELECT chr(CAST(65 + p_partkey % 5 AS INT)) || lpad(CAST(CAST(floor(p_partkey / 5) AS BIGINT) % 20 AS VARCHAR), 2, '0')
          || '.' || CAST(CAST(floor(p_partkey / 100) AS BIGINT) % 10 AS VARCHAR) AS icd,
-         concat('C', lpad(CAST(p_partkey AS VARCHAR), 7, '0')) AS cui FROM part),
+         printf('C%07d', p_partkey) AS cui FROM part),
        pats AS (SELECT DISTINCT CASE s_suppkey % 4
            WHEN 0 THEN chr(CAST(65 + s_suppkey % 5 AS INT)) || lpad(CAST(s_suppkey % 20 AS VARCHAR), 2, '0')
            WHEN 1 THEN chr(CAST(65 + s_suppkey % 5 AS INT)) || CAST(s_suppkey % 2 AS VARCHAR) || '#'
@@ -274,7 +276,7 @@ def judged_names(t: Tables):
 
 @query(
     "approved_mappings", "U8",
-    """SELECT DISTINCT p_name AS general, concat('C', lpad(CAST(p_partkey AS VARCHAR), 7, '0')) AS cui FROM part
+    """SELECT DISTINCT p_name AS general, printf('C%07d', p_partkey) AS cui FROM part
        WHERE p_partkey % 2 = 0 AND p_partkey % 13 <> 0""",
 )
 def approved_mappings(t: Tables):
@@ -292,8 +294,8 @@ def unparsable_mappings(t: Tables):
 @query(
     "ontology_dump", "J13",
     f"""WITH {HPO}, heads AS (SELECT DISTINCT id FROM hpo), pairs AS (SELECT DISTINCT id, 'UMLS:' || cui AS cui FROM hpo)
-       SELECT id, cui FROM pairs WHERE CAST(id[4:] AS BIGINT) % 9 <> 0 OR 'HP:' || lpad(CAST(CAST(id[4:] AS BIGINT) + 1 AS VARCHAR), 7, '0') IS NULL
-       UNION SELECT h.id, p.cui FROM heads h JOIN pairs p ON p.id = 'HP:' || lpad(CAST(CAST(h.id[4:] AS BIGINT) + 1 AS VARCHAR), 7, '0')
+       SELECT id, cui FROM pairs WHERE CAST(id[4:] AS BIGINT) % 9 <> 0 OR printf('HP:%07d', CAST(id[4:] AS BIGINT) + 1) IS NULL
+       UNION SELECT h.id, p.cui FROM heads h JOIN pairs p ON p.id = printf('HP:%07d', CAST(h.id[4:] AS BIGINT) + 1)
        WHERE CAST(h.id[4:] AS BIGINT) % 9 = 0""",
 )
 def ontology_dump(t: Tables):
@@ -301,7 +303,7 @@ def ontology_dump(t: Tables):
     number = F.substring("id", 4, 20).cast("long")
     rows = hpo_map(t)
     heads = rows.select("id").distinct()
-    after = F.concat(F.lit("HP:"), F.lpad((number + 1).cast("string"), 7, "0"))
+    after = F.format_string("HP:%07d", (number + 1).cast("long"))
     lines = rows.select(F.col("id").alias("record"), F.concat(F.lit("xref: "), F.col("cui")).alias("line"))
     lines = lines.unionByName(heads.select(F.col("id").alias("record"), F.concat(F.lit("id: "), F.col("id")).alias("line")))
     gone = heads.where(number % 9 == 0)

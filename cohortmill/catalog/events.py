@@ -13,10 +13,14 @@ from cohortmill.sources.tables import Tables
 from cohortmill.streaming import incremental
 
 
+BATCHES = 6
+
 
 def event_stream(t: Tables):
-    """The events as a stream of annotations."""
-    raw = incremental.read_new(t.spark, f"{t.folder}/events*.parquet", t.raw("events").schema)
+    """The events as a stream of annotations that comes in several batches, one file each."""
+    folder = scale.job_folder(t.spark, "events")
+    t.raw("events").repartition(BATCHES, "event_id").write.parquet(folder)
+    raw = incremental.read_new(t.spark, folder, t.raw("events").schema, files_per_batch=1)
     rows = raw.select(
         "event_id", F.col("user_id").alias("pid"), F.col("event_type").alias("concept"), "ts",
         F.floor("value").cast("long").alias("value"),
@@ -41,9 +45,10 @@ def incremental_batch(t: Tables):
 @query("incremental_docs", "ST1 N16", "SELECT event_id, pid, concept, value FROM evs")
 def incremental_docs(t: Tables):
     sink, checkpoint = folders(t, "docs")
-    incremental.incremental_docs(event_stream(t), sink, checkpoint)
+    stream = event_stream(t)
+    incremental.incremental_docs(stream, sink, checkpoint)
     # a second run finds nothing new
-    incremental.incremental_docs(event_stream(t), sink, checkpoint)
+    incremental.incremental_docs(stream, sink, checkpoint)
     return t.spark.read.parquet(sink).select("event_id", "pid", "concept", "value")
 
 

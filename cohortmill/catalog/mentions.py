@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortmill import scale
 from cohortmill.catalog.base import query
 from cohortmill.functions import context as cx
 from cohortmill.operators import filters, joins, rules, summary, textmine, validation
@@ -155,11 +156,7 @@ def disease_model_match(t: Tables):
     counts = summary.patient_concept_counts(t.text_mentions, t.text_docs)
     phen = counts.join(t.config(PHENOTYPE_MAP, "id string, cui string"), "cui").select("pid", "id", "freq")
     table = joins.disease_model_match(phen, MODEL, t.text_docs.select("pid").distinct())
-    searched = None
-    for pid, phrase, slop in FALLBACK:
-        one = textmine.text_search(t.text_docs, phrases=[(phrase, slop)]).groupBy("pid").agg(F.count("*").alias("searched"))
-        one = one.withColumn("id", F.lit(pid))
-        searched = one if searched is None else searched.unionByName(one)
+    searched = textmine.phrase_counts(t.text_docs, FALLBACK, key="pid").withColumnRenamed("n", "searched")
     full = table.join(searched, ["pid", "id"], "left")
     return full.select(
         "pid", "disease", "id", F.coalesce("freq", F.lit(0)).alias("freq"),
@@ -350,7 +347,7 @@ def bipartite_topk(t: Tables):
     "semantic_type_histogram", "A20",
     """WITH own AS (SELECT sty, cui, CAST(count(*) AS BIGINT) AS n FROM mentions GROUP BY sty, cui)
        SELECT sty, cui, n FROM own UNION ALL SELECT 'HPO', cui, CAST(sum(n) AS BIGINT) FROM own WHERE cui IN
-         (SELECT concat('C', lpad(CAST(p_partkey AS VARCHAR), 7, '0')) FROM part WHERE p_size < 20) GROUP BY cui""",
+         (SELECT printf('C%07d', p_partkey) FROM part WHERE p_size < 20) GROUP BY cui""",
 )
 def semantic_type_histogram(t: Tables):
     mapped = t.raw("part").where("p_size < 20").select("p_partkey")
@@ -373,7 +370,8 @@ TFIDF = """WITH c AS (SELECT d.pid, m.cui, count(*) AS freq FROM mentions m JOIN
 
 
 def other_scores(t: Tables):
-    counts = summary.patient_concept_counts(t.mentions, t.docs)
+    # the heaviest join runs once; the patients are counted on what it wrote
+    counts = scale.cut(summary.patient_concept_counts(t.mentions, t.docs))
     n = counts.select("pid").distinct().count()
     scored = summary.other_concept_scores(counts, t.closure.where("name = 'S2'"), n)
     return scored.withColumn("score", F.round("score", 6))
@@ -448,7 +446,7 @@ def contexted_concept_dim(t: Tables):
     return summary.contexted_concepts(t.mentions)
 
 
-CURATED = """named AS (SELECT concat('C', lpad(CAST(p_partkey AS VARCHAR), 7, '0')) AS cui, p_brand AS concept,
+CURATED = """named AS (SELECT printf('C%07d', p_partkey) AS cui, p_brand AS concept,
          CASE WHEN CAST(replace(p_brand, 'Brand#', '') AS INT) % 2 = 0 THEN 'correct' ELSE 'wrong' END AS verdict FROM part
          UNION ALL SELECT 'C9999999', 'Never seen', 'correct'),
        m1 AS (SELECT d.pid, n.concept, max(CASE WHEN n.verdict = 'correct' THEN 1 ELSE 0 END) AS curated, CAST(count(DISTINCT m.doc_id) AS BIGINT) AS n_docs

@@ -10,6 +10,8 @@ from cohortmill.operators import deident, joins, patterns, rules, sections, text
 from cohortmill.operators.rules import Rule, RuleSet
 from cohortmill.sources.tables import Tables
 
+NUMBER = r"\d+(?:[.,/]\d+)*%?"
+
 
 
 def long(name: str):
@@ -74,9 +76,7 @@ RULES = RuleSet(
 )
 
 
-@query(
-    "context_rules", "N1 SF8 SF17 SF18 PF1",
-    rf"""WITH {INDEXED},
+CONTEXT = rf"""WITH {INDEXED},
        c AS (SELECT x.*, s0.sent_text AS here, p1.sent_text AS p, n1.sent_text AS n, s0.sent_start AS ss, d.text,
            p1.sent_text IS NOT NULL AND (p1.sent_text LIKE '%?' OR lower(p1.sent_text) LIKE '%e.g.') AS q,
            p1.sent_text IS NOT NULL AND s0.sent_text LIKE 's %' AS sp, n1.sent_text IS NOT NULL AND s0.sent_text LIKE '%?' AS asks
@@ -95,14 +95,52 @@ RULES = RuleSet(
          WHEN regexp_matches(naft, '^.*the.*') OR regexp_matches(naft, '^.*und.*') THEN 'next'
          WHEN regexp_matches(aft, '(?i)^ (with|for) ') OR regexp_matches(aft, '(?i)^ from') THEN 'hypothetical'
          WHEN regexp_matches(pbef, '(?i)^.* by .*') THEN 'context' WHEN regexp_matches(bef, '(?i)^.* was .*') THEN 'negation'
-         WHEN regexp_matches(substring(text, 1, 200), '(?i)^ist ') THEN 'document' END AS ruled_by FROM f""",
-)
+         WHEN regexp_matches(substring(text, 1, 200), '(?i)^ist ') THEN 'document' END AS ruled_by FROM f"""
+
+
+@query("context_rules", "N1 SF8 SF17 SF18 PF1", CONTEXT)
 def context_rules(t: Tables):
     docs = rules.with_sentences(t.text_docs)
     rows = rules.apply_context_rules(t.text_mentions, docs, RULES)
     return rows.select("doc_id", "cui", long("start_pos"), "ruled_by")
 
 
+# sentences of a note per event, with all the neighbours that move a context: a question, an abbreviation, a split-off s
+TEMPLATE = [
+    "It was {e} or not?", "{e} in part.", "now by day e.g.", "{e} so far.", "He was ill", "s {e} more.", "so {e} here?",
+    "under it.", "ok.",
+]
+NEIGHBOURS = f"""nsents AS (SELECT doc_id, et, k - 1 AS sent_no, tpl, replace(tpl, '{{e}}', et) AS sent_text,
+         CAST(coalesce(sum(length(replace(tpl, '{{e}}', et)) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS sent_start
+         FROM (SELECT event_id AS doc_id, event_type AS et, unnest({TEMPLATE}) AS tpl, unnest(range(1, {len(TEMPLATE) + 1})) AS k FROM events)),
+       nspans AS (SELECT *, sent_start + length(sent_text) AS sent_end FROM nsents),
+       ndocs AS (SELECT doc_id, string_agg(sent_text, ' ' ORDER BY sent_no) AS text FROM nsents GROUP BY doc_id),
+       nments AS (SELECT doc_id, 'E' AS cui, et AS str, sent_start + instr(tpl, '{{e}}') - 1 AS start_pos, sent_start + instr(tpl, '{{e}}') - 1 + length(et) AS end_pos,
+         'Affirmed' AS negation, 'Recent' AS temporality, 'Patient' AS experiencer FROM nsents WHERE contains(tpl, '{{e}}'))"""
+OVER_NOTES = CONTEXT.replace("WITH idx", f"WITH {NEIGHBOURS}, idx").replace("tmentions", "nments").replace(" sents ", " nspans ").replace("JOIN documents", "JOIN ndocs")
+
+
+@query("context_rules_neighbours", "N1 W1", OVER_NOTES)
+def context_rules_neighbours(t: Tables):
+    event = F.col("event_type")
+    parts = [F.replace(F.lit(tpl), F.lit("{e}"), event) for tpl in TEMPLATE]
+    starts, at = [], F.lit(0)
+    for part in parts:
+        starts.append(at)
+        at = at + F.length(part) + 1
+    spans = [F.struct(s.alias("sent_start"), (s + F.length(p)).alias("sent_end")) for s, p in zip(starts, parts, strict=True)]
+    places = [s + tpl.index("{e}") for s, tpl in zip(starts, TEMPLATE, strict=True) if "{e}" in tpl]
+    notes = t.raw("events").select(
+        F.col("event_id").alias("doc_id"), event, F.concat_ws(" ", *parts).alias("text"),
+        F.array(*spans).alias("spans"), F.array(*places).alias("places"),
+    )
+    docs = rules.with_sentences(notes.select("doc_id", "text"), notes.select("doc_id", F.inline("spans")))
+    found = notes.select("doc_id", F.lit("E").alias("cui"), event.alias("str"), F.explode("places").alias("start_pos"))
+    found = found.withColumn("end_pos", F.col("start_pos") + F.length("str"))
+    rows = rules.apply_context_rules(found, docs, RULES)
+    return rows.select("doc_id", "cui", long("start_pos"), "ruled_by")
+
+
 WINDOWED = """w AS (SELECT m.*, substring(d.text, greatest(m.start_pos - 150, 0) + 1, m.start_pos - greatest(m.start_pos - 150, 0)) AS bef,
          substring(d.text, m.end_pos + 1, 150) AS aft, substring(d.text, 1, 200) AS head FROM tmentions m JOIN documents d ON m.doc_id = d.doc_id)"""
 WINDOW_VERDICT = """CASE WHEN regexp_matches(str, '(?i)^o[a-z]+st$') THEN 'surface'
@@ -212,7 +250,7 @@ def section_hits(t: Tables):
        CAST(CASE WHEN CAST(amount AS DOUBLE) BETWEEN 10 AND 40 THEN 1 ELSE -1 END AS BIGINT) AS verdict FROM note WHERE et = 'click'""",
 )
 def numeric_search(t: Tables):
-    rows = textmine.numeric_search(event_notes(t), anchor="click", low=10, high=40)
+    rows = textmine.numeric_search(event_notes(t), anchor="click", low=10, high=40, number=r"[\s:=]{0,5}(\d+[.]\d+)")
     return rows.select("doc_id", long("n_in"), long("n_out"), long("n_unknown"), long("verdict"))
 
 
@@ -342,7 +380,7 @@ def section_extents(t: Tables):
 )
 def extract_measurements(t: Tables):
     notes, hits = section_hits(t)
-    found = sections.extract_measurements(hits, notes, sections=list(SECTION_MAP.values()), types=["Laboratory Procedure"])
+    found = sections.extract_measurements(hits, notes, sections=list(SECTION_MAP.values()), types=["Laboratory Procedure"], number=NUMBER)
     return found.join(notes.select("doc_id", "pid"), "doc_id").select("doc_id", "pid", "cui", "value", long("start_pos"))
 
 
@@ -352,7 +390,7 @@ def extract_measurements(t: Tables):
 )
 def last_measurements(t: Tables):
     notes, hits = section_hits(t)
-    found = sections.extract_measurements(hits, notes, sections=list(SECTION_MAP.values()), types=["Laboratory Procedure"])
+    found = sections.extract_measurements(hits, notes, sections=list(SECTION_MAP.values()), types=["Laboratory Procedure"], number=NUMBER)
     return sections.last_measurement(found.join(notes.select("doc_id", "pid"), "doc_id"))
 
 

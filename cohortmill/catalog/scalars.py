@@ -10,6 +10,8 @@ from cohortmill.functions import context as cx
 from cohortmill.functions import text as tx
 from cohortmill.sources.tables import Tables
 
+NUMBER = r"\d+(?:[.,/]\d+)*%?"
+
 
 @query("context_classes", "SF1 SF2 SF3", "SELECT ctx_id, type, ui_type, CAST(count(*) AS BIGINT) AS n FROM typed GROUP BY ALL")
 def context_classes(t: Tables):
@@ -162,7 +164,7 @@ def stripped_namespaces(t: Tables):
 
 @query(
     "first_numbers", "SF16",
-    r"""SELECT doc_id, sent_no, nullif(regexp_extract(sent_text, '^[A-Za-z]+([^*\d]{1,15})(\d+%|\d+[,./]*\d+)', 2), '') AS number FROM sents
+    r"""SELECT doc_id, sent_no, nullif(regexp_extract(sent_text, '^[A-Za-z]+([^*\d]{1,15})(\d+(?:[.,/]\d+)*%?)', 2), '') AS number FROM sents
        WHERE regexp_matches(sent_text, '^[A-Za-z]+')""",
 )
 def first_numbers(t: Tables):
@@ -171,7 +173,7 @@ def first_numbers(t: Tables):
     # the number behind the first word of each sentence
     rows = textmine.sentences(t.text_docs).where(F.col("sent_text").rlike("^[A-Za-z]+"))
     end = F.length(F.regexp_extract("sent_text", "^[A-Za-z]+", 0))
-    return rows.select("doc_id", F.col("sent_no").cast("long").alias("sent_no"), tx.first_number("sent_text", end).alias("number"))
+    return rows.select("doc_id", F.col("sent_no").cast("long").alias("sent_no"), tx.first_number("sent_text", end, NUMBER).alias("number"))
 
 
 @query(
@@ -236,10 +238,10 @@ def table_cells(t: Tables):
 
 @query(
     "cuis_in_query", "SF22",
-    "SELECT p_partkey, concat('C', lpad(CAST(p_partkey AS VARCHAR), 7, '0')) AS first_id, CAST(2 AS BIGINT) AS n FROM part",
+    "SELECT p_partkey, printf('C%07d', p_partkey) AS first_id, CAST(2 AS BIGINT) AS n FROM part",
 )
 def cuis_in_query(t: Tables):
-    key = F.lpad(F.col("p_partkey").cast("string"), 7, "0")
+    key = F.format_string("%07d", F.col("p_partkey").cast("long"))
     text = F.concat(F.lit("patients with C"), key, F.lit(" or C99"), key, F.lit(", not C12"))
     found = tx.cuis_in(text)
     return t.raw("part").select("p_partkey", found[0].alias("first_id"), F.size(found).cast("long").alias("n"))

@@ -12,9 +12,9 @@ from cohortmill.sources import readers, sinks
 from cohortmill.sources.tables import Tables
 
 
-def annotation_json(mentions):
-    """One JSON line per mention in the raw annotation format."""
-    ann = F.struct(
+def annotation_struct():
+    """A mention in the raw annotation format."""
+    return F.struct(
         F.lit(readers.CONCEPT_TYPE).alias("type"),
         F.struct(F.col("start_pos").alias("offset")).alias("startNode"),
         F.struct(F.col("end_pos").alias("offset")).alias("endNode"),
@@ -24,11 +24,12 @@ def annotation_json(mentions):
             F.col("experiencer").alias("Experiencer"), F.col("str").alias("string_orig"),
         ).alias("features"),
     )
-    return mentions.select(
-        F.to_json(
-            F.struct(F.col("doc_id").cast("string").alias("docId"), F.array(F.array(ann)).alias("annotations"))
-        ).alias("value")
-    )
+
+
+def annotation_json(mentions):
+    """One JSON line per mention in the raw annotation format."""
+    line = F.struct(F.col("doc_id").cast("string").alias("docId"), F.array(F.array(annotation_struct())).alias("annotations"))
+    return mentions.select(F.to_json(line).alias("value"))
 
 
 @query(
@@ -44,15 +45,19 @@ def annotation_lines(t: Tables):
 
 @query(
     "annotation_files", "SC3",
-    "SELECT doc_type AS doc_type, CAST(count(*) AS BIGINT) AS n, CAST(sum(start_pos) AS BIGINT) AS s FROM mentions m JOIN docs d ON m.doc_id = d.doc_id GROUP BY doc_type",
+    """SELECT CAST(floor(doc_id / 500) AS BIGINT) AS file, CAST(count(*) AS BIGINT) AS n, CAST(sum(start_pos) AS BIGINT) AS s
+       FROM mentions GROUP BY 1""",
 )
 def annotation_files(t: Tables):
+    # one JSON file for the mentions of some hundred documents, named by the folder it stands in
     folder = scale.job_folder(t.spark, "annotations")
-    annotation_json(t.mentions).write.text(folder)
-    parsed = readers.read_annotation_lines(t.spark, folder)
-    rows = readers.concept_mentions(parsed).withColumn("doc_id", F.col("doc_id").cast("long"))
-    counted = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start_pos").alias("s"))
-    return counted.join(t.docs, "doc_id").groupBy("doc_type").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    ann = t.mentions.select(F.floor(F.col("doc_id") / 500).alias("file"), annotation_struct().alias("ann"))
+    whole = ann.groupBy("file").agg(F.to_json(F.struct(F.array(F.collect_list("ann")).alias("annotations"))).alias("value"))
+    whole.repartition("file").write.partitionBy("file").text(folder)
+    parsed = readers.read_annotation_files(t.spark, f"{folder}/*", key=r"file=(\d+)/")
+    rows = readers.concept_mentions(parsed)
+    counted = rows.groupBy(F.col("doc_id").cast("long").alias("file")).agg(F.count(F.lit(1)).alias("n"), F.sum("start_pos").alias("s"))
+    return counted.select("file", "n", F.col("s").cast("long").alias("s"))
 
 
 @query(
@@ -68,10 +73,15 @@ def repaired_lines(t: Tables):
 
 @query(
     "read_documents", "SC4",
-    "SELECT lang, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang",
+    "SELECT CAST(item_id AS VARCHAR) AS doc_id, CAST(length(text) AS BIGINT) AS chars, md5(text) AS digest FROM benchmark",
 )
 def read_documents(t: Tables):
-    return t.text_docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    # one text file per item; the writer ends it with a line break
+    folder = scale.job_folder(t.spark, "texts")
+    t.raw("benchmark").repartition("item_id").select("item_id", F.col("text").alias("value")).write.partitionBy("item_id").text(folder)
+    docs = readers.read_documents(t.spark, f"{folder}/*", key=r"item_id=(\d+)/")
+    text = F.substring("text", F.lit(1), F.length("text") - 1)
+    return docs.select("doc_id", F.length(text).cast("long").alias("chars"), F.md5(text).alias("digest"))
 
 
 @query(

@@ -36,14 +36,23 @@ def expand_code(code: str | Column) -> Column:
 
 
 def expand_range(code: str | Column) -> Column:
-    """``A10-A15`` or ``A10-15`` as its three-character codes, both ends included."""
+    """``A10-A15`` or ``A10-15`` as its codes, both ends included.
+
+    Numbers are filled up to the width of the lower bound, two digits at least, and never cut.
+    """
     c = F.upper(F.trim(_col(code)))
     pattern = r"^([A-Z])(\d+)-[A-Z]?(\d+)"
     low = F.regexp_extract(c, pattern, 2).cast("int")
     high = F.regexp_extract(c, pattern, 3).cast("int")
+    width = F.greatest(F.length(F.regexp_extract(c, pattern, 2)), F.lit(2))
+
+    def filled(n: Column) -> Column:
+        digits = n.cast("string")
+        return F.lpad(digits, F.greatest(width, F.length(digits)), F.lit("0"))
+
     codes = F.transform(
         F.sequence(low, high),
-        lambda n: F.concat(F.regexp_extract(c, pattern, 1), F.lpad(n.cast("string"), 2, "0")),
+        lambda n: F.concat(F.regexp_extract(c, pattern, 1), filled(n)),
     )
     return F.when(c.rlike(pattern) & (low <= high), codes).when(
         c.rlike(pattern), F.array().cast("array<string>")

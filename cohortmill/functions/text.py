@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cohortmill import schemas
+
 # fixed values: words left out of word-vector training
 STOP_WORDS = ["", "the", "a", "an", "these", "that"]
 # fixed values: window sizes in characters
@@ -18,7 +20,12 @@ SNIPPET_WINDOW = 20
 TOKEN_REACH = 30
 
 SENTENCE = r"[^.\n\s][^.\n]*\.?"
-WORD = r"[A-Za-z0-9]+"
+# letters and digits of any script
+WORD = r"[\p{L}\p{N}]+"
+NO_WORD = r"[^\p{L}\p{N}]+"
+
+# matches whose offsets are added up at once
+FOLD = 128
 
 
 def _col(c: str | Column) -> Column:
@@ -70,10 +77,17 @@ def find_spans(text: str | Column, pattern: str, group: int = 0) -> Column:
         parts = F.arrays_zip(
             F.transform(gaps, F.length).alias("gap"), F.transform(whole, F.length).alias("len"), shown.alias("str")
         )
-    start = F.struct(
-        F.lit(0).alias("pos"),
-        F.array().cast("array<struct<start:int,end:int,str:string>>").alias("out"),
-    )
+    return _placed(parts)
+
+
+def _placed(parts: Column) -> Column:
+    """Spans from ``array<struct<gap, len, str>>``; a part without length is left out.
+
+    Offsets are added up in two levels, within stretches of FOLD parts and over the stretches, so that no array
+    grows with the text while it is built.
+    """
+    empty = F.array().cast("array<struct<start:int,end:int,str:string>>")
+    add = lambda a, b: a + b
 
     def step(acc: Column, part: Column) -> Column:
         s = acc["pos"] + part["gap"]
@@ -82,7 +96,22 @@ def find_spans(text: str | Column, pattern: str, group: int = 0) -> Column:
         longer = F.struct(e.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
         return F.when(part["len"].isNull(), acc).otherwise(longer)
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    def fold(stretch: Column, begin: Column) -> Column:
+        return F.aggregate(stretch, F.struct(begin.alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    def cut_up(all_parts: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(all_parts) - 1) / FOLD).cast("int"))
+        stretches = F.transform(numbers, lambda k: F.slice(all_parts, k * FOLD + 1, F.lit(FOLD)))
+        return F.when(F.size(all_parts) > 0, stretches).otherwise(F.array().cast("array<array<struct<gap:int,len:int,str:string>>>"))
+
+    def place(stretches: Column) -> Column:
+        lengths = F.transform(
+            stretches, lambda x: F.aggregate(x, F.lit(0), lambda n, p: n + p["gap"] + F.coalesce(p["len"], F.lit(0)))
+        )
+        ahead = lambda sums, k: F.aggregate(F.slice(sums, F.lit(1), k), F.lit(0), add)
+        return let(lengths, lambda sums: F.flatten(F.transform(stretches, lambda x, k: fold(x, ahead(sums, k)))))
+
+    return let(parts, lambda p: let(cut_up(p), place))
 
 
 def sentence_spans(text: str | Column = "text") -> Column:
@@ -91,7 +120,7 @@ def sentence_spans(text: str | Column = "text") -> Column:
 
 
 def word_spans(text: str | Column) -> Column:
-    """ASCII words with their offsets."""
+    """Words of letters and digits with their offsets."""
     return find_spans(text, WORD)
 
 
@@ -167,15 +196,22 @@ def tokens_after(text: str | Column, end: int | Column, n: int) -> Column:
     return first_items(_blank_tokens, text, end, n)
 
 
-def first_number(text: str | Column, end: int | Column, max_distance: int = 15) -> Column:
-    """First number after a position that starts within ``max_distance`` characters.
+def first_number(text: str | Column, end: int | Column, number: str, max_distance: int = 15) -> Column:
+    """First number after a position that starts within ``max_distance`` characters, at full length.
 
-    A number is a percentage or digits with an inner comma, point or slash; digits glued to
-    an asterisk or to other digits do not start one.
+    ``number`` is the expression of a number. Digits glued to an asterisk or to other digits do not start one.
     """
-    rest = F.substring(_col(text), _int(end) + 1, F.lit(max_distance + 40))
-    pattern = r"^([^*\d]{1,%d})(\d+%%|\d+[,./]*\d+)" % max_distance
-    return F.nullif(F.regexp_extract(rest, pattern, 2), F.lit(""))
+    t, at = _col(text), _int(end) + 1
+    pattern = rf"^[^*\d]{{1,{max_distance}}}({number})"
+    reach = max_distance + 40
+
+    def found(rest: Column) -> Column:
+        return F.regexp_extract(rest, pattern, 1)
+
+    near = F.substring(t, at, F.lit(reach))
+    # a number that may go on beyond the stretch is read from the whole rest
+    cut_off = F.length(F.regexp_extract(near, pattern, 0)) == reach
+    return F.nullif(F.when(cut_off, found(F.substring(t, at, F.length(t)))).otherwise(found(near)), F.lit(""))
 
 
 def mask(value: str | Column, char: str = "x") -> Column:
@@ -205,27 +241,23 @@ def original_string_match(surface: str | Column, patterns: list[str]) -> Column:
     return hit
 
 
+def _joined(text: Column, spans: Column, show: Callable[[Column], Column], start: str, end: str) -> Column:
+    """Text with ``show`` of each span in place of it; pieces are joined once."""
+
+    def build(ordered: Column) -> Column:
+        since = lambda k: F.when(k > 0, F.get(ordered, k - 1)[end]).otherwise(0)
+        pieces = F.transform(ordered, lambda x, k: F.concat(slice_text(text, since(k), x[start]), show(x)))
+        last = F.coalesce(F.get(ordered, F.size(ordered) - 1)[end], F.lit(0))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, last + 1, F.length(text)))
+
+    return let(F.array_sort(spans), build)
+
+
 def highlight(text: str | Column, spans: Column, open_tag: str = "<em>", close_tag: str = "</em>") -> Column:
     """Text with every span of ``array<struct<start, end>>`` put into tags, in start order."""
     t = _col(text)
-    begin = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-
-    def step(acc: Column, span: Column) -> Column:
-        piece = F.concat(
-            acc["out"],
-            slice_text(t, acc["pos"], span["start"]),
-            F.lit(open_tag),
-            slice_text(t, span["start"], span["end"]),
-            F.lit(close_tag),
-        )
-        return F.struct(span["end"].alias("pos"), piece.alias("out"))
-
-    return F.aggregate(
-        F.array_sort(spans),
-        begin,
-        step,
-        lambda acc: F.concat(acc["out"], F.substring(t, acc["pos"] + 1, F.length(t))),
-    )
+    tagged = lambda x: F.concat(F.lit(open_tag), slice_text(t, x["start"], x["end"]), F.lit(close_tag))
+    return _joined(t, spans, tagged, "start", "end")
 
 
 def snippet(text: str | Column, start: int | Column, end: int | Column, window: int = SNIPPET_WINDOW) -> Column:
@@ -246,19 +278,7 @@ def snippet(text: str | Column, start: int | Column, end: int | Column, window:
 
 def insert_marks(text: str | Column, marks: Column) -> Column:
     """Text with ``array<struct<pos, mark>>`` put in at their positions."""
-    t = _col(text)
-    begin = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-
-    def step(acc: Column, m: Column) -> Column:
-        piece = F.concat(acc["out"], slice_text(t, acc["pos"], m["pos"]), m["mark"])
-        return F.struct(m["pos"].alias("pos"), piece.alias("out"))
-
-    return F.aggregate(
-        F.array_sort(marks),
-        begin,
-        step,
-        lambda acc: F.concat(acc["out"], F.substring(t, acc["pos"] + 1, F.length(t))),
-    )
+    return _joined(_col(text), marks, lambda m: m["mark"], "pos", "pos")
 
 
 def occurrences(text: str | Column, surface: str | Column) -> Column:
@@ -269,15 +289,8 @@ def occurrences(text: str | Column, surface: str | Column) -> Column:
     right = F.when(s.rlike(r"[A-Za-z0-9_]\z"), r"(?![A-Za-z0-9_])").otherwise(r"(?=[A-Za-z0-9_])")
     quoted = F.regexp_replace(s, r"([^A-Za-z0-9\s])", r"\\$1")
     gaps = F.split(t, F.concat(F.lit("(?i)"), left, quoted, right), -1)
-    begin = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, gap: Column) -> Column:
-        at = acc["pos"] + F.length(gap)
-        return F.struct(
-            (at + F.length(s)).alias("pos"), F.concat(acc["out"], F.array(at)).alias("out")
-        )
-
-    every = F.aggregate(gaps, begin, step, lambda acc: acc["out"])
+    parts = F.transform(gaps, lambda g: F.struct(F.length(g).alias("gap"), F.length(s).alias("len"), s.alias("str")))
+    every = F.transform(_placed(parts), lambda x: x["start"])
     # the piece behind the last match is not followed by one
     return let(every, lambda found: F.slice(found, F.lit(1), F.size(found) - 1))
 
@@ -305,24 +318,23 @@ def relocate(text: str | Column, start: int | Column, end: int | Column, surface
 
 
 def repair_quotes(json_text: str | Column) -> Column:
-    """Escape bare double quotes inside the text features of an annotation JSON string."""
+    """Escape bare double quotes inside the string features of an annotation JSON line.
+
+    A value runs from behind its feature name to the quote behind which the next name or the end of the object
+    stands. Names are those of :data:`schemas.RAW_ANNOTATION`.
+    """
     t = _col(json_text)
-    # a feature value runs up to the first  ","  or  "}  or  ", "  that follows it
-    pattern = r'(string_orig":"|pref": "|PREF":"|str": ")(.*?)(?=","|"\}|", ")'
+    names = "|".join(schemas.RAW_ANNOTATION["features"].dataType.names)
+    opened = rf'"(?:{names})"\s*:\s*"'
+    closed = r'"\s*(?:,\s*"\w+"\s*:|\})'
+    pattern = f"({opened})(.*?)(?={closed})"
     gaps = F.split(t, pattern, -1)
     heads = F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
     values = F.regexp_extract_all(t, F.lit(pattern), F.lit(2))
-    fixed = F.zip_with(
-        heads,
-        values,
-        lambda h, v: F.concat(
-            h,
-            F.when(
-                F.contains(v, F.lit('"')),
-                F.replace(F.replace(v, F.lit("\\"), F.lit("")), F.lit('"'), F.lit('\\"')),
-            ).otherwise(v),
-        ),
-    )
+    # quotes that are escaped already count as bare ones
+    escaped = lambda v: F.replace(F.replace(v, F.lit("\\"), F.lit("")), F.lit('"'), F.lit('\\"'))
+    bare = lambda v: F.when(v.contains('"'), escaped(v)).otherwise(v)
+    fixed = F.zip_with(heads, values, lambda h, v: F.concat(h, bare(v)))
     pairs = F.zip_with(gaps, fixed, lambda g, f: F.concat(g, F.coalesce(f, F.lit(""))))
     return F.array_join(pairs, "")
 

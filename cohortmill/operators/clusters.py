@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,8 @@ from cohortmill import scale
 
 # rows of one cell that one task compares; larger cells are cut into blocks of this size
 BLOCK_ROWS = 1_000
-MAX_PIVOTS = 256
+# a cell for so many points, up to the square root of their number
+CELL_POINTS = 100
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -26,43 +28,50 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def choose_pivots(points: DataFrame, rows: int) -> np.ndarray:
-    """A fixed small number of points, by hash order, as centres of the cells."""
-    k = max(1, min(MAX_PIVOTS, rows // BLOCK_ROWS))
+    """Points, by hash order, as centres of the cells.
+
+    Their number grows with the square root of the rows: cells stay of that size, too, and the centres fit any driver.
+    """
+    k = max(1, min(rows // CELL_POINTS, math.isqrt(rows)))
     sample = points.orderBy(F.xxhash64("id"), "id").limit(k).select("vec").collect()
     return np.array([r["vec"] for r in sample], dtype="float64")
 
 
+def cells_of(x: np.ndarray, pivots: np.ndarray, eps: float, halo: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, cell and whether it is the row's home, for every cell that a row is put into."""
+    cells = np.arange(len(pivots))
+    d = _distances(x, pivots)
+    home = d.argmin(1)
+    near = d[np.arange(len(x)), home]
+    homes, own = np.unique(home, return_inverse=True)
+    gap = 2.0 * _distances(pivots[homes], pivots)[own]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plane = np.where(gap > 0, (d**2 - near[:, None] ** 2) / gap, 0.0)
+    take = plane <= eps + 1e-9
+    if halo == "lower":
+        take &= cells[None, :] < home[:, None]
+    elif halo == "none":
+        take[:] = False
+    take[np.arange(len(x)), home] = True
+    row, cell = np.nonzero(take)
+    return row, cell, cell == home[row]
+
+
 def _cells(points: DataFrame, pivots: np.ndarray, eps: float, *, halo: str) -> DataFrame:
     """Points in the cell of their nearest pivot, and in each cell they can have partners in.
 
     A point whose distance to the plane between its pivot and another one exceeds ``eps`` has no
-    partner beyond that plane. ``halo`` is ``lower`` (only to cells of a lower number, which
-    meets each pair of cells once), ``all`` or ``none``.
+    partner beyond that plane. ``halo`` is ``lower`` (only to cells of a lower number), ``all`` or ``none``.
     """
-    apart = _distances(pivots, pivots)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = np.arange(len(pivots))
         for batch in batches:
             if batch.empty:
                 continue
-            x = np.array(batch["vec"].tolist(), dtype="float64")
-            d = _distances(x, pivots)
-            home = d.argmin(1)
-            near = d[np.arange(len(x)), home]
-            gap = 2.0 * apart[home]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = np.where(gap > 0, (d**2 - near[:, None] ** 2) / gap, 0.0)
-            take = plane <= eps + 1e-9
-            if halo == "lower":
-                take &= cells[None, :] < home[:, None]
-            elif halo == "none":
-                take[:] = False
-            take[np.arange(len(x)), home] = True
-            row, cell = np.nonzero(take)
+            row, cell, home = cells_of(np.array(batch["vec"].tolist(), dtype="float64"), pivots, eps, halo)
             out = batch.iloc[row].copy()
             out["cell"] = cell.astype("int32")
-            out["home"] = cell == home[row]
+            out["home"] = home
             yield out
 
     schema = "id long, vec array<double>, cell int, home boolean"
@@ -81,12 +90,13 @@ def _within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
     return near
 
 
-def _forest(x: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, eps: float) -> list[tuple[int, int]]:
+def _forest(
+    x: np.ndarray, ids: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, eps: float
+) -> list[tuple[int, int]]:
     """Edges that join all rows linked by a pair within eps, at most one less than the rows.
 
-    Compares ``left`` rows with ``right`` rows; a pair that is already connected adds no edge.
+    Compares ``left`` rows with ``right`` rows; a pair that is already connected, by ``group``, adds no edge.
     """
-    group = np.arange(len(x))
     edges = []
     rows, others = np.nonzero(left)[0], np.nonzero(right)[0]
     y = x[others]
@@ -105,14 +115,14 @@ def _forest(x: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray,
 def eps_edges(points: DataFrame, eps: float, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """A spanning set of edges ``(src, dst)`` of the graph of points within ``eps``.
 
-    Every pair within ``eps`` is compared in exactly one cell. Cells larger than a block are cut
-    into blocks, and pairs of blocks are separate tasks, so no task grows with a cell. Each task
+    A pair is compared in one cell only: in the lower of its two home cells, where one of them is at home. Cells larger
+    than a block are cut into blocks, and pairs of blocks are separate tasks, so no task grows with a cell. Each task
     returns connecting edges only, never all pairs.
     """
     rows = points.count()
     placed = scale.cut(_cells(points, choose_pivots(points, rows), eps, halo="lower"))
     sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    # one row per cell, and there are at most MAX_PIVOTS cells
+    # one row per cell, and the cells are about the square root of the rows
     blocked = placed.join(F.broadcast(sizes), "cell").withColumn(
         "blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     )
@@ -125,32 +135,36 @@ def eps_edges(points: DataFrame, eps: float, *, block_rows: int = BLOCK_ROWS) ->
     def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         _, a, b = key
         x = np.array(part["vec"].tolist(), dtype="float64")
-        ids, blk = part["id"].to_numpy(), part["blk"].to_numpy()
-        edges = _forest(x, ids, blk == a, blk == b, eps)
+        ids, blk, home = part["id"].to_numpy(), part["blk"].to_numpy(), part["home"].to_numpy()
+        group = np.arange(len(x))
+        # pairs of two guests meet where one of them is at home
+        edges = _forest(x, ids, group, (blk == a) & home, blk == b, eps)
+        if a != b:
+            edges += _forest(x, ids, group, (blk == b) & home, (blk == a) & ~home, eps)
         return pd.DataFrame(edges, columns=["src", "dst"], dtype="int64")
 
     return tasks.groupBy("cell", "a", "b").applyInPandas(compare, "src long, dst long")
 
 
-def connected_components(edges: DataFrame, *, max_rounds: int = 200) -> DataFrame:
-    """``id, component`` (the smallest id) of all nodes in ``edges(src, dst)``.
+def connected_components(edges: DataFrame) -> DataFrame:
+    """``id, component`` (the smallest id) of all nodes in ``edges(src, dst)``, ids of any type that has an order.
 
-    Alternates two star steps that hang neighbours on the smallest id seen; only minima are
-    aggregated, so a node with very many neighbours is no problem. Each round is written to the
-    shared folder.
+    Alternates two star steps that hang neighbours on the smallest id seen, until nothing changes; rounds grow with the
+    logarithm of the longest path. Minima are written before they are joined, so that the join may split the
+    edges of a hub. Each round is written to the shared folder.
     """
     pairs = edges.where("src <> dst").select(
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
     ).distinct()
-    pairs = scale.cut(pairs)
-    last = None
-    for _ in range(max_rounds):
+    pairs, last = scale.cut(pairs), None
+    while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = scale.cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         # neighbours above a node hang on the smallest id around it
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        above = scale.skew_join(both.where("v > u"), low, "u")
+        large = scale.cut(above.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = scale.cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        joined = scale.skew_join(large, low, "u")
         # neighbours below a node, and the node, hang on the smallest of them
         small = (
             joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -164,7 +178,6 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 200) -> DataFram
             roots = pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             return ends.unionByName(roots)
         last = mark
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
 def density_clusters(vectors: DataFrame, eps: float, *, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -63,7 +63,7 @@ def within_relative_window(
 
 def only_docs(mentions: DataFrame, doc_ids: DataFrame) -> DataFrame:
     """Mentions of the listed documents."""
-    return scale.split_hot_join(mentions, doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    return scale.skew_join(mentions, scale.cut(doc_ids.select("doc_id").distinct()), "doc_id", "left_semi")
 
 
 def cohort_filter(rows: DataFrame, cohort: DataFrame) -> DataFrame:

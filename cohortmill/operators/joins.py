@@ -12,7 +12,7 @@ from cohortmill import scale
 
 def attach_patient(mentions: DataFrame, docs: DataFrame) -> DataFrame:
     """Mentions with the patient of their document."""
-    return scale.split_hot_join(mentions, docs.select("doc_id", "pid"), "doc_id")
+    return scale.skew_join(mentions, docs.select("doc_id", "pid"), "doc_id")
 
 
 def unmapped_docs(mentions: DataFrame, docs: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def mentions_in_sections(mentions: DataFrame, sections: DataFrame) -> DataFrame:
     """
     item = F.struct("start", "end", "header_end", "section", "original_section")
     per_doc = sections.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("_secs"))
-    rows = scale.split_hot_join(mentions, per_doc, "doc_id")
+    rows = scale.skew_join(mentions, scale.cut(per_doc), "doc_id")
     inside = F.filter(
         "_secs",
         lambda s: (F.col("start_pos") >= s["header_end"]) & (F.col("start_pos") < s["end"]),
@@ -57,17 +57,21 @@ def mentions_in_sections(mentions: DataFrame, sections: DataFrame) -> DataFrame:
     )
 
 
-def episode_windows(mentions: DataFrame, episodes: DataFrame, *, names: Sequence[str]) -> DataFrame:
+def episode_windows(mentions: DataFrame, episodes: DataFrame, *, names: Sequence[str], days: int = 64) -> DataFrame:
     """Mention counts per episode, window and concept: ``episodes(ep_id, pid, <w>_s, <w>_e …)``.
 
     ``mentions(pid, doc_date, concept, n)`` is already counted by patient, day and concept, so a
-    patient with very many mentions reaches the join as few rows.
+    patient with very many mentions reaches the join as few rows. Both sides meet by patient and stretch of
+    ``days`` days, so a patient with very many episodes spreads over many keys.
     """
     stacked = F.expr(
         f"stack({len(names)}, " + ", ".join(f"'{w}', {w}_s, {w}_e" for w in names) + ") AS (win, t0, t1)"
     )
     windows = episodes.select("ep_id", "pid", stacked)
-    hits = windows.join(mentions, "pid").where(F.col("doc_date").between(F.col("t0"), F.col("t1")))
+    stretch = lambda c: F.floor(F.unix_date(F.to_date(c)) / days)
+    spread = windows.where("t0 <= t1").withColumn("_b", F.explode(F.sequence(stretch("t0"), stretch("t1"))))
+    there = mentions.withColumn("_b", stretch("doc_date"))
+    hits = spread.join(there, ["pid", "_b"]).where(F.col("doc_date").between(F.col("t0"), F.col("t1")))
     return hits.groupBy("ep_id", "pid", "win", "concept").agg(F.sum("n").alias("n"))
 
 

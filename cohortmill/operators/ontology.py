@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from cohortmill import scale
 from cohortmill.functions import codes
 
+# Rounds of a closure whose files are read apart before they are written as one table.
+LAYERS = 16
+
 
 def transitive_closure(
     seeds: DataFrame,
@@ -17,7 +20,6 @@ def transitive_closure(
     *,
     keys: Sequence[str] = (),
     skip: DataFrame | None = None,
-    max_rounds: int = 1000,
 ) -> DataFrame:
     """All concepts at or below each seed: ``seeds(keys…, cui)``, ``edges(parent, child)``.
 
@@ -32,7 +34,8 @@ def transitive_closure(
     steps = scale.cut(steps)
     frontier = scale.cut(seeds.select(*by).distinct())
     found = frontier
-    for _ in range(max_rounds):
+    layers = 1
+    while True:
         reached = (
             frontier.join(steps, F.col("cui") == F.col("parent"))
             .select(*keys, F.col("child").alias("cui"))
@@ -43,7 +46,10 @@ def transitive_closure(
         if frontier.isEmpty():
             return found
         found = found.unionByName(frontier)
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+        layers += 1
+        if layers == LAYERS:
+            # a deep graph must not read one more set of files in each round
+            found, layers = scale.cut(found), 1
 
 
 def direct_children(concepts: DataFrame, edges: DataFrame) -> DataFrame:

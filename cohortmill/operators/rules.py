@@ -90,14 +90,24 @@ def regex_verdict(rules: Sequence[Rule], contexts: dict[str, Column]) -> Column:
     return F.coalesce(*tests) if tests else F.lit(None).cast("struct<rule:string,matched:string>")
 
 
-def cut_off_verdict(rules: Sequence[Rule], text: Column, start: Column) -> Column:
-    """Verdict of the first cut-off rule with an anchor at or before the mention."""
+def cut_off_anchors(rules: Sequence[Rule]) -> list[str]:
+    """Anchors of the cut-off rules, each once."""
+    return list(dict.fromkeys(p for rule in rules if rule.offset == CUT_OFF for p in rule.patterns))
+
+
+def cut_off_verdict(rules: Sequence[Rule], places: Column, start: Column) -> Column:
+    """Verdict of the first cut-off rule with an anchor at or before the mention.
+
+    ``places`` are the first positions of :func:`cut_off_anchors` in the text, found once per document.
+    """
+    order = {anchor: k for k, anchor in enumerate(cut_off_anchors(rules))}
     tests = []
     for rule in rules:
         if rule.offset == CUT_OFF:
             hit = F.lit(False)
             for anchor in rule.patterns:
-                hit = hit | tx.at_or_after_anchor(text, start, anchor)
+                place = F.get(places, F.lit(order[anchor]))
+                hit = hit | ((place > 0) & (start >= place))
             tests.append(F.when(hit, _verdict(rule.name, F.lit(f"CUTOFF: {rule.name}"))))
     return F.coalesce(*tests) if tests else F.lit(None).cast("struct<rule:string,matched:string>")
 
@@ -143,7 +153,7 @@ def apply_window_rules(mentions: DataFrame, docs: DataFrame, rules: Sequence[Rul
 
     The text is joined once per document and leaves the row again with the windows.
     """
-    rows = scale.split_hot_join(mentions.drop("ruled_by", "matched"), docs.select("doc_id", "text"), "doc_id")
+    rows = scale.skew_join(mentions.drop("ruled_by", "matched"), docs.select("doc_id", "text"), "doc_id")
     contexts = {
         "before": tx.before("text", F.col("start_pos")),
         "after": tx.after("text", F.col("end_pos")),
@@ -155,7 +165,7 @@ def apply_window_rules(mentions: DataFrame, docs: DataFrame, rules: Sequence[Rul
 
 def rule_chain(mentions: DataFrame, docs: DataFrame, ruleset: RuleSet, *, repair: bool = True) -> DataFrame:
     """First verdict of: skip terms, original string, window rules, labels of the mention."""
-    rows = scale.split_hot_join(mentions.drop("ruled_by", "matched"), docs.select("doc_id", "text"), "doc_id")
+    rows = scale.skew_join(mentions.drop("ruled_by", "matched"), docs.select("doc_id", "text"), "doc_id")
     at = (
         tx.relocate("text", F.col("start_pos"), F.col("end_pos"), "str")
         if repair
@@ -200,12 +210,42 @@ def _overlap(span: Column, start: Column, end: Column) -> Column:
     return ((start >= span["start"]) & (start <= span["end"])) | ((end >= span["start"]) & (end <= span["end"]))
 
 
-def sentence_index(sents: Column, start: Column, end: Column) -> Column:
-    """Number of the first sentence that overlaps the mention, null if none does."""
-    hits = F.filter(
-        F.transform(sents, lambda s, i: F.when(_overlap(s, start, end), i)), lambda i: i.isNotNull()
+def ends_in_order(sents: Column) -> Column:
+    """Whether no sentence ends before the one in front of it."""
+    begin = F.struct(F.lit(-1).alias("last"), F.lit(True).alias("ok"))
+    step = lambda acc, s: F.struct(
+        s["end"].cast("int").alias("last"), (acc["ok"] & (s["end"] >= acc["last"])).alias("ok")
     )
-    return F.get(hits, F.lit(0))
+    return F.aggregate(sents, begin, step, lambda acc: acc["ok"])
+
+
+def _first_ending(sents: Column, at: Column) -> Column:
+    """Number of the first sentence that ends at or after a position, by halving."""
+    begin = F.struct(F.lit(0).alias("low"), F.size(sents).alias("high"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        late = F.get(sents, middle)["end"] >= at
+        halved = F.struct(
+            F.when(late, acc["low"]).otherwise(middle + 1).alias("low"), F.when(late, middle).otherwise(acc["high"]).alias("high")
+        )
+        return F.when(acc["low"] < acc["high"], halved).otherwise(acc)
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(sents) + 1)).cast("int"))
+    return F.aggregate(steps, begin, halve, lambda acc: acc["low"])
+
+
+def sentence_index(sents: Column, start: Column, end: Column, in_order: Column) -> Column:
+    """Number of the first sentence that overlaps the mention, null if none does.
+
+    Where ends are in order, the first that ends behind the start overlaps, or else the first that ends behind the end
+    does, if any; both are found by halving. Nested spans are gone through one by one.
+    """
+    every = F.transform(sents, lambda s, i: F.when(_overlap(s, start, end), i))
+    one_by_one = F.get(F.filter(every, lambda i: i.isNotNull()), F.lit(0))
+    near = F.array(_first_ending(sents, start), _first_ending(sents, end))
+    halved = F.get(F.filter(near, lambda i: F.coalesce(_overlap(F.get(sents, i), start, end), F.lit(False))), F.lit(0))
+    return F.when(in_order, halved).otherwise(one_by_one)
 
 
 def sentence_of(mentions: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -214,13 +254,14 @@ def sentence_of(mentions: DataFrame, sentences: DataFrame) -> DataFrame:
     per_doc = sentences.select("doc_id", span.alias("s")).groupBy("doc_id").agg(
         F.sort_array(F.collect_list("s")).alias("sents")
     )
-    rows = scale.split_hot_join(mentions, per_doc, "doc_id", "left")
-    first = F.get(F.col("sents"), sentence_index(F.col("sents"), F.col("start_pos"), F.col("end_pos")))
+    per_doc = scale.cut(per_doc.withColumn("_even", ends_in_order(F.col("sents"))))
+    rows = scale.skew_join(mentions, per_doc, "doc_id", "left")
+    first = F.get(F.col("sents"), sentence_index(F.col("sents"), F.col("start_pos"), F.col("end_pos"), F.col("_even")))
     return (
         rows.withColumn("_s", first)
         .withColumn("sent_start", F.col("_s.start"))
         .withColumn("sent_end", F.col("_s.end"))
-        .drop("_s", "sents")
+        .drop("_s", "sents", "_even")
     )
 
 
@@ -243,9 +284,15 @@ def apply_context_rules(
     if closure is not None:
         wanted = closure.select("cui").distinct()
         rows = rows.join(scale.bounded_broadcast(wanted), "cui", "left_semi")
-    rows = scale.split_hot_join(rows, docs.select("doc_id", "text", "sents"), "doc_id")
+    low = F.lower("text")
+    cuts = [F.instr(low, a.lower()) - 1 for a in cut_off_anchors(ruleset.rules)]
+    # what depends on the document only is worked out once for all its mentions
+    per_doc = docs.select(
+        "doc_id", "text", "sents", ends_in_order(F.col("sents")).alias("_even"), F.array(*cuts).cast("array<int>").alias("_cuts")
+    )
+    rows = scale.skew_join(rows, per_doc, "doc_id")
     text, start, end, surface = F.col("text"), F.col("start_pos"), F.col("end_pos"), F.col("str")
-    rows = rows.withColumn("_i", sentence_index(F.col("sents"), start, end))
+    rows = rows.withColumn("_i", sentence_index(F.col("sents"), start, end, F.col("_even")))
     rows = rows.withColumn("_sent", F.get(F.col("sents"), F.col("_i")))
     sent, i = F.col("_sent"), F.col("_i")
 
@@ -293,13 +340,13 @@ def apply_context_rules(
     verdict = F.coalesce(
         surface_verdict(ruleset.surface_patterns, F.col("_surface")),
         skip_verdict(ruleset.skip_terms, F.col("_surface")),
-        cut_off_verdict(ruleset.rules, text, start + shift),
+        cut_off_verdict(ruleset.rules, F.col("_cuts"), start + shift),
         regex_verdict(ruleset.rules, contexts),
     )
     # without a sentence there is no context to judge by
     rows = _name_verdict(rows, F.when(sent.isNotNull(), verdict))
     return rows.withColumn("has_sentence", sent.isNotNull()).drop(
-        "text", "sents", "_i", "_sent", "_shift", "_here", "_p", "_n", "_before", "_after",
+        "text", "sents", "_even", "_cuts", "_i", "_sent", "_shift", "_here", "_p", "_n", "_before", "_after",
         "_anchor", "_surface", "_prev", "_next",
     )
 

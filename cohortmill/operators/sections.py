@@ -104,12 +104,13 @@ def extract_measurements(
     *,
     sections: Sequence[str],
     types: Sequence[str],
+    number: str,
     max_distance: int = 15,
 ) -> DataFrame:
-    """Mentions of the chosen sections and types with the first number close behind them."""
+    """Mentions of the chosen sections and types with the first number (an expression) close behind them."""
     chosen = section_mentions.where(F.col("section").isin(*sections) & F.col("sty").isin(*types))
-    rows = scale.split_hot_join(chosen, docs.select("doc_id", "text"), "doc_id")
-    value = tx.first_number("text", F.col("end_pos"), max_distance)
+    rows = scale.skew_join(chosen, docs.select("doc_id", "text"), "doc_id")
+    value = tx.first_number("text", F.col("end_pos"), number, max_distance)
     return rows.withColumn("value", value).drop("text").where("value IS NOT NULL")
 
 

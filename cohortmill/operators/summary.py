@@ -195,11 +195,13 @@ def bipartite_topk(edges: DataFrame, *, left_k: int, right_k: int, ignore: Seque
 
     Ties go by name. Degrees count edges, as in the graph view.
     """
+    # edges are counted once; the tops are bounded by their k
+    edges = scale.cut(edges)
     free = edges if not ignore else edges.where(~F.col("label").isin(*ignore))
     right = free.groupBy("label").agg(F.count("*").alias("d")).orderBy(F.desc("d"), "label").limit(right_k)
-    kept = edges.join(scale.bounded_broadcast(right.select("label")), "label", "left_semi")
+    kept = edges.join(F.broadcast(right.select("label")), "label", "left_semi")
     left = kept.groupBy("pid").agg(F.count("*").alias("d")).orderBy(F.desc("d"), "pid").limit(left_k)
-    marked = kept.join(scale.bounded_broadcast(left.select("pid", F.lit(1).alias("top"))), "pid", "left")
+    marked = kept.join(F.broadcast(left.select("pid", F.lit(1).alias("top"))), "pid", "left")
     return marked.select(
         F.when(F.col("top").isNotNull(), F.col("pid").cast("string")).otherwise(rest).alias("pid"), "label", "freq"
     )
@@ -280,10 +282,11 @@ def build_patient_entities(
     text_bytes = F.coalesce(F.octet_length("article.text"), F.lit(0)).cast("long")
     sizes = rows.groupBy("pid").agg(F.count("*").alias("_n"), F.sum(text_bytes).alias("_bytes"))
     parts = F.greatest(F.ceil(F.col("_n") / part_rows), F.ceil(F.col("_bytes") / part_bytes))
-    large = scale.bounded_broadcast(sizes.select("pid", parts.alias("_parts")).where("_parts > 1"))
+    # written, so that the join may split a patient with very many rows
+    large = scale.cut(sizes.select("pid", parts.alias("_parts")).where("_parts > 1"))
     salt = F.pmod(F.xxhash64("ann", "article"), F.coalesce("_parts", F.lit(1)))
     return (
-        rows.join(large, "pid", "left")
+        scale.skew_join(rows, large, "pid", "left")
         .withColumn("part", salt)
         .groupBy("pid", "part")
         .agg(

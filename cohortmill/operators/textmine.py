@@ -48,9 +48,9 @@ def adjacent_sentences(docs: DataFrame) -> DataFrame:
 STRETCH_WORDS = 32
 
 
-def _stretches(text: Column) -> Column:
-    """Runs of at most STRETCH_WORDS words with their offsets."""
-    return tx.find_spans(text, rf"[A-Za-z0-9]++(?:[^A-Za-z0-9]++[A-Za-z0-9]++){{0,{STRETCH_WORDS - 1}}}+")
+def _stretches(text: Column, size: int = STRETCH_WORDS) -> Column:
+    """Runs of at most ``size`` words with their offsets."""
+    return tx.find_spans(text, rf"{tx.WORD}+(?:{tx.NO_WORD}+{tx.WORD}+){{0,{size - 1}}}+")
 
 
 def sentence_tokens(sents: DataFrame) -> DataFrame:
@@ -105,13 +105,15 @@ def dictionary_annotate(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
     matches only.
     """
     longest = gazetteer.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
+    # as long as the longest term, so that a term reaches into one more stretch at most
+    size = max(STRETCH_WORDS, longest)
     first_words = gazetteer.select(F.split("term", " ")[0].alias("word")).distinct()
-    parts = sentences(docs).withColumn("runs", _stretches(F.col("sent_text")))
+    parts = sentences(docs).withColumn("runs", _stretches(F.col("sent_text"), size))
     parts = parts.select("doc_id", "sent_no", "sent_start", "sent_text", "runs", F.posexplode_outer("runs").alias("r", "run"))
     parts = parts.where("run IS NOT NULL")
     # a run of words may reach into the next stretch, so its first words are added
     following = F.get("runs", F.col("r") + 1)
-    lead = F.regexp_extract(following["str"], rf"^{tx.WORD}(?:[^A-Za-z0-9]+{tx.WORD}){{0,{max(longest - 2, 0)}}}", 0)
+    lead = F.regexp_extract(following["str"], rf"^{tx.WORD}(?:{tx.NO_WORD}{tx.WORD}){{0,{max(longest - 2, 0)}}}", 0)
     reach = F.coalesce(following["start"] + F.length(lead), F.col("run.end")) if longest > 1 else F.col("run.end")
     rows = parts.select(
         "doc_id",
@@ -120,7 +122,7 @@ def dictionary_annotate(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
         tx.slice_text("sent_text", F.col("run.start"), reach).alias("part"),
     ).withColumn("words", F.regexp_extract_all("part", F.lit(tx.WORD), F.lit(0)))
     one = rows.select("doc_id", "sent_no", "part_start", "part", "words", F.posexplode_outer("words").alias("at", "w"))
-    one = one.where(F.col("at") < STRETCH_WORDS).withColumn("word", F.lower("w")).drop("w")
+    one = one.where(F.col("at") < size).withColumn("word", F.lower("w")).drop("w")
     begin = one.join(scale.bounded_broadcast(first_words), "word", "left_semi")
     lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.size("words") - F.col("at")))
     runs = begin.withColumn("n", F.explode(lengths))
@@ -207,22 +209,36 @@ def text_search(
     return docs.where(match).withColumn("hits", hits)
 
 
+def phrase_counts(docs: DataFrame, phrases: Sequence[tuple[str, str, int]], *, key: str) -> DataFrame:
+    """``key, id, n`` documents that hold each of the phrases ``(id, phrase, slop)``; the texts are read once."""
+    wordlist = tx.words("text")
+
+    def ids(words: Column) -> Column:
+        found = [F.when(_within_slop(words, phrase.lower().split(), slop), F.lit(name)) for name, phrase, slop in phrases]
+        return F.array_compact(F.array(*found))
+
+    rows = docs.select(key, F.explode(tx.let(wordlist, ids)).alias("id"))
+    return rows.groupBy(key, "id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def numeric_search(
     docs: DataFrame,
     *,
     anchor: str,
     low: float,
     high: float,
-    number: str = r"\s*(?:[:=]\s+)?(\d+\.\d{0,5})",
+    number: str,
 ) -> DataFrame:
     """Number right behind each anchor word: counts in range, out of range and unknown.
 
+    ``number`` is the expression of what follows the anchor, with the number as its group.
+
     A document matches if any anchor is followed by a number; ``verdict`` is 1 if one is in
     range, else -1.
     """
     word = rf"(?i)(?<![A-Za-z0-9_]){anchor}(?![A-Za-z0-9_])"
     found = F.regexp_extract_all("text", F.lit(word + f"(?:{number})?"), F.lit(1))
-    values = F.transform(found, lambda v: F.when(v != "", F.try_to_number(v, F.lit("999999999999.99999")).cast("double")))
+    values = F.transform(found, lambda v: F.when(v != "", v.try_cast("double")))
     inside = F.size(F.filter(values, lambda v: v.between(low, high)))
     outside = F.size(F.filter(values, lambda v: v.isNotNull() & ~v.between(low, high)))
     unknown = F.size(F.filter(values, lambda v: v.isNull()))
@@ -243,7 +259,7 @@ def relocate_offsets(mentions: DataFrame, docs: DataFrame) -> DataFrame:
     """
     texts = docs.select("doc_id", "text")
     shown = tx.slice_text("text", F.col("start_pos"), F.col("end_pos")) == F.col("str")
-    checked = scale.split_hot_join(mentions, texts, "doc_id").withColumn("_ok", shown).drop("text")
+    checked = scale.skew_join(mentions, texts, "doc_id").withColumn("_ok", shown).drop("text")
     rows = checked.withColumn("_key", F.when(~F.col("_ok"), F.lower("str")))
     wanted = rows.where("_key IS NOT NULL").groupBy("doc_id", "_key").agg(F.min("str").alias("_str"))
     places = wanted.join(texts, "doc_id").select("doc_id", "_key", tx.occurrences("text", "_str").alias("_at"))
@@ -267,7 +283,7 @@ def encode_windows(mentions: DataFrame, docs: DataFrame, vocab: DataFrame, *, si
     ``side`` words before and after; words outside the vocabulary are left out, zero fills.
     Mentions need an ``id``.
     """
-    text = scale.split_hot_join(mentions.select("id", "doc_id", "start_pos", "end_pos"), docs.select("doc_id", "text"), "doc_id")
+    text = scale.skew_join(mentions.select("id", "doc_id", "start_pos", "end_pos"), docs.select("doc_id", "text"), "doc_id")
     around = text.select(
         "id",
         F.concat(

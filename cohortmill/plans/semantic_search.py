@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortmill import scale
 from cohortmill.operators import filters, summary
 
 
@@ -48,6 +49,8 @@ def semantic_search(
     hits = filters.by_closure(rows, concepts)
     table = summary.typed_summary_ui(hits, scope)
     counts = summary.patient_concept_counts(mentions, scope)
+    # both tables are read twice below: written, so that the joins behind them run once
+    table = scale.cut(table)
     found = counts.join(table.select("pid"), "pid", "left_semi")
     others = summary.other_concept_scores(found, concepts, table.count())
     return SearchResult(concepts, hits, table, others)

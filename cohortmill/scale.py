@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -9,25 +12,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A side is broadcast only after it was counted and found at or below this many rows.
+# A side is broadcast only after it was counted and found within both bounds.
 BROADCAST_ROWS = 200_000
-# A key with more rows than this is taken out of a shuffled join and handled apart.
-HOT_ROWS = 2_000_000
+BROADCAST_BYTES = 32 << 20
 
-_LOCAL_FOLDERS: dict[str, str] = {}
+SETTING = "spark.checkpoint.dir"
+# Paths of the cut tables by application.
+_CUTS: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder for cut lineage and job tables, as named by ``spark.checkpoint.dir``."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for cut lineage and job tables, as named by ``spark.checkpoint.dir``.
+
+    A cluster must name it. A local session that does not gets a folder of its own, which goes when the process ends.
+    """
+    folder = spark.conf.get(SETTING, None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="cohortmill-ckpt-")
-    return _LOCAL_FOLDERS[app]
+        raise ValueError(f"{SETTING} must name a shared folder on a cluster")
+    folder = os.path.join(tempfile.gettempdir(), f"cohortmill-{spark.sparkContext.applicationId}")
+    spark.conf.set(SETTING, folder)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete the tables that this session has cut so far; frames that read them must be done."""
+    for path in _CUTS.pop(spark.sparkContext.applicationId, []):
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def job_folder(spark: SparkSession, name: str) -> str:
@@ -43,6 +57,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = job_folder(spark, "cut")
+    _CUTS.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -57,13 +72,15 @@ def spread_small_input(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the counted size is within the broadcast bound."""
-    return df.count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether rows and bytes are within the broadcast bounds; looks at one row more than allowed at most."""
+    size = F.length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
+    found = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).first()
+    return found.n <= max_rows and (found.bytes or 0) <= max_bytes
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint if the counted size is within the bound, else the frame as it is.
+    """Broadcast hint if the counted size is within the bounds, else the frame as it is.
 
     Without the hint Spark plans a shuffled join, which adaptive execution may still turn
     into a broadcast by measured size or split where it is skewed.
@@ -71,28 +88,13 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
-def split_hot_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: str | Sequence[str],
-    how: str = "inner",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Join rows to a side with few rows per key, taking hot left keys out of the shuffle.
+def skew_join(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows to a side with few rows per key, by a shuffle that adaptive execution splits where a left key is hot.
 
-    A key is hot when it holds more than ``hot_rows`` left rows, so there are at most
-    ``rows / hot_rows`` of them. Their right rows are counted and broadcast; all the other
-    keys take the ordinary join. ``how`` may be inner, left, left_semi or left_anti.
+    ``session.RUNTIME_SETTINGS`` turn the split on. The left side runs once, and no right row, which may hold a whole text, is
+    broadcast. The right side must not be an aggregate on the same key: write it first (:func:`cut`).
     """
-    keys = [on] if isinstance(on, str) else list(on)
-    hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    hot = cut(hot.select(*keys))
-    if hot.isEmpty():
-        return left.join(right, keys, how)
-    hot = bounded_broadcast(hot)
-    hot_right = bounded_broadcast(right.join(hot, keys, "left_semi"))
-    calm = left.join(hot, keys, "left_anti").join(right, keys, how)
-    return calm.unionByName(left.join(hot, keys, "left_semi").join(hot_right, keys, how))
+    return left.join(right, [on] if isinstance(on, str) else list(on), how)
 
 
 def numbered(

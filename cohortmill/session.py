@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Runtime settings the plans rely on. They are SQL settings, so they can be applied to a
@@ -33,7 +31,6 @@ def local_session(cores: str = "8", app: str = "cohortmill", partitions: int = 8
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(partitions))
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="cohortmill-ckpt-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

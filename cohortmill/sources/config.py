@@ -23,22 +23,33 @@ class Study:
     rejects: list[str] = field(default_factory=list)
 
 
-def _json(path: Path):
-    return json.loads(path.read_text(encoding="utf-8"))
+def _text(spark: SparkSession, path: str) -> str | None:
+    """A small file of any store that Spark reads, or None if there is none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return None
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
-def load_rules(config: str | Path, *, root: str | Path | None = None) -> RuleSet:
+def _json(spark: SparkSession, path: str):
+    text = _text(spark, path)
+    if text is None:
+        raise FileNotFoundError(path)
+    return json.loads(text)
+
+
+def load_rules(spark: SparkSession, config: str | Path, *, root: str | Path | None = None) -> RuleSet:
     """Rules, original-string patterns and skip terms of a rule configuration file.
 
     Paths in the file are relative to ``root``, by default the folder of the file.
     """
-    config = Path(config)
-    base = Path(root) if root is not None else config.parent
-    setting = _json(config)
-    folder = base / setting["rules_folder"]
+    config = str(config)
+    base = str(root) if root is not None else config.rpartition("/")[0]
+    setting = _json(spark, config)
+    folder = f"{base}/{setting['rules_folder']}"
     out = RuleSet()
     for name in setting["active_rules"]:
-        for r in _json(folder / name):
+        for r in _json(spark, f"{folder}/{name}"):
             more = r.get("more_context_sents", [])
             out.rules.append(
                 Rule(
@@ -52,9 +63,9 @@ def load_rules(config: str | Path, *, root: str | Path | None = None) -> RuleSet
                 )
             )
     for name in setting.get("osf_rules", []):
-        out.surface_patterns += _json(folder / name)
+        out.surface_patterns += _json(spark, f"{folder}/{name}")
     if "skip_term_setting" in setting:
-        out.skip_terms = _json(base / setting["skip_term_setting"])
+        out.skip_terms = _json(spark, f"{base}/{setting['skip_term_setting']}")
     return out
 
 
@@ -87,31 +98,35 @@ def load_study(
     ``study_concepts.json`` (terms, mapped by ``term_concepts(term, cui)``; ``~~`` takes away). The
     order in the file is the priority: with ``disjoint`` the last study concept keeps a shared one.
     """
-    folder = Path(folder)
+    folder = str(folder).rstrip("/")
     rejects: list[str] = []
+    labels, exact, manual = (
+        _text(spark, f"{folder}/{name}")
+        for name in ("label2concept.tsv", "exact_concepts_mappings.json", "manual_mapped_concepts.json")
+    )
     pairs: list[tuple[str, str, str]] = []
     expand = minus = False
     order: list[str] = []
-    if (folder / "label2concept.tsv").is_file():
-        for line in (folder / "label2concept.tsv").read_text(encoding="utf-8").splitlines():
+    if labels is not None:
+        for line in labels.splitlines():
             cells = line.split("\t")
             if len(cells) != 2:
                 rejects.append(line)
                 continue
             pairs.append((cells[0], cells[0], cells[1]))
             order.append(cells[0])
-    elif (folder / "exact_concepts_mappings.json").is_file():
+    elif exact is not None:
         expand = True
-        for name, cui in _json(folder / "exact_concepts_mappings.json").items():
+        for name, cui in json.loads(exact).items():
             pairs.append((name, name, cui))
             order.append(name)
-    elif (folder / "manual_mapped_concepts.json").is_file():
-        for name, item in _json(folder / "manual_mapped_concepts.json").items():
+    elif manual is not None:
+        for name, item in json.loads(manual).items():
             pairs += [(name, name, cui) for cui in item["concepts"]]
             order.append(name)
     else:
         minus = True
-        for name, terms in _json(folder / "study_concepts.json").items():
+        for name, terms in _json(spark, f"{folder}/study_concepts.json").items():
             pairs += [(name, term, "") for term in terms]
             order.append(name)
 
@@ -142,5 +157,5 @@ def load_study(
         closure = closure.where(closure["name"].isin(*keep))
     if disjoint:
         closure = ontology.exclusive_concepts(closure)
-    options = _json(folder / "study_options.json") if (folder / "study_options.json").is_file() else {}
-    return Study(folder.name, closure.select("name", "priority", "cui"), terms, options, rejects)
+    options = json.loads(_text(spark, f"{folder}/study_options.json") or "{}")
+    return Study(folder.rpartition("/")[2], closure.select("name", "priority", "cui"), terms, options, rejects)

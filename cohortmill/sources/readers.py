@@ -173,7 +173,8 @@ def read_episodes(spark: SparkSession, path: str, *, fmt: str = "dd/MM/yyyy HH:m
     names = ["pid", "win1_s", "win1_e", "win2_s", "win2_e", "win3_s", "win3_e"]
     rows = read_lookup_tsv(spark, path, names).where("bad IS NULL")
     times = [codes.parse_time(n, fmt).alias(n) for n in names[1:]]
-    return rows.select(F.monotonically_increasing_id().alias("ep_id"), "pid", *times)
+    # the id depends on the line alone, not on how the file is split
+    return rows.select(F.xxhash64(*names).alias("ep_id"), "pid", *times)
 
 
 def extract_cohort_docs(docs: DataFrame, cohort: DataFrame) -> DataFrame:

@@ -70,17 +70,17 @@ def xml_lines(mentions: DataFrame, *, id_prefix: str = "mention") -> DataFrame:
 
 
 def write_standoff(lines: DataFrame, path: str) -> None:
-    """Write lines as text, one folder per document, in order.
+    """Write lines ``doc_id<tab>line`` as text, documents and lines in order over all files.
 
     Ranges of (document, line) go to the tasks, so the lines of a very large document come from
-    several tasks, as files in order.
+    several tasks, and the number of files does not grow with the number of documents.
     """
     order = [F.col("doc_id")]
     if "kind" in lines.columns:
         order.append(F.desc("kind"))
     order.append(F.col("line_no"))
     ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged.select("doc_id", "line").write.mode("overwrite").partitionBy("doc_id").text(path)
+    ranged.select(F.concat_ws("\t", F.col("doc_id").cast("string"), "line")).write.mode("overwrite").text(path)
 
 
 def entity_types(mentions: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ _written: dict[tuple[str, str, str], DataFrame] = {}
 def cui_of(number: str | Column) -> Column:
     """Concept id of a part key."""
     n = F.col(number) if isinstance(number, str) else number
-    return F.concat(F.lit("C"), F.lpad(n.cast("string"), 7, "0"))
+    return F.format_string("C%07d", n.cast("long"))
 
 
 class Tables:
@@ -55,9 +55,15 @@ class Tables:
         """A frame of fixed configuration rows."""
         return self.spark.createDataFrame(rows, schema)
 
+    def state(self) -> str:
+        """Names, sizes and times of the tables."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
+        return str(hash(tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)))
+
     def written(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A frame written to the shared folder the first time it is asked for."""
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        """A frame written to the shared folder the first time it is asked for, and again when the tables change."""
+        key = (self.spark.sparkContext.applicationId, f"{self.folder} {self.state()}", name)
         if key not in _written:
             _written[key] = scale.cut(build())
         return _written[key]

@@ -53,17 +53,32 @@ def incremental_docs(stream: DataFrame, sink: str, checkpoint: str) -> None:
     )
 
 
+# Parts of a store by the hash of its key; a batch reads the parts that its own keys fall into.
+PARTS = 64
+
+
+def in_parts(rows: DataFrame, key: str, parts: int = PARTS) -> DataFrame:
+    """Rows with the part of the store that their key belongs to."""
+    return rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+
+
+def touched_parts(store: DataFrame, batch: DataFrame) -> DataFrame:
+    """Rows of the store in the parts that a batch touches; other files are not opened."""
+    parts = [r.part for r in batch.select("part").distinct().collect()]  # at most PARTS numbers
+    return store.where(F.col("part").isin(parts))
+
+
 def stream_ctx_concepts(stream: DataFrame, sink: str, checkpoint: str) -> None:
-    """Add contexted concepts that the sink does not hold yet."""
+    """Add contexted concepts that the sink does not hold yet; the sink is kept in parts by concept."""
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(["ctx_id"])
+        new = in_parts(batch.dropDuplicates(["ctx_id"]), "ctx_id")
         if n > 0:
             # earlier batches only, so that a repeated batch finds the same rows missing
-            known = spark.read.parquet(sink).where(F.col("batch") < n).select("ctx_id")
-            new = new.join(known, "ctx_id", "left_anti")
-        new.write.mode("overwrite").parquet(batch_folder(sink, n))
+            known = touched_parts(spark.read.parquet(sink).where(F.col("batch") < n), new)
+            new = new.join(known.select("ctx_id"), "ctx_id", "left_anti")
+        new.write.mode("overwrite").partitionBy("part").parquet(batch_folder(sink, n))
 
     run_available(stream, write, checkpoint)
 
@@ -71,17 +86,17 @@ def stream_ctx_concepts(stream: DataFrame, sink: str, checkpoint: str) -> None:
 def stream_patient_refresh(
     stream: DataFrame, store: str, sink: str, checkpoint: str, recompute: Callable[[DataFrame], DataFrame]
 ) -> None:
-    """Store new annotations, then recompute the patients that they touch.
+    """Store new annotations, in parts by patient, then recompute the patients that they touch.
 
     The sink holds one folder per batch; :func:`latest_per_key` gives the current state.
     """
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(batch_folder(store, n))
-        kept = spark.read.parquet(store).where(F.col("batch") <= n).drop("batch")
-        touched = spark.read.parquet(batch_folder(store, n)).select("pid").distinct()
-        recompute(kept.join(touched, "pid", "left_semi")).write.mode("overwrite").parquet(batch_folder(sink, n))
+        in_parts(batch, "pid").write.mode("overwrite").partitionBy("part").parquet(batch_folder(store, n))
+        new = spark.read.parquet(batch_folder(store, n))
+        kept = touched_parts(spark.read.parquet(store).where(F.col("batch") <= n), new).drop("batch", "part")
+        recompute(kept.join(new.select("pid").distinct(), "pid", "left_semi")).write.mode("overwrite").parquet(batch_folder(sink, n))
 
     run_available(stream, write, checkpoint)
 

@@ -4,13 +4,14 @@ import datetime
 import json
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cohortmill import scale
 from cohortmill.functions import codes
 from cohortmill.functions import text as tx
-from cohortmill.operators import clusters, deident, filters, ontology, patterns, sections, summary, textmine, validation
+from cohortmill.operators import clusters, deident, filters, ontology, patterns, rules, sections, summary, textmine, validation
 from cohortmill.sources import config, readers, sinks
 
 
@@ -21,11 +22,26 @@ def rows(df, *cols):
 # --- plans that must hold for keys of any size
 
 
-def test_split_hot_join_equals_the_plain_join(frame):
-    left = frame([(1, i) for i in range(50)] + [(k, k) for k in range(2, 12)] + [(99, 0)], "k long, v long")
-    right = frame([(k, f"r{k}") for k in range(1, 10)], "k long, w string")
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        assert rows(scale.split_hot_join(left, right, "k", how, hot_rows=20)) == rows(left.join(right, "k", how))
+def test_hot_keys_are_split_without_a_look_ahead(spark, frame):
+    left = spark.range(60_000).select((F.when(F.col("id") < 50_000, 1).otherwise(F.col("id"))).alias("k"), F.col("id").alias("v"))
+    right = scale.cut(spark.range(60_000).select(F.col("id").alias("k"), F.concat(F.lit("r"), "id").alias("w")))
+    want = left.count()
+    small = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        joined = scale.skew_join(left.repartition(8), right, "k")
+        assert len(joined.collect()) == want
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def test_broadcast_only_below_the_bound(frame):
@@ -33,6 +49,7 @@ def test_broadcast_only_below_the_bound(frame):
     has_hint = lambda d: "broadcast" in d._jdf.queryExecution().analyzed().toString().lower()
     assert has_hint(scale.bounded_broadcast(df, 10))
     assert not has_hint(scale.bounded_broadcast(df, 9))
+    assert scale.is_small(df, 10, max_bytes=1000) and not scale.is_small(df, 10, max_bytes=20)
 
 
 def test_numbering_and_neighbours_across_buckets(frame):
@@ -90,8 +107,8 @@ def test_code_expansion(frame):
     got = {r["c"]: r["x"] for r in df.select("c", codes.expand_code("c").alias("x")).collect()}
     assert got["C123"] == ["C12.3"] and got["D45X"][:2] == ["D45", "D45.0"] and len(got["B20"]) == 11
     assert set(got["A1"]) >= {"A10", "A10.0", "A19.9"} and len(got["A1"]) == 110
-    ranges = frame([("A10-A12",), ("b08-10",), ("K5",)], "c string").select(codes.expand_range("c")).collect()
-    assert [r[0] for r in ranges] == [["A10", "A11", "A12"], ["B08", "B09", "B10"], ["K5"]]
+    ranges = frame([("A10-A12",), ("b08-10",), ("K5",), ("A100-A102",)], "c string").select(codes.expand_range("c")).collect()
+    assert [r[0] for r in ranges] == [["A10", "A11", "A12"], ["B08", "B09", "B10"], ["K5"], ["A100", "A101", "A102"]]
 
 
 # --- sections and measurements
@@ -116,8 +133,9 @@ def test_titles_numbers_and_markup(frame):
     df = frame([("1. Plan",), (" Past History ",)], "t string")
     assert [r[0] for r in df.select(tx.normalise_title("t")).collect()] == ["", "past history"]
     assert [r[0] for r in df.select(tx.normalise_title("t", True)).collect()] == ["plan", "past history"]
-    near = frame([("K: 4.5 mmol", 1), ("Hb 98%", 2), ("x" * 30 + "77", 0), ("Na *123", 2), ("a 12/08", 1)], "t string, e int")
-    assert [r[0] for r in near.select(tx.first_number("t", F.col("e"))).collect()] == ["4.5", "98%", None, None, "12/08"]
+    number, long = r"\d+(?:[.,/]\d+)*%?", "1234567890" * 6
+    near = frame([("K: 4.5 mmol", 1), ("Hb 98%", 2), ("x" * 30 + "77", 0), ("Na *123", 2), ("a 12/08", 1), (f"b{' ' * 9}{long} x", 1)], "t string, e int")
+    assert [r[0] for r in near.select(tx.first_number("t", F.col("e"), number)).collect()] == ["4.5", "98%", None, None, "12/08", long]
     page = frame([("<html><head><title>t</title></head><table><tr>gone</tr></table><h1>Top &amp; more</h1><p>one<br>two</p></html>",)], "html string")
     assert sections.markup_to_text(page).first()["text"].strip() == "Top & more.\none\ntwo"
 
@@ -132,14 +150,14 @@ def test_records_of_a_dump(frame):
 
 
 def test_masking_keeps_length_and_letter_areas(frame):
-    text = "Dr. Strange of Ward 9\nDear Mr Ford\nDr. Inner stays\nyours sincerely\nDr. Tail 0207 11"
+    text = "Dr. Strange of Ward 9\nTo: Mr Ford\nDr. Inner stays\n-- the end --\nDr. Tail 0207 11"
     docs = frame([(1, text), (2, "Dr. Who")], "doc_id long, text string")
-    name_rule = deident.MaskRule("doctor", r"\b(Dr|Prof)\.? +([A-Za-z\-]+)\b", ["title", "name"])
+    name_rule = deident.MaskRule("doctor", r"(Dr)[.] (\w+)", ["title", "name"])
     off = deident.MaskRule("phone", r"(\d{4})", ["number"], disabled=True)
     full = {r["doc_id"]: r for r in deident.deidentify(docs, [name_rule, off]).collect()}
     assert full[1]["masked"] == re.sub("Strange|Inner|Tail", lambda m: "x" * len(m.group()), text)
     assert [f["value"] for f in full[2]["found"]] == ["Who"]
-    letter = deident.LetterRules(r"^Dear\s+.*$", r"^(yours){0,}\s+(sincerely|faithfully),{0,}$")
+    letter = deident.LetterRules("^To: .*$", "^-- the end --$")
     part = {r["doc_id"]: r for r in deident.deidentify(docs, [name_rule], letter=letter).collect()}
     assert part[1]["masked"] == re.sub("Strange|Tail", lambda m: "x" * len(m.group()), text)
     assert part[2]["masked"] is None
@@ -160,6 +178,62 @@ def test_sloppy_phrases_and_dictionary(frame):
     assert got == [("C3",) + ("Small cell Lung cancer",) * 2, ("C2", "cancer", "cancer"), ("C1", "lung cancer", "lung cancer")]
 
 
+def test_long_terms_reach_over_stretches(frame):
+    words = [f"w{k}" for k in range(120)]
+    rows_of = [(" ".join(words[a:b]), c, "s", "p") for a, b, c in ((31, 71, "C1"), (0, 40, "C2"), (70, 110, "C3"))]
+    gaz = frame([*rows_of, ("pré", "C4", "s", "p"), ("of", "C5", "s", "p")], "term string, cui string, sty string, pref string")
+    text = " ".join(words)
+    docs = frame([(1, text), (2, "le pré est caféof x"), (3, " ".join(words[31:71]))], "doc_id long, text string")
+    hits = rows(textmine.dictionary_annotate(docs, gaz), "doc_id", "cui", "str")
+    assert [h[:2] for h in hits] == [(1, "C1"), (1, "C2"), (1, "C3"), (2, "C4"), (3, "C1")]
+    assert hits[0][2] == rows_of[0][0]
+
+
+def test_numbers_of_any_length(frame):
+    docs = frame([(1, "glucose 1234567890123.5 and more"), (2, "glucose none")], "doc_id long, text string")
+    out = textmine.numeric_search(docs, anchor="glucose", low=1, high=1e15, number=r" (\d+[.]\d+)")
+    assert rows(out, "doc_id", "n_in", "verdict") == [(1, 1, 1)]
+
+
+def test_wide_ids_stay_apart(frame):
+    from cohortmill.sources.tables import cui_of
+
+    ids = frame([(12,), (10_000_000,), (100_000_001,)], "n long").select(cui_of(F.col("n")).alias("c"))
+    assert rows(ids) == [("C0000012",), ("C10000000",), ("C100000001",)]
+
+
+def test_sentence_search_by_halving(frame):
+    import random
+
+    draw = random.Random(5)
+    for _ in range(3):
+        cuts = sorted(draw.sample(range(400), 40))
+        spans = [(a, b) for a, b in zip(cuts[::2], cuts[1::2])]
+        points = [(p, p + draw.randint(0, 30)) for p in range(0, 410, 7)]
+        df = frame([(1, spans, s, e) for s, e in points], "id int, sents array<struct<start:int,end:int>>, s int, e int")
+        fast = rules.sentence_index(F.col("sents"), F.col("s"), F.col("e"), rules.ends_in_order(F.col("sents")))
+        slow = rules.sentence_index(F.col("sents"), F.col("s"), F.col("e"), F.lit(False))
+        assert df.where(~fast.eqNullSafe(slow)).count() == 0
+
+
+def test_pairs_of_vectors_meet_once():
+    draw = np.random.default_rng(3)
+    flat = draw.normal(size=(600, 64))
+    clustered = draw.normal(size=(40, 64))[draw.integers(0, 40, 4000)] * 20 + draw.normal(size=(4000, 64)) * 0.01
+    for x, eps, most in ((flat, 2.0, 1.0), (clustered, 1.0, 0.1)):
+        pivots = x[draw.choice(len(x), len(x) // clusters.CELL_POINTS, replace=False)]
+        row, cell, home = clusters.cells_of(x, pivots, eps, "lower")
+        met, pairs = 0, set()
+        for c in np.unique(cell):
+            own, guests = row[(cell == c) & home], row[(cell == c) & ~home]
+            met += len(own) * (len(own) - 1) // 2 + len(own) * len(guests)
+            if len(x) < 1000:
+                mine = [tuple(sorted((a, b))) for a in own for b in (*own, *guests) if a != b]
+                assert not pairs & set(mine)
+                pairs |= set(mine)
+        assert met <= most * len(x) * (len(x) - 1) / 2
+
+
 def test_windows_around_a_mention(frame):
     text = "one two, three " + "-" * 500 + " four five"
     df = frame([(text, text.index("four"), len(text))], "t string, s int, e int")
@@ -333,7 +407,7 @@ def test_rule_configuration(spark, tmp_path):
     (folder / "osf.json").write_text(json.dumps(["[A-Z]+$"]))
     (tmp_path / "skip.json").write_text(json.dumps(["flu"]))
     (tmp_path / "conf.json").write_text(json.dumps({"rules_folder": "rules", "active_rules": ["neg.json"], "osf_rules": ["osf.json"], "skip_term_setting": "skip.json"}))
-    ruleset = config.load_rules(tmp_path / "conf.json")
+    ruleset = config.load_rules(spark, tmp_path / "conf.json")
     assert ruleset.rules[0].name == "neg.json" and ruleset.rules[0].prev_ctx and not ruleset.rules[0].next_ctx
     assert ruleset.surface_patterns == ["[A-Z]+$"] and ruleset.skip_terms == ["flu"]
     assert config.rules_table(spark, ruleset).count() == 1
@@ -343,8 +417,8 @@ def test_standoff_files(spark, frame, tmp_path):
     schema = "doc_id long, cui string, sty string, str string, start_pos int, end_pos int, negation string, ruled_by string"
     data = [(1, "C1", "Disease or Syndrome", "flu", 5, 8, "Negated", None), (1, "C2", "Sign", "ill", 1, 4, "Affirmed", None)]
     sinks.write_standoff(sinks.standoff_lines(frame(data, schema)), str(tmp_path / "out"))
-    text = "".join(p.read_text() for p in sorted((tmp_path / "out" / "doc_id=1").glob("part-*")))
-    assert text.splitlines() == ["T1\tSign 1 4\till", "T2\tDisease_or_Syndrome 5 8\tflu", "A2\tNegated T2"]
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert text.splitlines() == ["1\tT1\tSign 1 4\till", "1\tT2\tDisease_or_Syndrome 5 8\tflu", "1\tA2\tNegated T2"]
 
 
 def test_study_counts_agree_with_and_without_broadcast(frame, monkeypatch):
@@ -352,6 +426,6 @@ def test_study_counts_agree_with_and_without_broadcast(frame, monkeypatch):
     docs = frame([(d, d % 2) for d in range(6)], "doc_id long, pid long")
     closure = frame([("A", "C0"), ("A", "C1"), ("B", "C1"), ("B", "C4")], "name string, cui string")
     small = rows(summary.study_counts(mentions, docs, closure))
-    monkeypatch.setattr(scale, "is_small", lambda df, max_rows=0: False)
+    monkeypatch.setattr(scale, "is_small", lambda df, *bounds: False)
     assert rows(summary.study_counts(mentions, docs, closure)) == small
     assert (1, "A", 3, 10) in small
