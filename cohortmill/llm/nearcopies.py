@@ -46,8 +46,9 @@ TREES, SKETCH = 10, 64
 SMALL, DEPTH, LEADERS = 128, 5, 16
 #: Share of equal sketch tokens below which a pair is not confirmed: four deviations below 0.8.
 ALIKE = 0.6
-#: In nodes of more than so many documents, each names so many that look most alike.
-DENSE, PARTNERS = 16, 4
+#: In nodes of more than ``DENSE`` documents, each names those that look most alike: ``PARTNERS`` of them if the last of these is
+#: surely a link, two deviations above 0.8, and else up to ``UNSURE``. It does so in every tree, with other documents around it.
+DENSE, PARTNERS, UNSURE, SURE = 16, 1, 4, 0.9
 #: Edges of one cell of confirmations.
 CELL_EDGES = 256
 #: Bytes of text that are cut into words at once.
@@ -201,14 +202,25 @@ EDGE = StructType([StructField("a", BinaryType()), StructField("b", BinaryType()
 def alike_pairs(sketches: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, float]]:
     """Pairs of the rows of a node that look alike and whose sizes allow a link."""
     n = len(sketches)
-    for i in range(n - 1):
-        same = (sketches[i + 1 :] == sketches[i]).mean(axis=1)
-        low, high = np.minimum(sizes[i + 1 :], sizes[i]), np.maximum(sizes[i + 1 :], sizes[i])
-        near = np.flatnonzero((same >= ALIKE) & (100 * low >= PERCENT * high))
-        if n > DENSE and len(near) > PARTNERS:
-            near = near[np.argsort(-same[near], kind="stable")[:PARTNERS]]
-        for j in near:
-            yield i, i + 1 + int(j), float(same[j])
+    same = np.empty((n, n))
+    for i in range(n):
+        same[i] = (sketches == sketches[i]).mean(axis=1)
+    low, high = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
+    same[(same < ALIKE) | (100 * low < PERCENT * high)] = 0
+    np.fill_diagonal(same, 0)
+    if n <= DENSE:
+        rows, cols = np.nonzero(np.triu(same))
+    else:
+        order = np.argsort(-same, axis=1, kind="stable")[:, :UNSURE]
+        best = np.take_along_axis(same, order, axis=1)
+        named = best > 0
+        named[:, PARTNERS:] &= (best[:, PARTNERS - 1] < SURE)[:, None]
+        rows, k = np.nonzero(named)
+        cols = order[rows, k]
+        pairs = np.unique(np.stack((np.minimum(rows, cols), np.maximum(rows, cols))), axis=1)
+        rows, cols = pairs
+    for i, j in zip(rows.tolist(), cols.tolist(), strict=True):
+        yield i, j, float(same[i, j])
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -254,7 +266,8 @@ def candidates(classes: DataFrame) -> DataFrame:
 
 def in_cells(edges: DataFrame) -> DataFrame:
     """Edges with the cell in which they are confirmed: edges that hang together share cells of bounded size."""
-    label = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
+    label = ends.distinct().withColumn("label", F.col("node"))
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     for _ in range(2):
         known = label.select(F.col("node").alias("b"), "label")
@@ -263,17 +276,22 @@ def in_cells(edges: DataFrame) -> DataFrame:
     edges = edges.join(label.select(F.col("node").alias("a"), "label"), "a")
     edges = cut(edges)
     sizes = cut(edges.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
-    part = F.pmod(F.xxhash64("a", "b"), F.ceil(F.col("n") / CELL_EDGES))
-    return cut(edges.join(sizes, "label").select(F.xxhash64("label", part).alias("cell"), "a", "b", "alike"))
+    parts = F.ceil(F.col("n") / CELL_EDGES)
+    cell = F.xxhash64("label", F.pmod(F.xxhash64("a", "b"), parts)).alias("cell")
+    return cut(edges.join(sizes, "label").select(cell, "a", "b", "alike", (parts == 1).alias("alone")))
 
 
 LINK = StructType([StructField("a", BinaryType()), StructField("b", BinaryType())])
 
 
 def confirmed(edges: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Links (a, b) of a spanning forest of the edges of each cell that hold on the full sets."""
+    """Links (a, b) of a spanning forest of the edges of each cell that hold on the full sets.
+
+    Documents that hang together in one cell only, and are still apart after its edges, are compared exhaustively.
+    """
     edges = in_cells(edges)
-    needs = edges.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = edges.select("cell", F.col("a").alias("node")).unionByName(edges.select("cell", F.col("b").alias("node")))
+    needs = ends.distinct()
 
     def squeeze(column):
         tool = zstandard.ZstdCompressor(level=3)
@@ -285,13 +303,13 @@ def confirmed(edges: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
     # rows that repeat a document all come; the fingerprint decides, below
     have = cut(own.join(wanted, ["name", "mark"]).select("node", "data"))
     none = F.lit(None).cast("binary")
-    rows = needs.join(have, "node").select("cell", F.lit(0).alias("kind"), "node", "data", none.alias("b"), F.lit(0.0).alias("alike"))
-    asked = edges.select("cell", F.lit(1).alias("kind"), F.col("a").alias("node"), none.alias("data"), "b", "alike")
+    rows = needs.join(have, "node").select("cell", F.lit(0).alias("kind"), "node", "data", none.alias("b"), F.lit(0.0).alias("alike"), F.lit(False).alias("alone"))
+    asked = edges.select("cell", F.lit(1).alias("kind"), F.col("a").alias("node"), none.alias("data"), "b", "alike", "alone")
     rows = rows.unionByName(asked).repartition("cell").sortWithinPartitions("cell", "kind", F.desc("alike"), "node", "b")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdDecompressor()
-        cell, sets, root = None, {}, {}
+        cell, sets, root, whole = None, {}, {}, False
 
         def top(x):
             while root.setdefault(x, x) != x:
@@ -299,26 +317,51 @@ def confirmed(edges: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
                 x = root[x]
             return x
 
+        def linked(one, two, links):
+            root[top(two)] = top(one)
+            links[0].append(one)
+            links[1].append(two)
+
+        def rest(links):
+            """Compare what an edge has not joined."""
+            nodes = list(sets)
+            if not whole or len({top(x) for x in nodes}) < 2:
+                return
+            sizes = np.array([len(sets[x]) for x in nodes])
+            flat, starts = np.concatenate([sets[x] for x in nodes]), np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            for k, node in enumerate(nodes):
+                own = sets[node]
+                far = np.array([top(x) != top(node) for x in nodes])
+                if not far.any():
+                    continue
+                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                common = np.add.reduceat((own[at] == flat).astype(np.int64), starts)
+                for j in np.flatnonzero(far & (100 * common >= PERCENT * (len(own) + sizes - common))):
+                    if top(nodes[j]) != top(node):
+                        linked(node, nodes[j], links)
+
         for batch in batches:
             links = ([], [])
-            for here, kind, node, data, b, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for here, kind, node, data, b, _, alone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if here != cell:
-                    cell, sets, root = here, {}, {}
+                    rest(links)
+                    cell, sets, root, whole = here, {}, {}, False
                 if kind == 0:
                     own = shingle_set(tool.decompress(data), words)
                     if fingerprint(own) == node:
                         sets[node] = own
                     continue
-                one, two = top(node), top(b)
-                if one == two or node not in sets or b not in sets:
+                whole = alone
+                if top(node) == top(b) or node not in sets or b not in sets:
                     continue
                 x, y = sets[node], sets[b]
                 common = len(x) + len(y) - len(np.union1d(x, y))
                 if 100 * common >= PERCENT * (len(x) + len(y) - common):
-                    root[two] = one
-                    links[0].append(node)
-                    links[1].append(b)
+                    linked(node, b, links)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in links], names=LINK.names)
+        links = ([], [])
+        rest(links)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in links], names=LINK.names)
 
     return rows.mapInArrow(confirm, LINK)
 
