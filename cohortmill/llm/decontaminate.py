@@ -27,8 +27,8 @@ from cohortmill.scale import cut
 #: Words of the contract, on ASCII-lowered UTF-8: digits, letters and all that is not ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 13
-#: Words of benchmark text in one broadcast block, some 100 bytes each on the executors.
-BLOCK_WORDS = 500_000
+#: Words of benchmark text in one broadcast block; a window takes some 500 bytes in each Python worker.
+BLOCK_WORDS = 200_000
 #: A long item is cut into pieces of so many window starts.
 PIECE_WORDS = 50_000
 
