@@ -47,7 +47,7 @@ SMALL, DEPTH, LEADERS = 128, 5, 16
 #: Share of equal sketch tokens below which a pair is not confirmed: four deviations below 0.8.
 ALIKE = 0.6
 #: In nodes of more than ``DENSE`` documents, each names those that look most alike: ``PARTNERS`` of them if the last of these is
-#: surely a link, two deviations above 0.8, and else up to ``UNSURE``. It does so in every tree, with other documents around it.
+#: surely a link, two deviations above 0.8, and else up to ``UNSURE``. A spanning forest is added.
 DENSE, PARTNERS, UNSURE, SURE = 16, 1, 4, 0.9
 #: Edges of one cell of confirmations.
 CELL_EDGES = 256
@@ -199,6 +199,21 @@ def dealt(large: DataFrame) -> list[DataFrame]:
 EDGE = StructType([StructField("a", BinaryType()), StructField("b", BinaryType()), StructField("alike", DoubleType())])
 
 
+def spanning(same: np.ndarray) -> np.ndarray:
+    """Edges of a spanning forest of the most alike, so that what hangs together in a node does so by its edges."""
+    best, parent = np.zeros(len(same)), np.zeros(len(same), np.int64)
+    left = np.ones(len(same), bool)
+    edges = []
+    for _ in range(len(same)):
+        j = int(np.argmax(np.where(left, best, -1.0)))
+        if best[j] > 0:
+            edges.append((parent[j], j))
+        left[j] = False
+        closer = left & (same[j] > best)
+        best[closer], parent[closer] = same[j][closer], j
+    return np.array(edges, np.int64).reshape(-1, 2).T
+
+
 def alike_pairs(sketches: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, float]]:
     """Pairs of the rows of a node that look alike and whose sizes allow a link."""
     n = len(sketches)
@@ -217,8 +232,8 @@ def alike_pairs(sketches: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int,
         named[:, PARTNERS:] &= (best[:, PARTNERS - 1] < SURE)[:, None]
         rows, k = np.nonzero(named)
         cols = order[rows, k]
-        pairs = np.unique(np.stack((np.minimum(rows, cols), np.maximum(rows, cols))), axis=1)
-        rows, cols = pairs
+        pairs = np.column_stack((np.stack((rows, cols)), spanning(same)))
+        rows, cols = np.unique(np.sort(pairs, axis=0), axis=1)
     for i, j in zip(rows.tolist(), cols.tolist(), strict=True):
         yield i, j, float(same[i, j])
 
