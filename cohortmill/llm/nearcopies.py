@@ -11,6 +11,10 @@ Pairs that look alike are then confirmed on the full sets. Pairs that hang toget
 travels about once, and each cell gives the links of a spanning forest. Components of these links are the groups. Nothing is
 collected for a group, and copies are never written as pairs.
 
+Documents of a dense node first name few partners, which joins most copies. A second round then compares, in every dense
+node, all documents that the links have left in different groups, and confirms each pair that looks alike; what it names no more is in one
+group already or refuted on the full sets.
+
 Defined results: a null, empty or wordless text has an empty set and is linked with nothing. A text with fewer words than a shingle is
 one shingle. Rows that repeat a document are in its class. Rows with a null id take part, but give no component id of their own: a group of such
 rows only has a null component and, in :func:`deduplicated`, one of them stays. Extra columns are ignored or handed on. An empty table gives no rows.
@@ -49,8 +53,10 @@ ALIKE = 0.6
 #: In nodes of more than ``DENSE`` documents, each names those that look most alike: ``PARTNERS`` of them if the last of these is
 #: surely a link, two deviations above 0.8, and else up to ``UNSURE``. A spanning forest is added.
 DENSE, PARTNERS, UNSURE, SURE = 16, 1, 4, 0.9
-#: Edges of one cell of confirmations.
-CELL_EDGES = 256
+#: Documents of one block of the second round.
+BLOCK = 512
+#: Edges of one cell of confirmations; with more than ``CROWDED`` edges a document, cells take ``CELL_NODES`` by ``CELL_NODES`` documents.
+CELL_EDGES, CROWDED, CELL_NODES = 256, 8, 128
 #: Bytes of text that are cut into words at once.
 PIECE = 1 << 19
 
@@ -163,15 +169,16 @@ def branched(rows: DataFrame) -> DataFrame:
     return out.select(F.explode("paths").alias("path"), "node")
 
 
-def leaves(classes: DataFrame) -> DataFrame:
-    """(path, node) of all nodes of the trees that are compared, each with at most about ``SMALL`` documents."""
+def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, node) of all nodes of the trees that are compared, each with at most about ``SMALL`` documents; and of the dense nodes."""
     rows = classes.select(F.explode("paths").alias("path"), "node")
     sketches = classes.select("node", "sketch")
-    found = []
+    found, dense = [], []
     for level in range(DEPTH):
         counts = cut(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
         met = cut(rows.join(counts, "path"))
         found.append(met.where(F.col("n") <= SMALL).select("path", "node"))
+        dense.append(met.where((F.col("n") > DENSE) & (F.col("n") <= SMALL)).select("path", "node"))
         large = met.where(F.col("n") > SMALL)
         if counts.where(F.col("n") > SMALL).isEmpty():
             break
@@ -179,8 +186,13 @@ def leaves(classes: DataFrame) -> DataFrame:
             rows = cut(branched(large.select("path", "node").join(sketches, "node"))).distinct()
     else:
         found += dealt(large)
-    out = found[0]
-    for more in found[1:]:
+    return together(found), together(dense)
+
+
+def together(parts: list[DataFrame]) -> DataFrame:
+    """All rows of tables of the same columns."""
+    out = parts[0]
+    for more in parts[1:]:
         out = out.unionByName(more)
     return out
 
@@ -238,9 +250,14 @@ def alike_pairs(sketches: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int,
         yield i, j, float(same[i, j])
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct edges (a, b, alike) of classes that look alike in some node of some tree."""
-    rows = leaves(classes).join(classes.select("node", "sketch", "n_shingles"), "node")
+def distinct_edges(found: DataFrame) -> DataFrame:
+    """Edges (a, b, alike) with a < b, each once."""
+    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("alike").alias("alike"))
+
+
+def candidates(classes: DataFrame, met: DataFrame) -> DataFrame:
+    """Distinct edges (a, b, alike) of classes that look alike in some node (path, node) of some tree."""
+    rows = met.join(classes.select("node", "sketch", "n_shingles"), "node")
     rows = rows.select("path", "node", "sketch", "n_shingles").repartition("path").sortWithinPartitions("path", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,8 +292,63 @@ def candidates(classes: DataFrame) -> DataFrame:
                 rest.column(1).to_pylist(), matrix(rest.column(2)), rest.column(3).to_numpy(), [0, n]
             )
 
-    found = rows.mapInArrow(compare, EDGE)
-    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("alike").alias("alike"))
+    return distinct_edges(rows.mapInArrow(compare, EDGE))
+
+
+def between(classes: DataFrame, dense: DataFrame, known: DataFrame) -> DataFrame:
+    """Distinct edges (a, b, alike) of all classes that look alike in a dense node and are in different groups (node, root).
+
+    In a node, whoever is outside of the most frequent group is compared with all others, block by block.
+    """
+    rows = dense.join(known.select("node", "root"), "node")
+    tally = rows.groupBy("path", "root").agg(F.count(F.lit(1)).alias("n"))
+    most = F.max(F.struct("n", "root"))
+    plan = tally.groupBy("path").agg(F.sum("n").alias("n"), most.alias("most")).where("most.n < n")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    plan = plan.select(
+        "path", F.col("most.root").alias("major"), blocks(F.col("n") - F.col("most.n")).alias("few"), blocks(F.col("n")).alias("all")
+    )
+    rows = cut(rows.join(plan, "path").join(classes.select("node", "sketch", "n_shingles"), "node"))
+
+    def side(kind: int, here: DataFrame, own: str, others: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("node", "path"), F.col(own)).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias("each")
+        out = here.select("*", mine.alias("mine"), each)
+        cell = F.xxhash64("path", *(("mine", "each") if kind == 0 else ("each", "mine")))
+        return out.select(cell.alias("cell"), F.lit(kind).alias("kind"), "node", "root", "sketch", "n_shingles")
+
+    rows = side(0, rows.where(F.col("root") != F.col("major")), "few", "all").unionByName(side(1, rows, "all", "few"))
+    rows = rows.repartition("cell").sortWithinPartitions("cell", "kind")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, asked = None, []
+        for batch in batches:
+            cells, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            nodes, roots = (np.array(batch.column(k).to_pylist(), object) for k in (2, 3))
+            sketches, sizes = matrix(batch.column(4)), batch.column(5).to_numpy()
+            edges = [0, *(np.flatnonzero((cells[1:] != cells[:-1]) | (kinds[1:] != kinds[:-1])) + 1), len(cells)]
+            out = ([], [], [])
+            for s, e in zip(edges, edges[1:]):
+                if s == e:
+                    continue
+                if cells[s] != cell:
+                    cell, asked = cells[s], []
+                if kinds[s] == 0:
+                    asked.extend(zip(nodes[s:e], roots[s:e], sketches[s:e], sizes[s:e], strict=True))
+                    continue
+                for node, root, sketch, size in asked:
+                    same = (sketches[s:e] == sketch).mean(axis=1)
+                    low, high = np.minimum(sizes[s:e], size), np.maximum(sizes[s:e], size)
+                    near = (same >= ALIKE) & (100 * low >= PERCENT * high)
+                    near[near] = roots[s:e][near] != root
+                    for j in np.flatnonzero(near).tolist():
+                        out[0].append(node)
+                        out[1].append(nodes[s + j])
+                        out[2].append(float(same[j]))
+            types = (pa.binary(), pa.binary(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=EDGE.names)
+
+    return distinct_edges(rows.mapInArrow(compare, EDGE))
 
 
 def in_cells(edges: DataFrame) -> DataFrame:
@@ -290,9 +362,14 @@ def in_cells(edges: DataFrame) -> DataFrame:
         label = cut(label.join(near, "node").select("node", F.least("label", "near").alias("label")))
     edges = edges.join(label.select(F.col("node").alias("a"), "label"), "a")
     edges = cut(edges)
-    sizes = cut(edges.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+    sizes = edges.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut(sizes.join(label.groupBy("label").agg(F.count(F.lit(1)).alias("nodes")), "label"))
     parts = F.ceil(F.col("n") / CELL_EDGES)
-    cell = F.xxhash64("label", F.pmod(F.xxhash64("a", "b"), parts)).alias("cell")
+    # where most documents are alike, a text goes to a row of blocks and not along with each edge
+    side = F.ceil(F.col("nodes") / CELL_NODES)
+    block = F.xxhash64("label", F.pmod(F.xxhash64("a"), side), F.pmod(F.xxhash64("b"), side))
+    crowded = (parts > 1) & (F.col("n") > CROWDED * F.col("nodes"))
+    cell = F.when(crowded, block).otherwise(F.xxhash64("label", F.pmod(F.xxhash64("a", "b"), parts))).alias("cell")
     return cut(edges.join(sizes, "label").select(cell, "a", "b", "alike", (parts == 1).alias("alone")))
 
 
@@ -381,6 +458,13 @@ def confirmed(edges: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
     return rows.mapInArrow(confirm, LINK)
 
 
+def rooted(rows: DataFrame, key: str, links: DataFrame) -> DataFrame:
+    """The rows with the root of the component that the links (a, b) give to their key."""
+    roots = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    roots = roots.select(F.col("id").alias(key), F.col("component").alias("root"))
+    return rows.join(roots, key, "left").withColumn("root", F.coalesce("root", key))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """id, name, mark, n_shingles, node, component_id (least id of the group) and ``stays`` of every row.
 
@@ -395,12 +479,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
         F.first("sketch").alias("sketch"),
     )
     classes = cut(classes.select("node", "who", "who.name", "who.mark", "n_shingles", "paths", "sketch"))
-    edges = cut(candidates(classes))
+    met, dense = leaves(classes)
+    edges = cut(candidates(classes, met))
     links = cut(confirmed(edges, classes, docs, id_col, text_col, words))
-    roots = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    roots = roots.select(F.col("id").alias("node"), F.col("component").alias("root"))
-    known = classes.select("node", "who").join(roots, "node", "left")
-    known = cut(known.withColumn("root", F.coalesce("root", "node")))
+    known = cut(rooted(classes.select("node", "who"), "node", links.select("a", "b")))
+    if not dense.isEmpty():
+        # edges of the first round that are between groups are refuted
+        more = cut(between(classes, dense, known).join(edges, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            links = cut(confirmed(more, classes, docs, id_col, text_col, words))
+            for end in ("a", "b"):
+                links = links.join(known.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)
+            links = cut(links.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
+            known = cut(rooted(known.withColumnRenamed("root", "old"), "old", links).drop("old"))
     least = cut(known.groupBy("root").agg(F.min("who").alias("least")))
     named = cut(known.join(least, "root").select("node", "least"))
     out = rows.drop("paths", "sketch").join(named, "node", "left")
