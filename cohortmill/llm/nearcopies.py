@@ -3,8 +3,9 @@
 A document is the set of its word shingles. Documents with equal sets are one class and go on as one row. Of each set a
 few minwise tokens are kept: one for the root of each tree, and ``SKETCH`` short ones. In a tree, documents are branched by the
 token chosen at their node; the coordinate that is chosen depends on the path, and a quarter of the nodes branch by two. A node
-with at most ``SMALL`` documents is compared exhaustively by sketch; a node that is still larger after ``DEPTH`` levels, which means
-very many documents that are much alike, is dealt out in chunks that all hold the same leaders. Independent trees are repeated so that a pair at the
+with at most ``SMALL`` documents is compared exhaustively by sketch. After ``DEPTH`` levels only nodes above ``WIDE`` that still shrink
+are branched further; other large nodes, which means very many documents that are much alike, are first dealt out in chunks that all hold
+the same leaders, and then compared block by block as below. Independent trees are repeated so that a pair at the
 threshold is missed with a chance below 0.2 to the power ``TREES`` at the first level.
 
 Pairs that look alike are then confirmed on the full sets. Pairs that hang together meet in cells, so that a text
@@ -22,6 +23,7 @@ rows only has a null component and, in :func:`deduplicated`, one of them stays.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +50,8 @@ WORDS, PERCENT = 5, 80
 TREES, SKETCH = 10, 64
 #: Documents of a node that are compared exhaustively, levels of a tree, and leaders of a node that stays large.
 SMALL, DEPTH, LEADERS = 128, 5, 16
+#: A node of more than ``WIDE`` documents is branched further, unless its last branching left more than this share of its parent.
+WIDE, SHRINK = 16_384, 0.8
 #: Share of equal sketch tokens below which a pair is not confirmed: four deviations below 0.8.
 ALIKE = 0.6
 #: In nodes of more than ``DENSE`` documents, each names those that look most alike: ``PARTNERS`` of them if the last of these is
@@ -157,7 +161,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def branched(rows: DataFrame) -> DataFrame:
-    """The next level of (path, node, sketch); each path has one branch, a quarter of them two."""
+    """The next level of (path, node, before, sketch); each path has one branch, a quarter of them two."""
 
     def step(paths, sketches):
         path, sketch = paths.to_numpy().view(U64), matrix(sketches)
@@ -165,27 +169,33 @@ def branched(rows: DataFrame) -> DataFrame:
         both = mixed(path ^ _STEP) % U64(4) == 0
         return [[[a, b] if c else [a] for a, b, c in zip(one.view(np.int64), two.view(np.int64), both, strict=True)]]
 
-    out = map_arrow(rows, ["path", "sketch"], [StructField("paths", ArrayType(LongType()))], step, keep=["node"])
-    return out.select(F.explode("paths").alias("path"), "node")
+    out = map_arrow(rows, ["path", "sketch"], [StructField("paths", ArrayType(LongType()))], step, keep=["node", "before"])
+    return out.select(F.explode("paths").alias("path"), "node", "before")
 
 
 def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(path, node) of all nodes of the trees that are compared, each with at most about ``SMALL`` documents; and of the dense nodes."""
-    rows = classes.select(F.explode("paths").alias("path"), "node")
+    rows = classes.select(F.explode("paths").alias("path"), "node", F.lit(None).cast("long").alias("before"))
     sketches = classes.select("node", "sketch")
     found, dense = [], []
-    for level in range(DEPTH):
-        counts = cut(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-        met = cut(rows.join(counts, "path"))
+    for level in itertools.count(1):
+        counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("before").alias("before"))
+        counts = cut(counts.where("n > 1"))
+        met = cut(rows.drop("before").join(counts, "path"))
         found.append(met.where(F.col("n") <= SMALL).select("path", "node"))
         dense.append(met.where((F.col("n") > DENSE) & (F.col("n") <= SMALL)).select("path", "node"))
-        large = met.where(F.col("n") > SMALL)
-        if counts.where(F.col("n") > SMALL).isEmpty():
+        large = F.col("n") > SMALL
+        if level >= DEPTH:
+            shrunk = F.coalesce(F.col("n") <= SHRINK * F.col("before"), F.lit(True))
+            further = large & (F.col("n") > WIDE) & shrunk
+            ended = met.where(large & ~further)
+            found += dealt(ended)
+            dense.append(ended.select("path", "node"))
+            large = further
+        if counts.where(large).isEmpty():
             break
-        if level < DEPTH - 1:
-            rows = cut(branched(large.select("path", "node").join(sketches, "node"))).distinct()
-    else:
-        found += dealt(large)
+        goes = met.where(large).select("path", "node", F.col("n").alias("before"))
+        rows = cut(branched(goes.join(sketches, "node"))).distinct()
     return together(found), together(dense)
 
 
@@ -198,7 +208,10 @@ def together(parts: list[DataFrame]) -> DataFrame:
 
 
 def dealt(large: DataFrame) -> list[DataFrame]:
-    """Nodes that stay large, in chunks of about ``SMALL`` documents; each chunk has the leaders of its node."""
+    """Nodes that stay large, in chunks of about ``SMALL`` documents; each chunk has the leaders of its node.
+
+    This only joins most of a family early; the second round compares what is left apart in different chunks.
+    """
     chunks = F.ceil(F.col("n") / F.lit(SMALL - LEADERS))
     inside = lambda chunk: F.xxhash64("path", chunk).alias("path")
     own = large.select(inside(F.pmod(F.xxhash64("node", "path"), chunks)), "node")

@@ -273,6 +273,18 @@ def test_links_of_dense_nodes_that_look_less_alike_than_others(frame):
     assert {r.doc_id: r.component_id for r in out} == dict(enumerate(expected))
 
 
+def test_links_between_chunks_of_nodes_that_stay_large(frame, monkeypatch):
+    for name, value in {"DEPTH": 1, "SMALL": 12, "LEADERS": 2, "BLOCK": 25}.items():
+        monkeypatch.setattr(nearcopies, name, value)
+    texts = alike_family(30)
+    expected = linked_groups(texts)
+    assert 25 < len(set(expected)) <= 30
+    for wide in (16_384, 20):  # the node is compared as it is, or branched until it is not wide
+        monkeypatch.setattr(nearcopies, "WIDE", wide)
+        out = nearcopies.near_digest(frame(list(enumerate(texts)), "doc_id int, text string")).collect()
+        assert {r.doc_id: r.component_id for r in out} == dict(enumerate(expected))
+
+
 # chat
 
 
