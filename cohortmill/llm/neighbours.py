@@ -42,12 +42,12 @@ SEED = 9
 
 
 def taking_part(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """Rows (id, vec) that can be searched, with double components."""
+    """Distinct rows (id, vec) that can be searched, with double components."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     rows = rows.where(F.col("id").isNotNull() & ~F.exists("vec", bad) & F.exists("vec", lambda x: x != 0))
     common = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("vec") == (common.n if common else 0))
+    return rows.where(F.size("vec") == (common.n if common else 0)).distinct()
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -101,14 +101,21 @@ class Index:
         return int(places[min(len(places) - 1, int(TARGET * len(places)))]) + 1 if len(places) else lists
 
 
+def bound_of(far: np.ndarray, ids: np.ndarray, k: int) -> float:
+    """The ``k``-th least distance, where rows of one id count once; infinite with fewer ids."""
+    order = np.argsort(far, kind="stable")
+    first = np.sort(np.unique(ids[order], return_index=True)[1])
+    return far[order[first[k - 1]]] if len(first) >= k else np.inf
+
+
 def scan(cell: tuple[np.ndarray, np.ndarray, np.ndarray], query: np.ndarray, turned: np.ndarray, own: int, k: int):
-    """Rows of the cell that are nearest to the query, as (ids, scores), at most ``k``."""
+    """Rows of the cell that are nearest to the query, as (ids, scores), at most ``k`` ids, each once."""
     ids, vectors, points = cell
     alive = np.flatnonzero(ids != own)
     dims = points.shape[1]
     if len(alive) > 4 * k:
         first = alive[: 2 * k]
-        bound = np.partition(((points[first] - turned) ** 2).sum(axis=1), k - 1)[k - 1]
+        bound = bound_of(((points[first] - turned) ** 2).sum(axis=1), ids[first], k)
         far = np.zeros(len(alive), np.float32)
         for at in range(0, dims, COLUMNS):
             part = points[alive, at : at + COLUMNS] - turned[at : at + COLUMNS]
@@ -116,12 +123,13 @@ def scan(cell: tuple[np.ndarray, np.ndarray, np.ndarray], query: np.ndarray, tur
             seen = min(dims, at + COLUMNS)
             if seen == dims:
                 # rounding in single precision must not drop an equal
-                stay = far <= np.partition(far, k - 1)[k - 1] * (1 + 1e-4) + 1e-6 if len(far) > k else far >= 0
+                stay = far <= bound_of(far, ids[alive], k) * (1 + 1e-4) + 1e-6
             else:
                 stay = far * (dims / seen) <= bound * (1 + CHANCE / np.sqrt(seen)) ** 2
             alive, far = alive[stay], far[stay]
     score = (vectors[alive] * query).sum(axis=1)
-    best = np.lexsort((ids[alive], -score))[:k]
+    best = np.lexsort((ids[alive], -score))
+    best = best[np.sort(np.unique(ids[alive][best], return_index=True)[1])[:k]]
     return ids[alive][best], score[best]
 
 
@@ -224,13 +232,14 @@ def nearest(
         return shared.value.nearest(shared.value.turned(matrix(column), query), n)
 
     listed = cut(map_arrow(rows, ["vec"], [StructField("list", IntegerType())], assign, keep=["id", "vec"]))
-    sizes = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}
+    held = listed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).collect()
+    sizes, ids = {r["list"]: r.n for r in held}, {r["list"]: r.ids for r in held}
     lists = len(index.centroids)
-    room = np.array([sizes.get(c, 0) for c in range(lists)])
+    room = np.array([ids.get(c, 0) for c in range(lists)])
 
     def probe(column):
         order = index_of(column, True, lists)
-        # further lists while those taken hold too few rows
+        # further lists while those taken hold too few ids
         enough = (np.cumsum(room[order], axis=1) < 2 * k + 2).sum(axis=1) + 1
         return [[o[: max(index.probes, e)].tolist() for o, e in zip(order, enough, strict=True)]]
 

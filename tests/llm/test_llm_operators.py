@@ -285,6 +285,19 @@ def test_links_between_chunks_of_nodes_that_stay_large(frame, monkeypatch):
         assert {r.doc_id: r.component_id for r in out} == dict(enumerate(expected))
 
 
+def test_neighbours_with_repeated_ids(frame, monkeypatch):
+    monkeypatch.setattr(neighbours, "PER_LIST", 10_000)  # one list, so that no neighbour is missed by probing
+    draw = np.random.default_rng(9)
+    base = draw.standard_normal((120, 8))
+    rows = [(k, base[k].tolist()) for k in range(120) for _ in range(3)]
+    # one id holds a third of all rows, some with vectors of its own, and looks most like the query
+    rows += [(7, (base[0] * (4 + 0.01 * (n % 50))).tolist()) for n in range(180)]
+    df = frame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.nearest(df, df.where("vec_id = 0"), k=20).orderBy("rank").collect()
+    score = {k: max(float(np.dot(v, base[0])) for i, v in rows if i == k) for k in range(1, 120)}
+    assert [r.vec_id for r in found] == sorted(score, key=lambda k: (-score[k], k))[:20]
+
+
 # chat
 
 
