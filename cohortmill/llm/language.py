@@ -169,11 +169,17 @@ def identified(docs: DataFrame, model: Model, keep: Sequence[str], text_col: str
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The documents, in their own columns, whose text is in some language: all but ``und``."""
+    """The documents, in their own columns, whose text is in some language: all but ``und``. Without a model, those with a letter."""
     named = {c: f"in_{k}" for k, c in enumerate(docs.columns)}
     rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in named.items()))
-    out = identified(rows, trained(docs), list(named.values()), named["text"])
-    return out.where(F.col("lang_pred") != UNKNOWN).select(*(F.col(n).alias(c) for c, n in named.items()))
+    model = trained(docs)
+    if model.classes:
+        out = identified(rows, model, list(named.values()), named["text"]).where(F.col("lang_pred") != UNKNOWN)
+    else:
+        lettered = lambda column: [[t is not None and grams(t.decode()) is not None for t in texts(column)]]
+        fields = [StructField("lettered", BooleanType())]
+        out = map_arrow(rows, [named["text"]], fields, lettered, keep=list(named.values())).where("lettered")
+    return out.select(*(F.col(n).alias(c) for c, n in named.items()))
 
 
 def languages(docs: DataFrame) -> DataFrame:

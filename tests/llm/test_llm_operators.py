@@ -298,6 +298,12 @@ def test_neighbours_with_repeated_ids(frame, monkeypatch):
     assert [r.vec_id for r in found] == sorted(score, key=lambda k: (-score[k], k))[:20]
 
 
+def test_documents_without_any_known_language_stay(frame):
+    rows = [(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "слова", None)]
+    out = language.known_language(frame(rows, "doc_id long, text string, lang string"))
+    assert sorted(r.doc_id for r in out.collect()) == [1, 4]
+
+
 # chat
 
 
