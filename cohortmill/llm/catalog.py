@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from cohortmill.llm import chat, decontaminate, language, licenses, mixing, nearcopies, neighbours, quality, repeats, secrets
+from cohortmill.llm import (
+    chat, decontaminate, language, licenses, mixing, nearcopies, neighbours, personal, quality, repeats, secrets,
+)
 from cohortmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +65,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
 
 
+def op11_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return personal.personal_digest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -81,6 +88,7 @@ QUERIES: dict[str, Query] = {
         op8_chat,
         op9_nearest,
         op10_language,
+        op11_personal,
         pipeline,
     )
 }
@@ -91,4 +99,5 @@ SQL: dict[str, str] = {
     "op6_near_copies": nearcopies.SQL,
     "op7_licenses": licenses.SQL,
     "op8_chat": chat.SQL,
+    "op11_personal": personal.SQL,
 }
