@@ -167,7 +167,7 @@ def proposals(text: Column, kind: Kind) -> Column:
 
     none = F.array().cast("array<struct<start:int,end:int,str:string,before:string,after:string>>")
     found = tx.let(F.split(text, kind.pattern, -1), with_context)
-    guard = kind.guard or kind.plain
+    guard = kind.guard or kind.pattern
     return F.when(text.contains(guard) if guard == "@" else text.rlike(guard), found).otherwise(none)
 
 
@@ -264,7 +264,7 @@ def masked(docs: DataFrame, *, text_col: str = "text", threshold: int = THRESHOL
     out = docs
     for kind in KINDS:
         text = F.col(f"`{text_col}`")
-        guard = text.contains("@") if kind.guard == "@" else text.rlike(kind.guard or kind.plain)
+        guard = text.contains("@") if kind.guard == "@" else text.rlike(kind.guard or kind.pattern)
         out = out.withColumn(text_col, F.when(guard, one(kind)(text)).otherwise(text))
     return out
 
