@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from cohortmill.llm import (
-    chat, decontaminate, language, licenses, mixing, nearcopies, neighbours, personal, quality, repeats, secrets,
+    chat, decontaminate, language, licenses, mixing, nearcopies, neighbours, periods, personal, quality, repeats, secrets,
 )
 from cohortmill.llm.common import table
 
@@ -70,6 +70,11 @@ def op11_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.personal_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents."""
+    return periods.period_digest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -89,6 +94,7 @@ QUERIES: dict[str, Query] = {
         op9_nearest,
         op10_language,
         op11_personal,
+        op12_periods,
         pipeline,
     )
 }
@@ -100,4 +106,5 @@ SQL: dict[str, str] = {
     "op7_licenses": licenses.SQL,
     "op8_chat": chat.SQL,
     "op11_personal": personal.SQL,
+    "op12_periods": periods.SQL,
 }
