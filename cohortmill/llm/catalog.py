@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from cohortmill.llm import (
-    chat, decontaminate, language, licenses, mixing, nearcopies, neighbours, periods, personal, quality, repeats, secrets,
+    chat, decontaminate, divergence, language, licenses, mixing, nearcopies, neighbours, periods, personal, quality, repeats, secrets,
 )
 from cohortmill.llm.common import table
 
@@ -75,6 +75,11 @@ def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.period_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of the sources of each language, and the terms that set them apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -95,6 +100,7 @@ QUERIES: dict[str, Query] = {
         op10_language,
         op11_personal,
         op12_periods,
+        op13_divergence,
         pipeline,
     )
 }
@@ -107,4 +113,5 @@ SQL: dict[str, str] = {
     "op8_chat": chat.SQL,
     "op11_personal": personal.SQL,
     "op12_periods": periods.SQL,
+    "op13_divergence": divergence.SQL,
 }

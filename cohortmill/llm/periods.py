@@ -390,13 +390,15 @@ aim AS (SELECT t.rid, t.doc_id, ws, len(ws) AS n, h, CASE WHEN h % 10 = 0 AND le
 aim2 AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM aim),
 w AS MATERIALIZED (SELECT rid, doc_id, n, CASE WHEN a IS NULL THEN ws ELSE
     list_concat(ws[1:a], list_transform(range(a, n), lambda i: ws[a + (i - a) % p + 1])) END AS ws FROM aim2),
-one AS MATERIALIZED (SELECT rid, n, unnest(ws) AS x, generate_subscripts(ws, 1) - 1 AS i FROM w),
+one AS MATERIALIZED (SELECT rid, n, unnest(ws) AS x, generate_subscripts(ws, 1) - 1 AS i, rid * 1000000000 + generate_subscripts(ws, 1) - 1 AS k FROM w),
 same AS (SELECT rid, n, unnest(range(1, n // 4 + 1)) AS q FROM w WHERE n >= 6),
-marks AS (SELECT rid, n, q, unnest(range(0, n - 2 * q, q)) AS i FROM same),
-cand AS MATERIALIZED (SELECT DISTINCT m.rid, m.n, m.q FROM marks m JOIN one a ON a.rid = m.rid AND a.i = m.i JOIN one b ON b.rid = m.rid AND b.i = m.i + m.q
-    AND b.x = a.x JOIN one c ON c.rid = m.rid AND c.i = m.i + 2 * m.q AND c.x = a.x),
-eq AS (SELECT c.rid, c.q, a.i, a.i - row_number() OVER (PARTITION BY c.rid, c.q ORDER BY a.i) AS island FROM cand c JOIN one a ON a.rid = c.rid
-    JOIN one b ON b.rid = c.rid AND b.i = a.i + c.q AND b.x = a.x),
+marks AS MATERIALIZED (SELECT rid, q, rid * 1000000000 + unnest(range(0, n - 2 * q, q)) AS k FROM same),
+first AS MATERIALIZED (SELECT m.rid, m.q, m.k, a.x FROM marks m JOIN one a ON a.k = m.k),
+second AS MATERIALIZED (SELECT m.rid, m.q, m.k, m.x FROM first m JOIN one b ON b.k = m.k + m.q AND b.x = m.x),
+cand AS MATERIALIZED (SELECT DISTINCT m.rid, m.q FROM second m JOIN one c ON c.k = m.k + 2 * m.q AND c.x = m.x),
+all_words AS MATERIALIZED (SELECT c.rid, c.q, a.i, a.k, a.x FROM cand c JOIN one a ON a.rid = c.rid),
+eq AS (SELECT a.rid, a.q, a.i, a.i - row_number() OVER (PARTITION BY a.rid, a.q ORDER BY a.i) AS island FROM all_words a
+    JOIN one b ON b.k = a.k + a.q AND b.x = a.x),
 st AS (SELECT rid, q, min(i) AS s, count(*) + q AS len FROM eq GROUP BY rid, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
 runs AS MATERIALIZED (SELECT rid, min(q) AS q, s, len FROM st GROUP BY rid, s, len),
 gone AS (SELECT DISTINCT rid, unnest(range(s + q, s + len)) AS i FROM runs),
