@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import datetime
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from cohortmill import scale
 from cohortmill.catalog.base import query
+from cohortmill.catalog.notes import CHAIN, RULES
 from cohortmill.functions import context as cx
+from cohortmill.operators import rules
 from cohortmill.sources.tables import Tables
 from cohortmill.streaming import incremental
+from cohortmill.streaming.processing import Processing
+from cohortmill.streaming.store import KeyedStore
 
 
 BATCHES = 6
@@ -77,11 +82,75 @@ def event_summary(rows):
 )
 def stream_patient_refresh(t: Tables):
     sink, checkpoint = folders(t, "patients")
-    store = scale.job_folder(t.spark, "annotations")
-    incremental.stream_patient_refresh(event_stream(t), store, sink, checkpoint, event_summary)
+    stream = event_stream(t)
+    store = KeyedStore(t.spark, scale.job_folder(t.spark, "annotations"), stream.schema, "pid")
+    incremental.stream_patient_refresh(stream, store, sink, checkpoint, event_summary)
     return incremental.latest_per_key(t.spark.read.parquet(sink), ["pid"])
 
 
+ANNOTATIONS = "doc_id long, pid string, cui string, start_pos long, ruled_by string"
+
+
+def annotation_summary(rows):
+    """Per patient: annotations, those that no rule took out, concepts and documents."""
+    per_doc = rows.groupBy("pid", "doc_id", "cui").agg(F.count("*").alias("n"), F.count(F.when(F.col("ruled_by").isNull(), 1)).alias("kept"))
+    return per_doc.groupBy("pid").agg(
+        F.sum("n").alias("anns"), F.sum("kept").alias("kept"), F.countDistinct("cui").alias("concepts"), F.countDistinct("doc_id").alias("docs")
+    )
+
+
+def new_documents(t: Tables, before_log=None) -> Processing:
+    """Documents tagged, judged by the rules and summed up by patient."""
+    return Processing(
+        path=scale.job_folder(t.spark, "processing"),
+        annotate=t.tag,
+        judge=lambda mentions, docs: rules.rule_chain(mentions, docs, RULES),
+        summarise=annotation_summary,
+        schema=t.config([], ANNOTATIONS).schema,
+        before_log=before_log,
+    )
+
+
+SUMMARY = f"""WITH ruled AS ({CHAIN}) SELECT d.source AS pid, CAST(count(*) AS BIGINT) AS anns,
+       CAST(count(*) FILTER (WHERE ruled_by IS NULL) AS BIGINT) AS kept, CAST(count(DISTINCT cui) AS BIGINT) AS concepts,
+       CAST(count(DISTINCT r.doc_id) AS BIGINT) AS docs FROM ruled r JOIN documents d ON d.doc_id = r.doc_id GROUP BY d.source"""
+
+
+@query("incremental_run", "N16 N3 N4 ST1 ST3", SUMMARY)
+def incremental_run(t: Tables):
+    """Six batches of documents; the fourth fails after its rows were stored and is repeated by the second run."""
+    folder = scale.job_folder(t.spark, "documents")
+    t.text_docs.repartition(BATCHES, "doc_id").write.parquet(folder)
+    failures = [3]
+
+    def fail_once(n: int) -> None:
+        if n in failures:
+            failures.remove(n)
+            raise RuntimeError(f"batch {n} fails before it is logged")
+
+    job = new_documents(t, fail_once)
+    checkpoint = scale.job_folder(t.spark, "checkpoint")
+    for _ in range(2):
+        stream = incremental.read_new(t.spark, folder, t.text_docs.schema, files_per_batch=1)
+        try:
+            job.stream(stream, checkpoint)
+        except StreamingQueryException:
+            if failures:
+                raise
+    return job.summary(t.spark)
+
+
+@query("incremental_ranges", "N16 ST1 SC14", SUMMARY)
+def incremental_ranges(t: Tables):
+    """The same in runs over a growing table: each takes what lies behind the mark of the run before."""
+    job = new_documents(t)
+    docs = scale.cut(t.text_docs)
+    highest = docs.agg(F.max("doc_id")).first()[0]
+    for share in (0.2, 0.7, 1.0, 1.0):
+        job.run(docs.where(F.col("doc_id") <= int(highest * share)))
+    return job.summary(t.spark)
+
+
 @query(
     "append_entity_anns", "ST4",
     "SELECT pid, ctx_id, CAST(count(*) AS BIGINT) AS n FROM evs GROUP BY pid, ctx_id",

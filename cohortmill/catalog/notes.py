@@ -42,7 +42,7 @@ def adjacent_sentences(t: Tables):
     "SELECT doc_id, cui, sty, pref, str, start_pos, end_pos FROM tmentions",
 )
 def dictionary_annotate(t: Tables):
-    return t.tag_text().select("doc_id", "cui", "sty", "pref", "str", long("start_pos"), long("end_pos"))
+    return t.tag(t.text_docs).select("doc_id", "cui", "sty", "pref", "str", long("start_pos"), long("end_pos"))
 
 
 INDEXED = """idx AS (SELECT m.doc_id, m.cui, m.str, m.start_pos, m.end_pos, m.negation, m.temporality, m.experiencer, min(s.sent_no) AS i
@@ -156,12 +156,12 @@ def window_rules(t: Tables):
     return rows.select("doc_id", "cui", long("start_pos"), "ruled_by")
 
 
-@query(
-    "rule_chain", "N3 SF18",
-    f"""WITH {WINDOWED} SELECT doc_id, cui, start_pos, coalesce(CASE WHEN lower(str) = 'inoran' THEN 'skip-term'
+CHAIN = f"""WITH {WINDOWED} SELECT doc_id, cui, start_pos, coalesce(CASE WHEN lower(str) = 'inoran' THEN 'skip-term'
          WHEN regexp_matches(str, '^(?:H[a-z]+)') OR regexp_matches(str, '^(?:Ino)') THEN 'original-string-rule' END, {WINDOW_VERDICT},
-         CASE WHEN NOT (experiencer = 'Patient' AND temporality = 'Recent' AND negation = 'Affirmed') THEN 'nlp-label' END) AS ruled_by FROM w""",
-)
+         CASE WHEN NOT (experiencer = 'Patient' AND temporality = 'Recent' AND negation = 'Affirmed') THEN 'nlp-label' END) AS ruled_by FROM w"""
+
+
+@query("rule_chain", "N3 SF18", CHAIN)
 def rule_chain(t: Tables):
     rows = rules.rule_chain(t.text_mentions, t.text_docs, RULES)
     return rows.select("doc_id", "cui", long("start_pos"), "ruled_by")

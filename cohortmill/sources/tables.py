@@ -186,12 +186,12 @@ class Tables:
     @cached_property
     def text_mentions(self) -> DataFrame:
         """Dictionary mentions in the running text, with a context class by position."""
-        return self.written("text_mentions", self.tag_text)
+        return self.written("text_mentions", lambda: self.tag(self.text_docs))
 
-    def tag_text(self) -> DataFrame:
-        """Tag the running text."""
+    def tag(self, docs: DataFrame) -> DataFrame:
+        """Tag documents."""
         s, d = F.col("start_pos"), F.col("doc_id")
-        return textmine.dictionary_annotate(self.text_docs, self.gazetteer).select(
+        return textmine.dictionary_annotate(docs, self.gazetteer).select(
             "doc_id",
             "cui",
             "sty",

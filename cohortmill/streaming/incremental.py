@@ -6,8 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from cohortmill import scale
 from cohortmill.functions import context as cx
+from cohortmill.streaming.store import KeyedStore
+
+# Keyed state that may outgrow memory is kept on disk.
+ON_DISK_STATE = (
+    "spark.sql.streaming.stateStore.providerClass",
+    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+)
 
 
 def read_new(spark: SparkSession, path: str, schema, *, files_per_batch: int | None = None) -> DataFrame:
@@ -43,7 +52,7 @@ def batch_folder(sink: str, batch_id: int) -> str:
 
 def read_sink(spark: SparkSession, sink: str, schema) -> DataFrame:
     """All batches of a sink with their number."""
-    return spark.read.schema(schema.add("batch", "int") if "batch" not in schema.names else schema).parquet(sink)
+    return spark.read.schema(StructType([*(f for f in schema if f.name != "batch"), StructField("batch", IntegerType())])).parquet(sink)
 
 
 def incremental_docs(stream: DataFrame, sink: str, checkpoint: str) -> None:
@@ -53,50 +62,39 @@ def incremental_docs(stream: DataFrame, sink: str, checkpoint: str) -> None:
     )
 
 
-# Parts of a store by the hash of its key; a batch reads the parts that its own keys fall into.
-PARTS = 64
-
-
-def in_parts(rows: DataFrame, key: str, parts: int = PARTS) -> DataFrame:
-    """Rows with the part of the store that their key belongs to."""
-    return rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
-
-
-def touched_parts(store: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows of the store in the parts that a batch touches; other files are not opened."""
-    parts = [r.part for r in batch.select("part").distinct().collect()]  # at most PARTS numbers
-    return store.where(F.col("part").isin(parts))
-
-
 def stream_ctx_concepts(stream: DataFrame, sink: str, checkpoint: str) -> None:
-    """Add contexted concepts that the sink does not hold yet; the sink is kept in parts by concept."""
+    """Add contexted concepts that no earlier batch has brought.
 
-    def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        new = in_parts(batch.dropDuplicates(["ctx_id"]), "ctx_id")
-        if n > 0:
-            # earlier batches only, so that a repeated batch finds the same rows missing
-            known = touched_parts(spark.read.parquet(sink).where(F.col("batch") < n), new)
-            new = new.join(known.select("ctx_id"), "ctx_id", "left_anti")
-        new.write.mode("overwrite").partitionBy("part").parquet(batch_folder(sink, n))
+    The known ids are keyed state of the stream in RocksDB, on disk and in the checkpoint, so the sink is not read.
+    """
+    spark = stream.sparkSession
+    spark.conf.set(*ON_DISK_STATE)
+    run_available(
+        stream.dropDuplicates(["ctx_id"]),
+        lambda batch, n: batch.write.mode("overwrite").parquet(batch_folder(sink, n)),
+        checkpoint,
+    )
 
-    run_available(stream, write, checkpoint)
+
+def refreshed(
+    store: KeyedStore, n: int, rows: DataFrame, keys: DataFrame, sink: str, recompute: Callable[[DataFrame], DataFrame]
+) -> None:
+    """Add the rows of a batch to the store, then recompute the given keys from their whole history."""
+    store.commit(n, rows)
+    recompute(store.read(n, keys)).write.mode("overwrite").parquet(batch_folder(sink, n))
 
 
 def stream_patient_refresh(
-    stream: DataFrame, store: str, sink: str, checkpoint: str, recompute: Callable[[DataFrame], DataFrame]
+    stream: DataFrame, store: KeyedStore, sink: str, checkpoint: str, recompute: Callable[[DataFrame], DataFrame]
 ) -> None:
-    """Store new annotations, in parts by patient, then recompute the patients that they touch.
+    """Store new annotations by patient, then recompute the patients that they touch.
 
     The sink holds one folder per batch; :func:`latest_per_key` gives the current state.
     """
 
     def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        in_parts(batch, "pid").write.mode("overwrite").partitionBy("part").parquet(batch_folder(store, n))
-        new = spark.read.parquet(batch_folder(store, n))
-        kept = touched_parts(spark.read.parquet(store).where(F.col("batch") <= n), new).drop("batch", "part")
-        recompute(kept.join(new.select("pid").distinct(), "pid", "left_semi")).write.mode("overwrite").parquet(batch_folder(sink, n))
+        rows = scale.cut(batch)
+        refreshed(store, n, rows, rows.select(store.key).distinct(), sink, recompute)
 
     run_available(stream, write, checkpoint)
 

@@ -18,7 +18,7 @@ SELECTION = [
     "bipartite_topk", "patient_entities", "semantic_search", "label_ambiguity", "study_samples", "turn_neighbours",
     "confidence_cascade", "dictionary_annotate", "context_rules", "rule_chain", "relocate_offsets", "page_sections",
     "extract_measurements", "sensitive_values", "pattern_features", "text_search_near", "stream_patient_refresh",
-    "append_entity_anns", "density_clusters", "numbered_mentions",
+    "append_entity_anns", "incremental_ranges", "stream_ctx_concepts", "density_clusters", "numbered_mentions",
 ]
 
 
