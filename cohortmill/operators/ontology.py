@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortmill import scale
 from cohortmill.functions import codes
-
-# Rounds of a closure whose files are read apart before they are written as one table.
-LAYERS = 16
-
+from cohortmill.streaming.store import KeyedStore
 
 def transitive_closure(
     seeds: DataFrame,
@@ -23,33 +23,81 @@ def transitive_closure(
 ) -> DataFrame:
     """All concepts at or below each seed: ``seeds(keys…, cui)``, ``edges(parent, child)``.
 
-    Breadth first: every round joins only the newly found concepts to the edges and keeps what
-    was not seen, so cycles end and each pair is expanded once. ``skip(parent, child)`` takes
-    single relations out. Each round is written to the shared folder.
+    ``skip(parent, child)`` takes single relations out; cycles end. A graph within the broadcast bounds goes to the tasks as a whole and
+    each group of seeds is followed in one pass, however deep. Beyond them it is followed round by round
+    (:func:`closure_in_rounds`).
     """
-    by = [*keys, "cui"]
     steps = edges.select("parent", "child").distinct()
     if skip is not None:
         steps = steps.join(skip, ["parent", "child"], "left_anti")
-    steps = scale.cut(steps)
-    frontier = scale.cut(seeds.select(*by).distinct())
-    found = frontier
-    layers = 1
+    starts = seeds.select(*keys, "cui").distinct()
+    if scale.is_small(steps):
+        return scale.cut(_followed(starts, steps, keys))
+    return closure_in_rounds(starts, scale.cut(steps), keys=keys)
+
+
+def _followed(starts: DataFrame, steps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Closure over a graph of a size that was checked: one pass over the groups of seeds.
+
+    Only seeds with something below them enter a group, so a group is no larger than the graph.
+    """
+    below: dict[str, list[str]] = {}
+    for r in steps.where("parent IS NOT NULL AND child IS NOT NULL").collect():
+        below.setdefault(r.parent, []).append(r.child)
+    graph = steps.sparkSession.sparkContext.broadcast(below)
+    schema = starts.schema
+
+    def follow(rows: pa.Table) -> pa.Table:
+        children = graph.value
+        seen = dict.fromkeys(rows.column("cui").to_pylist())
+        todo = list(seen)
+        while todo:
+            for child in children.get(todo.pop(), ()):
+                if child not in seen:
+                    seen[child] = None
+                    todo.append(child)
+        names = pa.array(list(seen), rows.schema.field("cui").type)
+        same = [pa.repeat(rows.column(k)[0], len(names)) for k in keys]
+        return pa.Table.from_arrays([*same, names], names=[*keys, "cui"])
+
+    parents = steps.select(F.col("parent").alias("cui")).distinct()
+    inner = starts.join(F.broadcast(parents), "cui", "left_semi").select(*keys, "cui")
+    group = [F.col(k) for k in keys] or [F.lit("all")]
+    return starts.unionByName(inner.groupBy(*group).applyInArrow(follow, schema)).distinct()
+
+
+def closure_in_rounds(
+    starts: DataFrame, steps: DataFrame, *, keys: Sequence[str] = (), part_rows: int = 1_000_000, read: list[int] | None = None
+) -> DataFrame:
+    """Closure over a graph of any size, breadth first, each pair of group and concept expanded once.
+
+    Steps and what was found stand in stores dealt by concept, whose parts keep their size. So a round opens the
+    parts of the concepts that its frontier and its children fall into, and not what all rounds before have found.
+    ``read`` collects the rows in the parts that each round opens.
+    """
+    spark = starts.sparkSession
+    by = [*keys, "cui"]
+    starts, steps = starts.select(*by), steps.select(F.col("parent").alias("cui"), "child")
+    graph = KeyedStore(spark, scale.job_folder(spark, "steps"), steps.schema, "cui", part_rows)
+    found = KeyedStore(spark, scale.job_folder(spark, "closure"), starts.schema, "cui", part_rows)
+    frontier = scale.cut(starts.distinct())
+    graph.commit(0, steps)
+    found.commit(0, frontier)
+    n = 0
     while True:
-        reached = (
-            frontier.join(steps, F.col("cui") == F.col("parent"))
-            .select(*keys, F.col("child").alias("cui"))
-            .distinct()
-            .join(found, by, "left_anti")
-        )
-        frontier = scale.cut(reached)
+        beneath = frontier.join(graph.read(0, frontier), "cui").select(*keys, F.col("child").alias("cui"))
+        reached = scale.cut(beneath.distinct())
+        if read is not None:
+            opened = graph.touched(0, frontier).unionByName(found.touched(n, reached))
+            read.append(opened.agg(F.sum("rows")).first()[0] or 0)
+        # groups may be null
+        same = functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
+        known = found.read(n, reached).select(*(F.col(c).alias(f"_{c}") for c in by))
+        frontier = scale.cut(reached.join(known, same, "left_anti"))
         if frontier.isEmpty():
-            return found
-        found = found.unionByName(frontier)
-        layers += 1
-        if layers == LAYERS:
-            # a deep graph must not read one more set of files in each round
-            found, layers = scale.cut(found), 1
+            return found.read(n)
+        n += 1
+        found.commit(n, frontier)
 
 
 def direct_children(concepts: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 import re
 
 import numpy as np
@@ -96,6 +97,46 @@ def test_closure_with_cycle_diamond_and_skip(frame):
     assert rows(ontology.transitive_closure(seeds, edges, keys=["name"], skip=skip)) == [("s", "b"), ("s", "d"), ("s", "e"), ("t", "e"), ("u", "x")]
 
 
+def plain_closure(starts, edges):
+    found = set(starts)
+    todo = list(starts)
+    while todo:
+        name, at = todo.pop()
+        new = {(name, c) for p, c in edges if p == at} - found
+        found |= new
+        todo += new
+    return found
+
+
+def test_closures_of_any_graph(frame):
+    draw = random.Random(15)
+    edges = [(f"n{draw.randrange(40)}", f"n{draw.randrange(40)}") for _ in range(50)] + [(None, "n1"), ("n2", None)] * 2
+    starts = [(draw.choice(["s", "t", None]), f"n{draw.randrange(45)}") for _ in range(12)]
+    want = plain_closure(starts, [e for e in edges if None not in e])
+    steps = frame(edges[:-4], "parent string, child string").distinct()
+    seeds = frame(starts, "name string, cui string")
+    assert set(map(tuple, ontology.transitive_closure(seeds, frame(edges, "parent string, child string"), keys=["name"]).collect())) == want
+    got = ontology.closure_in_rounds(seeds, steps, keys=["name"], part_rows=7).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    only = {(c,) for _, c in want}
+    assert set(map(tuple, ontology.transitive_closure(seeds.drop("name"), steps).collect())) == only
+
+
+def test_a_deep_path_takes_one_pass(frame):
+    edges = frame([(k, k + 1) for k in range(5000)], "parent long, child long")
+    out = ontology.transitive_closure(frame([(1,), (4000,)], "cui long"), edges)
+    assert out.agg(F.min("cui"), F.max("cui"), F.count("*")).first()[:] == (1, 5000, 5000)
+
+
+def test_a_round_reads_the_parts_of_its_frontier(frame):
+    edges = frame([(k, k + 1) for k in range(120)], "parent long, child long")
+    read = []
+    out = ontology.closure_in_rounds(frame([(112,)], "cui long"), edges, part_rows=10, read=read)
+    assert sorted(r.cui for r in out.collect()) == list(range(112, 121)) and len(read) == 9
+    # one part of the steps and one of what was found, also when the closure has grown
+    assert max(read) <= 60 and max(read[5:]) <= max(read[:5]) + 20
+
+
 def test_exclusive_three_way_overlap_is_disjoint(frame):
     closure = frame([("A", 1, "x"), ("B", 2, "x"), ("C", 3, "x"), ("A", 1, "y"), ("B", 2, "y"), ("A", 1, "z")], "name string, priority int, cui string")
     assert rows(ontology.exclusive_concepts(closure), "name", "cui") == [("A", "z"), ("B", "y"), ("C", "x")]
