@@ -26,6 +26,9 @@ class Entry:
 
 REGISTRY: dict[str, Entry] = {}
 
+# words of letters and digits of any script, as an SQL literal
+WORDS_OF = r"'[\p{L}\p{N}]+'"
+
 # Common table expressions of the SQL side, in order; a query takes the ones it mentions.
 VIEWS: dict[str, str] = {
     "patients": "SELECT c_custkey AS pid, c_mktsegment AS cohort FROM customer",

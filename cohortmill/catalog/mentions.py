@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortmill import scale
-from cohortmill.catalog.base import query
+from cohortmill.catalog.base import WORDS_OF, query
 from cohortmill.functions import context as cx
 from cohortmill.operators import filters, joins, rules, summary, textmine, validation
 from cohortmill.plans import semantic_search, study
@@ -134,13 +134,13 @@ FALLBACK = [("HP:9", "the in", 2), ("HP:8", "wasthe unseen", 0), ("HP:7", "and t
 
 @query(
     "disease_model_match", "J14",
-    """WITH model(disease, id, label) AS (VALUES ('D1','HP:1','thatin'), ('D1','HP:2','ononst'), ('D1','HP:9','the in'),
+    r"""WITH model(disease, id, label) AS (VALUES ('D1','HP:1','thatin'), ('D1','HP:2','ononst'), ('D1','HP:9','the in'),
          ('D2','HP:3','inoran'), ('D2','HP:8','wasthe unseen'), ('D2','HP:7','and that')),
        map(id, cui) AS (VALUES ('HP:1','C9000001'), ('HP:2','C9000002'), ('HP:3','C9000003')),
        freq AS (SELECT d.source AS pid, p.id, count(*) AS freq FROM tmentions m JOIN documents d ON m.doc_id = d.doc_id
          JOIN map p ON m.cui = p.cui GROUP BY ALL),
-       w AS (SELECT doc_id, source AS pid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w,
-             generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS i FROM documents),
+       w AS (SELECT doc_id, source AS pid, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w,
+             generate_subscripts(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 1) AS i FROM documents),
        near AS (SELECT DISTINCT 'HP:9' AS id, a.pid, a.doc_id FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.i - a.i - 1 BETWEEN -2 AND 2
            WHERE a.w = 'the' AND b.w = 'in'
          UNION SELECT DISTINCT 'HP:8', a.pid, a.doc_id FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.i - a.i - 1 = 0 WHERE a.w = 'wasthe' AND b.w = 'unseen'
@@ -609,7 +609,7 @@ def study_samples(t: Tables):
     return result.samples.select("concept", "doc_id", "start_pos", "end_pos", "cui")
 
 
-SEARCHED = f"""cc AS (SELECT DISTINCT cui FROM typed WHERE list_contains(regexp_extract_all(lower(str), '[a-z0-9]+'), 'ring') AND {STRICT}),
+SEARCHED = f"""cc AS (SELECT DISTINCT cui FROM typed WHERE list_contains(regexp_extract_all(lower(str), {WORDS_OF}), 'ring') AND {STRICT}),
        {APPEARANCES.format(where='WHERE cui IN (SELECT cui FROM cc)')}"""
 
 

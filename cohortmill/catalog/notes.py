@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortmill.catalog.base import query
+from cohortmill.catalog.base import WORDS_OF, query
 from cohortmill.functions import text as tx
 from cohortmill.operators import deident, joins, patterns, rules, sections, textmine
 from cohortmill.operators.rules import Rule, RuleSet
@@ -182,8 +182,8 @@ def relocate_offsets(t: Tables):
     return textmine.relocate_offsets(moved, t.text_docs).select("doc_id", "cui", "orig", long("start_pos"))
 
 
-WORDS = """w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w,
-         generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS i FROM documents)"""
+WORDS = r"""w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w,
+         generate_subscripts(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 1) AS i FROM documents)"""
 
 
 @query(
@@ -191,7 +191,7 @@ WORDS = """w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]
     f"WITH {WORDS} SELECT doc_id, CAST(count(*) AS BIGINT) AS hits FROM w WHERE w IN ('thatin', 'hehely', 'ononst') GROUP BY doc_id",
 )
 def text_search_any(t: Tables):
-    return textmine.text_search(t.text_docs, any_of=["thatin", "hehely", "ononst"]).select("doc_id", long("hits"))
+    return t.text_index.search(any_of=["thatin", "hehely", "ononst"]).select("doc_id", long("hits"))
 
 
 @query(
@@ -199,7 +199,7 @@ def text_search_any(t: Tables):
     f"""WITH {WORDS} SELECT doc_id, CAST(count(*) AS BIGINT) AS hits FROM w WHERE w IN ('that', 'inoran') GROUP BY doc_id HAVING count(DISTINCT w) = 2""",
 )
 def text_search_all(t: Tables):
-    return textmine.text_search(t.text_docs, all_of=["that", "inoran"]).select("doc_id", long("hits"))
+    return t.text_index.search(all_of=["that", "inoran"]).select("doc_id", long("hits"))
 
 
 @query(
@@ -208,7 +208,29 @@ def text_search_all(t: Tables):
        SELECT doc_id, CAST(count(*) AS BIGINT) AS hits FROM w WHERE w IN ('was', 'from') AND doc_id IN (SELECT doc_id FROM n) GROUP BY doc_id""",
 )
 def text_search_near(t: Tables):
-    return textmine.text_search(t.text_docs, phrases=[("was from", 3)]).select("doc_id", long("hits"))
+    return t.text_index.search(phrases=[("was from", 3)]).select("doc_id", long("hits"))
+
+
+@query(
+    "text_search_accented", "PF8",
+    f"""WITH {WORDS}, n AS (SELECT DISTINCT a.doc_id FROM w a JOIN w b ON a.doc_id = b.doc_id AND abs(b.i - 1 - a.i) <= 2 WHERE a.w = 'für' AND b.w = 'der'),
+       k AS (SELECT doc_id FROM w WHERE w IN ('der', 'über', 'für') GROUP BY doc_id HAVING bool_or(w = 'der') AND bool_or(w = 'für'))
+       SELECT doc_id, CAST(count(*) AS BIGINT) AS hits FROM w WHERE w IN ('der', 'über', 'für') AND doc_id IN (SELECT doc_id FROM n)
+         AND doc_id IN (SELECT doc_id FROM k) GROUP BY doc_id""",
+)
+def text_search_accented(t: Tables):
+    found = t.text_index.search(any_of=["über", "für"], all_of=["der"], phrases=[("für der", 2)])
+    return found.select("doc_id", long("hits"))
+
+
+@query(
+    "text_search_scan", "PF8 SC12",
+    f"""WITH {WORDS}, n AS (SELECT DISTINCT a.doc_id FROM w a JOIN w b ON a.doc_id = b.doc_id AND abs(b.i - 1 - a.i) <= 3 WHERE a.w = 'was' AND b.w = 'from')
+       SELECT doc_id, CAST(count(*) AS BIGINT) AS hits FROM w WHERE w IN ('was', 'from', 'éque') AND doc_id IN (SELECT doc_id FROM n) GROUP BY doc_id""",
+)
+def text_search_scan(t: Tables):
+    """The same search over texts without an index."""
+    return textmine.text_search(t.text_docs, any_of=["was", "éque"], phrases=[("was from", 3)]).select("doc_id", long("hits"))
 
 
 def event_notes(t: Tables):
@@ -441,8 +463,8 @@ def vocabulary(t: Tables):
 @query(
     "encode_windows", "SF24",
     f"""WITH {VOCAB}, m AS (SELECT x.doc_id || '-' || x.start_pos || '-' || x.cui AS id,
-           regexp_extract_all(lower(substring(d.text, 1, x.start_pos)), '[a-z0-9]+') AS a,
-           regexp_extract_all(lower(substring(d.text, x.end_pos + 1)), '[a-z0-9]+') AS b FROM tmentions x JOIN documents d ON d.doc_id = x.doc_id),
+           regexp_extract_all(lower(substring(d.text, 1, x.start_pos)), {WORDS_OF}) AS a,
+           regexp_extract_all(lower(substring(d.text, x.end_pos + 1)), {WORDS_OF}) AS b FROM tmentions x JOIN documents d ON d.doc_id = x.doc_id),
        l AS (SELECT id, list_concat(a[greatest(len(a) - 3, 1):], b[1:4]) AS ws FROM m),
        u AS (SELECT id, unnest(ws) AS token, generate_subscripts(ws, 1) AS i FROM l),
        c AS (SELECT u.id, string_agg(CAST(v.idx + 1 AS VARCHAR), ' ' ORDER BY u.i) AS s, count(v.idx) AS k FROM u LEFT JOIN voc v ON u.token = v.token GROUP BY u.id)

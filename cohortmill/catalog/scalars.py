@@ -254,8 +254,8 @@ def hashed_names(t: Tables):
 
 @query(
     "collapsed_runs", "W10",
-    r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w,
-         generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS i FROM documents),
+    r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w,
+         generate_subscripts(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 1) AS i FROM documents),
        g AS (SELECT doc_id, i, w, CASE WHEN length(w) <= 3 THEN 'S' WHEN length(w) <= 6 THEN 'M' ELSE 'L' END AS tag FROM w),
        r AS (SELECT *, lag(tag) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM g)
        SELECT doc_id, md5(string_agg(tag, '->' ORDER BY i)) AS runs FROM r WHERE p IS NULL OR p <> tag GROUP BY doc_id""",

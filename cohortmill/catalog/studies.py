@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from cohortmill import scale
-from cohortmill.catalog.base import query
+from cohortmill.catalog.base import WORDS_OF, query
 from cohortmill.catalog.notes import RULES, WINDOW_VERDICT, WINDOWED
 from cohortmill.plans import study
 from cohortmill.sources import config
@@ -79,7 +79,7 @@ def study_run_ruled(t: Tables):
 @query(
     "study_search_terms", "N14 PF8 SC8",
     f"""WITH {KEPT}, s AS (SELECT source, count(*) AS n FROM documents
-         WHERE list_has_any(regexp_extract_all(lower(text), '[a-z0-9]+'), {SEARCHED}) GROUP BY source)
+         WHERE list_has_any(regexp_extract_all(lower(text), {WORDS_OF}), {SEARCHED}) GROUP BY source)
        SELECT d.source AS pid, {COUNTS}, CAST(coalesce(max(s.n), 0) AS BIGINT) AS searched
        FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN s ON s.source = d.source GROUP BY d.source""",
 )

@@ -425,8 +425,8 @@ def skip_if_processed(t: Tables):
     return filters.skip_if_processed(t.docs, t.raw("labels"), ["doc_id"]).select("doc_id", "pid")
 
 
-CONCEPT_SEARCH = """SELECT ctx_id, cui, sty FROM (SELECT ctx_id, cui, min(str) AS label, min(sty) AS sty FROM typed GROUP BY ctx_id, cui)
-       WHERE list_contains(regexp_extract_all(lower(label), '[a-z0-9]+'), 'ring') AND sty = 'SMALL'"""
+CONCEPT_SEARCH = r"""SELECT ctx_id, cui, sty FROM (SELECT ctx_id, cui, min(str) AS label, min(sty) AS sty FROM typed GROUP BY ctx_id, cui)
+       WHERE list_contains(regexp_extract_all(lower(label), '[\p{L}\p{N}]+'), 'ring') AND sty = 'SMALL'"""
 
 
 def labelled_contexts(t: Tables):

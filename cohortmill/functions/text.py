@@ -125,8 +125,8 @@ def word_spans(text: str | Column) -> Column:
 
 
 def words(text: str | Column) -> Column:
-    """Lower-case ASCII words in order."""
-    return F.regexp_extract_all(F.lower(_col(text)), F.lit("[a-z0-9]+"), F.lit(0))
+    """Lower-case words of letters and digits of any script, in order."""
+    return F.regexp_extract_all(F.lower(_col(text)), F.lit(WORD), F.lit(0))
 
 
 def collapse_spaces(text: str | Column) -> Column:
@@ -282,11 +282,11 @@ def insert_marks(text: str | Column, marks: Column) -> Column:
 
 
 def occurrences(text: str | Column, surface: str | Column) -> Column:
-    """Start offsets of the surface text as whole words, ignoring ASCII case."""
+    """Start offsets of the surface text as whole words of any script, ignoring ASCII case."""
     t, s = _col(text), _col(surface)
     # a border is where word and non-word characters meet, so it depends on the end letters
-    left = F.when(s.rlike(r"\A[A-Za-z0-9_]"), r"(?<![A-Za-z0-9_])").otherwise(r"(?<=[A-Za-z0-9_])")
-    right = F.when(s.rlike(r"[A-Za-z0-9_]\z"), r"(?![A-Za-z0-9_])").otherwise(r"(?=[A-Za-z0-9_])")
+    left = F.when(s.rlike(r"\A[\p{L}\p{N}_]"), r"(?<![\p{L}\p{N}_])").otherwise(r"(?<=[\p{L}\p{N}_])")
+    right = F.when(s.rlike(r"[\p{L}\p{N}_]\z"), r"(?![\p{L}\p{N}_])").otherwise(r"(?=[\p{L}\p{N}_])")
     quoted = F.regexp_replace(s, r"([^A-Za-z0-9\s])", r"\\$1")
     gaps = F.split(t, F.concat(F.lit("(?i)"), left, quoted, right), -1)
     parts = F.transform(gaps, lambda g: F.struct(F.length(g).alias("gap"), F.length(s).alias("len"), s.alias("str")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortmill import scale
 from cohortmill.functions import context as cx
+from cohortmill.functions import text as tx
 
 
 def skip_terms(mentions: DataFrame, terms: DataFrame, *, case_sensitive: bool = False) -> DataFrame:
@@ -95,6 +96,6 @@ def skip_if_processed(rows: DataFrame, done: DataFrame, keys: Sequence[str]) ->
 
 def search_concepts(ctx_concepts: DataFrame, term: str, *, sty: str | None = None) -> DataFrame:
     """Contexted concepts whose label holds the word, of one semantic type if given."""
-    words = F.regexp_extract_all(F.lower("pref"), F.lit("[a-z0-9]+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower("pref"), F.lit(tx.WORD), F.lit(0))
     found = ctx_concepts.where(F.array_contains(words, term.lower()))
     return found if sty is None else found.where(F.col("sty") == sty)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortmill import scale
 from cohortmill.functions import text as tx
+from cohortmill.operators import search
 
 
 def sentences(docs: DataFrame, *, keep: Sequence[str] = ()) -> DataFrame:
@@ -156,27 +157,21 @@ def dictionary_annotate(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
     )
 
 
-def _within_slop(wordlist: Column, terms: Sequence[str], slop: int) -> Column:
-    """True where the terms occur with adjusted positions at most ``slop`` apart."""
+def _positions(wordlist: Column, words: Sequence[str]) -> dict[str, Column]:
+    """Sorted positions of some words among the words of a text."""
 
-    def adjusted(i: int, term: str) -> Column:
-        at = F.transform(wordlist, lambda w, pos: F.when(w == term, pos - i))
-        return F.filter(at, lambda p: p.isNotNull())
+    def places(word: str) -> Column:
+        at = F.transform(wordlist, lambda w, i: F.when(w == word, i))
+        return F.filter(at, lambda i: i.isNotNull())
 
-    places = F.struct(*[adjusted(i, t).alias(f"p{i}") for i, t in enumerate(terms)])
+    return {w: places(w) for w in words}
 
-    def within(found: Column) -> Column:
-        lists = [found[f"p{i}"] for i in range(len(terms))]
 
-        def fits(low: Column) -> Column:
-            ok = F.lit(True)
-            for positions in lists:
-                ok = ok & F.exists(positions, lambda p: (p >= low) & (p <= low + slop))
-            return ok
-
-        return F.exists(F.concat(*lists), fits)
-
-    return tx.let(places, within)
+def _found(wordlist: Column, words: Sequence[str], body: Callable[[dict[str, Column]], Column]) -> Column:
+    """``body`` of the positions of some words, each worked out once."""
+    named = {w: f"p{i}" for i, w in enumerate(words)}
+    both = F.struct(*(p.alias(named[w]) for w, p in _positions(wordlist, words).items()))
+    return tx.let(both, lambda s: body({w: s[n] for w, n in named.items()}))
 
 
 def text_search(
@@ -188,36 +183,26 @@ def text_search(
 ) -> DataFrame:
     """Documents with any of the words, all of the words, and any of the (phrase, slop) pairs.
 
-    ``hits`` counts the occurrences of the asked words.
+    ``hits`` counts the occurrences of the asked words. All texts are read; for many searches write a :class:`search.TextIndex`.
     """
-    wordlist = tx.words("text")
-    match = F.lit(True)
-    asked: set[str] = set()
-    if any_of:
-        match = match & F.arrays_overlap(wordlist, F.array(*map(F.lit, any_of)))
-        asked.update(any_of)
-    for term in all_of:
-        match = match & F.array_contains(wordlist, term)
-        asked.add(term)
-    if phrases:
-        near = F.lit(False)
-        for phrase, slop in phrases:
-            near = near | _within_slop(wordlist, phrase.lower().split(), slop)
-            asked.update(phrase.lower().split())
-        match = match & near
-    hits = F.size(F.filter(wordlist, lambda w: w.isin(*sorted(asked))))
-    return docs.where(match).withColumn("hits", hits)
+    asked = search.asked_words(any_of, all_of, phrases)
+    if not asked:
+        return docs.withColumn("hits", F.lit(0))
+    rows = docs.withColumn("_words", tx.words("text"))
+    match = _found(F.col("_words"), asked, lambda at: search.matches(at, any_of, all_of, phrases))
+    hits = F.size(F.filter("_words", lambda w: w.isin(*asked)))
+    return rows.where(match).withColumn("hits", hits).drop("_words")
 
 
 def phrase_counts(docs: DataFrame, phrases: Sequence[tuple[str, str, int]], *, key: str) -> DataFrame:
     """``key, id, n`` documents that hold each of the phrases ``(id, phrase, slop)``; the texts are read once."""
-    wordlist = tx.words("text")
+    asked = search.asked_words((), (), [(phrase, slop) for _, phrase, slop in phrases])
 
-    def ids(words: Column) -> Column:
-        found = [F.when(_within_slop(words, phrase.lower().split(), slop), F.lit(name)) for name, phrase, slop in phrases]
+    def ids(at: dict[str, Column]) -> Column:
+        found = [F.when(search.matches(at, (), (), [(phrase, slop)]), F.lit(name)) for name, phrase, slop in phrases]
         return F.array_compact(F.array(*found))
 
-    rows = docs.select(key, F.explode(tx.let(wordlist, ids)).alias("id"))
+    rows = docs.select(key, F.explode(tx.let(tx.words("text"), lambda words: _found(words, asked, ids))).alias("id"))
     return rows.groupBy(key, "id").agg(F.count(F.lit(1)).alias("n"))
 
 

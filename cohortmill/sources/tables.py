@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortmill import scale
 from cohortmill.functions import context as cx
-from cohortmill.operators import ontology, textmine
+from cohortmill.operators import ontology, search, textmine
 
 # study concepts of the fixture: name, priority, seed concept
 SEEDS = [("S1", 1, 1), ("S2", 2, 12), ("S3", 3, 2), ("S4", 4, 3), ("S5", 5, 4)]
@@ -207,6 +207,16 @@ class Tables:
             F.when(s % 11 == 0, "Other").otherwise("Patient").alias("experiencer"),
         )
 
+    @property
+    def text_index(self) -> search.TextIndex:
+        """Index of the words of the running text; written once per folder."""
+        place = self.written("text_index", self._index_text)
+        return search.TextIndex(self.spark, place.first()["path"])
+
+    def _index_text(self) -> DataFrame:
+        index = search.TextIndex(self.spark, scale.job_folder(self.spark, "text_index")).write(self.text_docs)
+        return self.config([(index.path,)], "path string")
+
     @cached_property
     def events(self) -> DataFrame:
         """Event stream rows as dated annotations."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cohortmill import scale
 from cohortmill.functions import codes
 from cohortmill.functions import text as tx
-from cohortmill.operators import clusters, deident, filters, ontology, patterns, rules, sections, summary, textmine, validation
+from cohortmill.operators import clusters, deident, filters, ontology, patterns, rules, search, sections, summary, textmine, validation
 from cohortmill.sources import config, readers, sinks
 
 
@@ -470,3 +470,51 @@ def test_study_counts_agree_with_and_without_broadcast(frame, monkeypatch):
     monkeypatch.setattr(scale, "is_small", lambda df, *bounds: False)
     assert rows(summary.study_counts(mentions, docs, closure)) == small
     assert (1, "A", 3, 10) in small
+
+
+# --- search
+
+
+def test_index_finds_what_a_scan_finds(spark, frame):
+    draw = random.Random(11)
+    words = ["café", "caf", "über", "was", "from", "x1", "Ünder", "der"]
+    docs = [(k, " ".join(draw.choice(words) for _ in range(draw.choice([0, 4, 30])))) for k in range(80)] + [(90, None), (91, "was! " * 3000 + "from")]
+    df = frame(docs, "doc_id long, text string")
+    index = search.TextIndex(spark, scale.job_folder(spark, "index"), buckets=7).write(df)
+    cases = [
+        {"any_of": ["caf", "x1"]}, {"all_of": ["café", "ünder"]}, {"phrases": [("was from", 0), ("der über x1", 2)]},
+        {"any_of": ["caf"], "all_of": ["was"], "phrases": [("was was", 1)]}, {"any_of": ["nowhere"]},
+    ]
+    for case in cases:
+        scanned = textmine.text_search(df, **case).select("doc_id", "hits").collect()
+        assert sorted(map(tuple, index.search(**case).collect())) == sorted(map(tuple, scanned)), case
+    assert 91 in {r.doc_id for r in index.search(phrases=[("was from", 0)]).collect()}
+    # "café" does not hold the word "caf"
+    only = frame([(1, "café"), (2, "caf é")], "doc_id long, text string")
+    assert [r.doc_id for r in textmine.text_search(only, any_of=["caf"]).collect()] == [2]
+
+
+def test_slop_against_plain_windows(frame):
+    draw = random.Random(4)
+    rows = [[sorted(draw.sample(range(30), draw.choice([0, 1, 5]))) for _ in range(3)] for _ in range(60)]
+    df = frame([(k, *r) for k, r in enumerate(rows)], "k int, a array<int>, b array<int>, c array<int>")
+    for slop in (0, 2, 7):
+        got = {r.k: r.x for r in df.select("k", search.within_slop([F.col("a"), F.col("b"), F.col("c")], slop).alias("x")).collect()}
+        for k, (a, b, c) in enumerate(rows):
+            want = any(max(x, y - 1, z - 2) - min(x, y - 1, z - 2) <= slop for x in a for y in b for z in c)
+            assert got[k] == want, (rows[k], slop)
+
+
+def test_only_buckets_of_the_words_are_opened(spark, frame):
+    df = frame([(k, f"word{k} common") for k in range(300)], "doc_id long, text string")
+    index = search.TextIndex(spark, scale.job_folder(spark, "index")).write(df)
+    plan = index.search(any_of=["word7"])._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters:")[1].split("]")[0]
+    assert [tuple(r) for r in index.search(any_of=["word7"]).collect()] == [(7, 1)]
+    files = index.postings(["word7"]).select(F.input_file_name().alias("file")).distinct()
+    assert files.count() == 1
+
+
+def test_occurrences_end_at_letters_of_any_script(frame):
+    df = frame([("pré pr Pr. prx épr", "pr")], "t string, s string")
+    assert df.select(tx.occurrences("t", "s")).first()[0] == [4, 7]
