@@ -13,8 +13,8 @@ travels about once, and each cell gives the links of a spanning forest. Componen
 collected for a group, and copies are never written as pairs.
 
 Documents of a dense node first name few partners, which joins most copies. A second round then compares, in every dense
-node, all documents that the links have left in different groups, and confirms each pair that looks alike; what it names no more is in one
-group already or refuted on the full sets.
+node, all documents that the links have left in different groups: cells of two blocks, first by sketch, then, where a pair looks alike, on the
+full sets inside the cell, which returns links of a spanning forest only.
 
 Defined results: a null, empty or wordless text has an empty set and is linked with nothing. A text with fewer words than a shingle is
 one shingle. Rows that repeat a document are in its class. Rows with a null id take part, but give no component id of their own: a group of such
@@ -23,7 +23,9 @@ rows only has a null component and, in :func:`deduplicated`, one of them stays.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,7 @@ from pyspark.sql.types import (
     ArrayType,
     BinaryType,
     DoubleType,
+    IntegerType,
     LongType,
     StructField,
     StructType,
@@ -57,8 +60,8 @@ ALIKE = 0.6
 #: In nodes of more than ``DENSE`` documents, each names those that look most alike: ``PARTNERS`` of them if the last of these is
 #: surely a link, two deviations above 0.8, and else up to ``UNSURE``. A spanning forest is added.
 DENSE, PARTNERS, UNSURE, SURE = 16, 1, 4, 0.9
-#: Documents of one block of the second round.
-BLOCK = 512
+#: Documents and shingles of one block of the second round, documents of a cell that are named one by one, and shingles of one product.
+BLOCK, BLOCK_SHINGLES, FEW, SLICE = 512, 1 << 21, 64, 4096
 #: Edges of one cell of confirmations; with more than ``CROWDED`` edges a document, cells take ``CELL_NODES`` by ``CELL_NODES`` documents.
 CELL_EDGES, CROWDED, CELL_NODES = 256, 8, 128
 #: Bytes of text that are cut into words at once.
@@ -308,60 +311,181 @@ def candidates(classes: DataFrame, met: DataFrame) -> DataFrame:
     return distinct_edges(rows.mapInArrow(compare, EDGE))
 
 
-def between(classes: DataFrame, dense: DataFrame, known: DataFrame) -> DataFrame:
-    """Distinct edges (a, b, alike) of all classes that look alike in a dense node and are in different groups (node, root).
+def runs_of(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of rows with the same values."""
+    n = len(columns[0])
+    if not n:
+        return []
+    borders = functools.reduce(operator.or_, (c[1:] != c[:-1] for c in columns))
+    edges = [0, *(np.flatnonzero(borders) + 1).tolist(), n]
+    return list(itertools.pairwise(edges))
 
-    In a node, whoever is outside of the most frequent group is compared with all others, block by block.
+
+def cells_between(classes: DataFrame, dense: DataFrame, known: DataFrame) -> DataFrame:
+    """(cell, kind, node, root): in a dense node, whoever is outside of the most frequent group (kind 0) meets all (kind 1), block by block.
+
+    A block has at most about ``BLOCK`` documents and ``BLOCK_SHINGLES`` shingles.
     """
-    rows = dense.join(known.select("node", "root"), "node")
-    tally = rows.groupBy("path", "root").agg(F.count(F.lit(1)).alias("n"))
-    most = F.max(F.struct("n", "root"))
-    plan = tally.groupBy("path").agg(F.sum("n").alias("n"), most.alias("most")).where("most.n < n")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rows = dense.join(known.select("node", "root"), "node").join(classes.select("node", "n_shingles"), "node")
+    tally = rows.groupBy("path", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+    most = F.max(F.struct("n", "root", "size"))
+    plan = tally.groupBy("path").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), most.alias("most")).where("most.n < n")
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_SHINGLES)).cast("int")
     plan = plan.select(
-        "path", F.col("most.root").alias("major"), blocks(F.col("n") - F.col("most.n")).alias("few"), blocks(F.col("n")).alias("all")
+        "path",
+        F.col("most.root").alias("major"),
+        blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("few"),
+        blocks(F.col("n"), F.col("size")).alias("all"),
     )
-    rows = cut(rows.join(plan, "path").join(classes.select("node", "sketch", "n_shingles"), "node"))
+    rows = cut(rows.drop("n_shingles").join(plan, "path"))
 
     def side(kind: int, here: DataFrame, own: str, others: str) -> DataFrame:
         mine = F.pmod(F.xxhash64("node", "path"), F.col(own)).cast("int")
         each = F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias("each")
         out = here.select("*", mine.alias("mine"), each)
         cell = F.xxhash64("path", *(("mine", "each") if kind == 0 else ("each", "mine")))
-        return out.select(cell.alias("cell"), F.lit(kind).alias("kind"), "node", "root", "sketch", "n_shingles")
+        return out.select(cell.alias("cell"), F.lit(kind).alias("kind"), "node", "root")
+
+    return side(0, rows.where(F.col("root") != F.col("major")), "few", "all").unionByName(side(1, rows, "all", "few"))
+
+
+MET = StructType([StructField("cell", LongType()), StructField("kind", IntegerType()), StructField("node", BinaryType()), StructField("root", BinaryType())])
+
 
-    rows = side(0, rows.where(F.col("root") != F.col("major")), "few", "all").unionByName(side(1, rows, "all", "few"))
-    rows = rows.repartition("cell").sortWithinPartitions("cell", "kind")
+def alike_in_cells(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (cell, kind, node, root) whose sketch looks like one of another group in their cell.
+
+    A cell with more than ``FEW`` of them is named once instead, without a node.
+    """
+    rows = rows.join(classes.select("node", "sketch", "n_shingles"), "node")
+    rows = rows.select("cell", "kind", "node", "root", "sketch", "n_shingles").repartition("cell").sortWithinPartitions("cell", "kind")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, asked = None, []
+        cell, asked, found = None, [], {}
+
+        def named():
+            some = list(found.items()) if len(found) <= FEW else [((None, None), None)]
+            return [(cell, kind, node, root) for (kind, node), root in some]
+
         for batch in batches:
             cells, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             nodes, roots = (np.array(batch.column(k).to_pylist(), object) for k in (2, 3))
             sketches, sizes = matrix(batch.column(4)), batch.column(5).to_numpy()
-            edges = [0, *(np.flatnonzero((cells[1:] != cells[:-1]) | (kinds[1:] != kinds[:-1])) + 1), len(cells)]
-            out = ([], [], [])
-            for s, e in zip(edges, edges[1:]):
-                if s == e:
-                    continue
+            out = []
+            for s, e in runs_of(cells, kinds):
                 if cells[s] != cell:
-                    cell, asked = cells[s], []
+                    out += named()
+                    cell, asked, found = int(cells[s]), [], {}
                 if kinds[s] == 0:
                     asked.extend(zip(nodes[s:e], roots[s:e], sketches[s:e], sizes[s:e], strict=True))
                     continue
                 for node, root, sketch, size in asked:
+                    if len(found) > FEW:
+                        break
                     same = (sketches[s:e] == sketch).mean(axis=1)
                     low, high = np.minimum(sizes[s:e], size), np.maximum(sizes[s:e], size)
                     near = (same >= ALIKE) & (100 * low >= PERCENT * high)
                     near[near] = roots[s:e][near] != root
-                    for j in np.flatnonzero(near).tolist():
-                        out[0].append(node)
-                        out[1].append(nodes[s + j])
-                        out[2].append(float(same[j]))
-            types = (pa.binary(), pa.binary(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=EDGE.names)
+                    if near.any():
+                        found[0, node] = root
+                        found.update(((1, nodes[s + j]), roots[s + j]) for j in np.flatnonzero(near).tolist())
+            yield pa.RecordBatch.from_pylist([dict(zip(MET.names, r, strict=True)) for r in out], schema=met)
+        yield pa.RecordBatch.from_pylist([dict(zip(MET.names, r, strict=True)) for r in named()], schema=met)
+
+    met = pa.schema([("cell", pa.int64()), ("kind", pa.int32()), ("node", pa.binary()), ("root", pa.binary())])
+    return rows.mapInArrow(compare, MET)
+
+
+def common_counts(few: list[np.ndarray], many: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one list with all of the other, by products of slices of their indicator matrices."""
+    flat = np.concatenate([*few, *many])
+    shingle, column = np.unique(flat, return_inverse=True)
+    row = np.repeat(np.arange(len(few) + len(many)), [len(x) for x in [*few, *many]])
+    # a shingle counts only if both lists hold it
+    both = np.zeros((2, len(shingle)), bool)
+    both[(row >= len(few)).astype(int), column] = True
+    number = np.cumsum(both.all(axis=0)) - 1
+    kept = both.all(axis=0)[column]
+    row, column = row[kept], number[column[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    counts = np.zeros((len(few), len(many)), np.int64)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, SLICE):
+        first, last = np.searchsorted(column, [low, low + SLICE])
+        part = np.zeros((len(few) + len(many), SLICE), np.float32)
+        part[row[first:last], column[first:last] - low] = 1
+        counts += (part[: len(few)] @ part[len(few) :].T).astype(np.int64)
+    return counts
+
+
+def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(node, shingles) of the given nodes, from the text of their class."""
+    own = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
+    rows = own.join(nodes.join(classes.select("node", "name", "mark"), "node"), ["name", "mark"])
 
-    return distinct_edges(rows.mapInArrow(compare, EDGE))
+    def shingled(column, expected):
+        sets = [shingle_set(t, words) for t in texts(column)]
+        # rows that share name and mark but not the text are left out
+        return [[x.tobytes() if fingerprint(x) == n else None for x, n in zip(sets, expected.to_pylist(), strict=True)]]
+
+    made = map_arrow(rows, ["text", "node"], [StructField("shingles", BinaryType())], shingled, keep=["node"])
+    return made.where("shingles IS NOT NULL").dropDuplicates(["node"])
+
+
+LINK = StructType([StructField("a", BinaryType()), StructField("b", BinaryType())])
+
+
+def linked_in_cells(rows: DataFrame) -> DataFrame:
+    """Links (a, b) between groups that some pair of (cell, kind, node, root, shingles) confirms: a spanning forest per cell."""
+    rows = rows.select("cell", "kind", "root", "shingles").repartition("cell").sortWithinPartitions("cell", "kind")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, asked, above = None, [], {}
+
+        def top(x):
+            while above.setdefault(x, x) != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        for batch in batches:
+            cells, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            roots = batch.column(2).to_pylist()
+            sets = [np.frombuffer(x, U64) for x in batch.column(3).to_pylist()]
+            links = ([], [])
+            for s, e in runs_of(cells, kinds):
+                if cells[s] != cell:
+                    cell, asked, above = cells[s], [], {}
+                if kinds[s] == 0:
+                    asked += zip(roots[s:e], sets[s:e], strict=True)
+                    continue
+                if not asked:
+                    continue
+                common = common_counts([x for _, x in asked], sets[s:e])
+                sizes = np.add.outer([len(x) for _, x in asked], [len(x) for x in sets[s:e]])
+                for i, j in zip(*np.nonzero(100 * common >= PERCENT * (sizes - common)), strict=True):
+                    one, two = asked[i][0], roots[s + j]
+                    if top(one) != top(two):
+                        above[top(two)] = top(one)
+                        links[0].append(one)
+                        links[1].append(two)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in links], names=LINK.names)
+
+    return rows.mapInArrow(confirm, LINK).distinct()
+
+
+def between(classes: DataFrame, dense: DataFrame, known: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """Links (a, b) between the groups (node, root) of classes that met in a dense node and that a first round has left apart.
+
+    Cells that hold no pair alike by sketch end there. The others compare the full sets and name links only, so what is
+    written grows with the documents also where very many of them are just below the threshold.
+    """
+    rows = cut(cells_between(classes, dense, known))
+    met = cut(alike_in_cells(rows, classes))
+    whole = met.where("node IS NULL").select("cell")
+    asked = cut(met.where("node IS NOT NULL").unionByName(rows.join(whole, "cell", "left_semi")))
+    sets = cut(sets_of(asked.select("node").distinct(), classes, docs, id_col, text_col, words))
+    return linked_in_cells(asked.join(sets, "node"))
 
 
 def in_cells(edges: DataFrame) -> DataFrame:
@@ -386,9 +510,6 @@ def in_cells(edges: DataFrame) -> DataFrame:
     return cut(edges.join(sizes, "label").select(cell, "a", "b", "alike", (parts == 1).alias("alone")))
 
 
-LINK = StructType([StructField("a", BinaryType()), StructField("b", BinaryType())])
-
-
 def confirmed(edges: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """Links (a, b) of a spanning forest of the edges of each cell that hold on the full sets.
 
@@ -497,13 +618,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     links = cut(confirmed(edges, classes, docs, id_col, text_col, words))
     known = cut(rooted(classes.select("node", "who"), "node", links.select("a", "b")))
     if not dense.isEmpty():
-        # edges of the first round that are between groups are refuted
-        more = cut(between(classes, dense, known).join(edges, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            links = cut(confirmed(more, classes, docs, id_col, text_col, words))
-            for end in ("a", "b"):
-                links = links.join(known.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)
-            links = cut(links.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
+        links = cut(between(classes, dense, known, docs, id_col, text_col, words))
+        if not links.isEmpty():
             known = cut(rooted(known.withColumnRenamed("root", "old"), "old", links).drop("old"))
     least = cut(known.groupBy("root").agg(F.min("who").alias("least")))
     named = cut(known.join(least, "root").select("node", "least"))

@@ -13,6 +13,7 @@ import corpus_pipeline
 from __spark_entry__ import queries
 from check_queries import compare, connect
 from cohortmill.llm import catalog, chat, decontaminate, language, mixing, nearcopies, neighbours, quality, repeats, secrets
+from cohortmill.scale import cut
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -273,6 +274,47 @@ def test_links_of_dense_nodes_that_look_less_alike_than_others(frame):
     assert {r.doc_id: r.component_id for r in out} == dict(enumerate(expected))
 
 
+def changed_copies(base, count, changes, draw):
+    """Copies of a text with words of their own at some places, each of which changes four shingles."""
+    out = []
+    for k in range(count):
+        copy = list(base)
+        for place in draw.sample(range(4, len(base) - 4, 4), changes):
+            copy[place] = f"{base[0]}x{k}x{place}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_families_just_below_and_just_above_the_threshold(frame, monkeypatch):
+    draw = random.Random(8)
+    # two copies share 333 of 461 shingles of the first family or a few more, and 357 of 437 of the second
+    below = changed_copies([f"b{k}" for k in range(400)], 700, 8, draw)
+    above = changed_copies([f"a{k}" for k in range(400)], 100, 5, draw)
+    made = []
+    monkeypatch.setattr(nearcopies, "linked_in_cells", lambda rows, plain=nearcopies.linked_in_cells: made.append(cut(plain(rows))) or made[-1])
+    out = nearcopies.near_digest(frame(list(enumerate(below + above)), "doc_id int, text string")).collect()
+    got = {r.doc_id: r.component_id for r in out}
+    sets = [nearcopies.shingle_set(t.encode(), 4) for t in below + above]
+    common = nearcopies.common_counts(sets, sets)
+    sizes = np.add.outer([len(x) for x in sets], [len(x) for x in sets])
+    linked = 100 * common >= 80 * (sizes - common)
+    least = list(range(len(sets)))
+    for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+        if least[i] != least[j]:
+            a, b = sorted((least[i], least[j]))
+            least = [a if x == b else x for x in least]
+    assert got == dict(enumerate(least)) and len(set(least)) > 600
+    # refuted pairs are not written
+    assert all(m.count() <= len(sets) for m in made)
+
+
+def test_common_counts_are_those_of_sets():
+    draw = np.random.default_rng(3)
+    few, many = ([np.unique(draw.integers(0, 9000, draw.integers(0, 5000)).astype(np.uint64)) for _ in range(k)] for k in (7, 11))
+    want = [[len(np.intersect1d(a, b)) for b in many] for a in few]
+    assert nearcopies.common_counts(few, many).tolist() == want
+
+
 def test_links_between_chunks_of_nodes_that_stay_large(frame, monkeypatch):
     for name, value in {"DEPTH": 1, "SMALL": 12, "LEADERS": 2, "BLOCK": 25}.items():
         monkeypatch.setattr(nearcopies, name, value)
