@@ -446,9 +446,32 @@ def sensitive_values(t: Tables):
     return deident.sensitive_values(deident.deidentify(t.text_docs, MASKS))
 
 
-@query("masked_documents", "N5")
+# fixed offsets of the masked group in the match of each rule
+MASKED_PARTS = [
+    (r"\+1 \(\d+\) \d{3}-\d{4}", 3), (r"(?i)[a-z]+\.\d+@mail\d+\.example\.com", 0),
+    (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", 0), (r"(?i)\b(?:und|the) [a-z]+th\b", 4),
+]
+MASKED = ", ".join(
+    f"""m{k} AS (SELECT doc_id, unnest(regexp_extract_all(text, '{p}')) AS m, generate_subscripts(regexp_extract_all(text, '{p}'), 1) AS n,
+       unnest(regexp_split_to_array(text, '{p}')[1:len(regexp_extract_all(text, '{p}'))]) AS gap FROM documents),
+       s{k} AS (SELECT doc_id, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY n) AS BIGINT) AS e, length(m) - {skip} AS len FROM m{k})"""
+    for k, (p, skip) in enumerate(MASKED_PARTS)
+)
+
+
+@query(
+    "masked_documents", "N5",
+    f"""WITH {MASKED}, hid AS (SELECT DISTINCT doc_id, unnest(range(e - len + 1, e + 1)) AS i FROM
+         ({" UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(len(MASKED_PARTS)))}) WHERE len >= 2),
+       chars AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents
+         WHERE doc_id IN (SELECT doc_id FROM hid)),
+       made AS (SELECT c.doc_id, string_agg(CASE WHEN h.i IS NOT NULL AND c.c NOT IN (' ', chr(9), chr(10), chr(13)) THEN 'x' ELSE c.c END, '' ORDER BY c.i) AS masked
+         FROM chars c LEFT JOIN hid h ON h.doc_id = c.doc_id AND h.i = c.i GROUP BY c.doc_id)
+       SELECT d.doc_id, md5(coalesce(m.masked, d.text)) AS masked, CAST(length(d.text) AS BIGINT) AS chars FROM documents d LEFT JOIN made m ON m.doc_id = d.doc_id""",
+)
 def masked_documents(t: Tables):
-    return deident.deidentify(t.text_docs, MASKS).select("doc_id", "masked")
+    rows = deident.deidentify(t.text_docs, MASKS)
+    return rows.select("doc_id", F.md5("masked").alias("masked"), F.length("masked").cast("long").alias("chars"))
 
 
 VOCAB = f"""{WORDS}, voc AS (SELECT w AS token, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, w) - 1 AS idx FROM w GROUP BY w

@@ -42,8 +42,7 @@ class LetterRules:
 
 
 def _mask_text(text: str, rules: list[tuple[MaskRule, re.Pattern]], areas: list[tuple[int, int]]):
-    chars = text
-    found = []
+    found, spans = [], []
     for rule, pattern in rules:
         for begin, stop in areas:
             for m in pattern.finditer(text, begin, stop):
@@ -53,9 +52,20 @@ def _mask_text(text: str, rules: list[tuple[MaskRule, re.Pattern]], areas: list[
                         continue
                     found.append({"type": rule.data_type, "value": value})
                     if len(value) >= 2:
-                        s, e = m.span(group)
-                        chars = chars[:s] + re.sub(r"[^\n\s]", "x", value) + chars[e:]
-    return chars, found
+                        spans.append(m.span(group))
+    return masked(text, spans), found
+
+
+def masked(text: str, spans: Sequence[tuple[int, int]]) -> str:
+    """The text with every letter of the spans replaced; blanks stay. Spans may overlap, and each part of the text is copied once."""
+    pieces, done = [], 0
+    for start, end in sorted(spans):
+        if end <= done:
+            continue
+        start = max(start, done)
+        pieces += [text[done:start], re.sub(r"\S", "x", text[start:end])]
+        done = end
+    return "".join([*pieces, text[done:]])
 
 
 def deidentify(docs: DataFrame, rules: Sequence[MaskRule], *, letter: LetterRules | None = None) -> DataFrame:

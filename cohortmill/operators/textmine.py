@@ -97,18 +97,16 @@ def _word_start(gaps: Column, wordlist: Column, at: Column) -> Column:
     return F.aggregate(F.slice(wordlist, F.lit(1), at), before, add)
 
 
-def dictionary_annotate(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """Tag dictionary terms in the text; a match inside a longer one is dropped.
+def term_runs(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """Runs of words that may be a term: where its first word starts some, and only as many words as a term with that first word has.
 
-    ``gazetteer(term, cui, sty, pref)`` with lower-case terms, words separated by one space.
-    Words that start no term are dropped first; runs of the others are looked up by equality, so
-    the work grows with the text and not with text times terms. Offsets are worked out for the
-    matches only.
+    So a word that starts no term gives no row, and a long term gives rows for its own first word only.
     """
     longest = gazetteer.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
     # as long as the longest term, so that a term reaches into one more stretch at most
     size = max(STRETCH_WORDS, longest)
-    first_words = gazetteer.select(F.split("term", " ")[0].alias("word")).distinct()
+    split = gazetteer.select(F.split("term", " ").alias("ws"))
+    first_words = split.groupBy(F.col("ws")[0].alias("word")).agg(F.collect_set(F.size("ws")).alias("sizes"))
     parts = sentences(docs).withColumn("runs", _stretches(F.col("sent_text"), size))
     parts = parts.select("doc_id", "sent_no", "sent_start", "sent_text", "runs", F.posexplode_outer("runs").alias("r", "run"))
     parts = parts.where("run IS NOT NULL")
@@ -124,11 +122,21 @@ def dictionary_annotate(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
     ).withColumn("words", F.regexp_extract_all("part", F.lit(tx.WORD), F.lit(0)))
     one = rows.select("doc_id", "sent_no", "part_start", "part", "words", F.posexplode_outer("words").alias("at", "w"))
     one = one.where(F.col("at") < size).withColumn("word", F.lower("w")).drop("w")
-    begin = one.join(scale.bounded_broadcast(first_words), "word", "left_semi")
-    lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.size("words") - F.col("at")))
-    runs = begin.withColumn("n", F.explode(lengths))
-    term = F.lower(F.array_join(F.slice("words", F.col("at") + 1, F.col("n")), " "))
-    hits = runs.withColumn("term", term).join(scale.bounded_broadcast(gazetteer), "term")
+    begin = one.join(scale.bounded_broadcast(first_words), "word")
+    fitting = F.filter("sizes", lambda n: n <= F.size("words") - F.col("at"))
+    runs = begin.withColumn("n", F.explode(fitting)).drop("sizes")
+    return runs.withColumn("term", F.lower(F.array_join(F.slice("words", F.col("at") + 1, F.col("n")), " ")))
+
+
+def dictionary_annotate(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """Tag dictionary terms in the text; a match inside a longer one is dropped.
+
+    ``gazetteer(term, cui, sty, pref)`` with lower-case terms, words separated by one space.
+    Runs of words (:func:`term_runs`) are looked up by equality, so
+    the work grows with the text and not with text times terms. Offsets are worked out for the
+    matches only.
+    """
+    hits = term_runs(docs, gazetteer).join(scale.bounded_broadcast(gazetteer), "term")
     gaps = F.split("part", tx.WORD, -1)
     last = F.col("at") + F.col("n") - 1
     hits = hits.withColumn("s", _word_start(gaps, F.col("words"), F.col("at"))).withColumn(

@@ -518,3 +518,21 @@ def test_only_buckets_of_the_words_are_opened(spark, frame):
 def test_occurrences_end_at_letters_of_any_script(frame):
     df = frame([("pré pr Pr. prx épr", "pr")], "t string, s string")
     assert df.select(tx.occurrences("t", "s")).first()[0] == [4, 7]
+
+
+def test_a_long_term_gives_rows_for_its_own_first_word_only(frame):
+    docs = frame([(1, "of the sea and of the land. zeta eta " + "word " * 60)], "doc_id long, text string")
+    short = [("of the", "C1", "s", "p"), ("of", "C2", "s", "p"), ("zeta eta", "C4", "s", "p")]
+    long = short + [("zeta " + "word " * 38 + "word", "C3", "s", "p")]
+    schema = "term string, cui string, sty string, pref string"
+    few, more = (textmine.term_runs(docs, frame(g, schema)).count() for g in (short, long))
+    # the two of "of" twice, one of "zeta", and one more for the long term
+    assert (few, more) == (5, 6)
+    found = textmine.dictionary_annotate(docs, frame(long, schema)).select("cui", "start_pos").collect()
+    assert sorted(map(tuple, found)) == [("C1", 0), ("C1", 15), ("C4", 28)]
+
+
+def test_masks_of_overlapping_spans():
+    text = "ab cd ef gh"
+    assert deident.masked(text, [(3, 5), (0, 4), (4, 8), (9, 11), (9, 10)]) == "xx xx xx xx"
+    assert deident.masked(text, []) == text and deident.masked("a" * 9, [(2, 4), (2, 7), (3, 5)]) == "aaxxxxxaa"
