@@ -520,7 +520,29 @@ def pattern_features(t: Tables):
     return instances(t).select("doc_id", "cui", long("start_pos"), "full_pattern")
 
 
-@query("pattern_levels", "N9")
+LEVELS = """tag(token, tag) AS (VALUES ('was','VERB'), ('and','CCONJ'), ('of','ADP'), ('from','ADP'), ('by','ADP'), ('the','DET'), ('in','ADP'), ('that','PRON')),
+       held AS (SELECT DISTINCT doc_id, sent_no FROM tmentions),
+       sent AS MATERIALIZED (SELECT k.doc_id, k.sent_no, list(coalesce(g.tag, 'NOUN') ORDER BY k.tok_no) AS tags, list(k.token ORDER BY k.tok_no) AS words,
+           list(k.start_pos ORDER BY k.tok_no) AS starts, list(k.end_pos ORDER BY k.tok_no) AS ends
+         FROM toks k JOIN held h ON h.doc_id = k.doc_id AND h.sent_no = k.sent_no LEFT JOIN tag g ON g.token = lower(k.token) GROUP BY ALL),
+       placed AS (SELECT m.*, s.tags, s.words, len(s.tags) AS size, len(list_filter(s.starts, lambda x: x < m.start_pos)) AS f,
+           len(list_filter(s.ends, lambda x: x <= m.end_pos)) AS nx FROM tmentions m JOIN sent s ON s.doc_id = m.doc_id AND s.sent_no = m.sent_no),
+       cutoff AS (SELECT *, coalesce(list_max(list_filter(range(size), lambda i: i < f AND tags[i + 1] IN ('VERB', 'CCONJ', 'ADP'))), -1) + 1 AS lo,
+           coalesce(list_min(list_filter(range(size), lambda i: i >= nx AND tags[i + 1] IN ('VERB', 'CCONJ', 'ADP'))), size) AS hi,
+           coalesce(list_max(list_filter(range(size), lambda i: i < f AND tags[i + 1] = 'VERB')), 0) AS verb FROM placed WHERE nx > f),
+       around AS (SELECT *, list_concat(tags[lo + 1:f], ['KCL'], tags[nx + 1:hi]) AS st,
+           list_filter(list_reverse(range(verb, f)), lambda i: tags[i + 1] IN ('VERB', 'NOUN', 'PROPN')) AS content FROM cutoff),
+       levels AS (SELECT doc_id, cui, start_pos, negation, temporality, experiencer,
+           array_to_string(list_filter(st, lambda x, i: i = 1 OR st[i - 1] <> x), '->') AS pattern,
+           concat_ws(' =#= ', nullif(array_to_string(words[lo + 1:f], ' '), ''), nullif(array_to_string(words[nx + 1:hi], ' '), '')) AS variant,
+           array_to_string(list_reverse(tags[verb + 1:f]), '<-') AS sent_pattern,
+           array_to_string(list_transform(content, lambda i: words[i + 1]), ' ') AS sent_text FROM around)"""
+
+
+@query(
+    "pattern_levels", "N9",
+    f"WITH {LEVELS} SELECT doc_id, cui, start_pos, pattern, variant, sent_pattern, sent_text FROM levels",
+)
 def pattern_levels(t: Tables):
     return instances(t).select("doc_id", "cui", long("start_pos"), "pattern", "variant", "sent_pattern", "sent_text")
 

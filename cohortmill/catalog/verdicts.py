@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortmill import scale
+from cohortmill.catalog import notes
 from cohortmill.catalog.base import query
 from cohortmill.functions import context as cx
 from cohortmill.operators import joins, patterns, summary, validation
@@ -308,25 +309,69 @@ def pattern_accuracy(t: Tables):
     return rows.withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query(
-    "confidence_cascade", "J20 N10",
-    f"""WITH {INSTANCES},
+def cascade_sql(instances: str, key: str) -> str:
+    """Scores of all levels trained and looked up on the instances ``inst`` and ``ok`` of the given tables."""
+    return f"""WITH {instances},
        p AS (SELECT pattern, avg(good) AS a1 FROM ok GROUP BY pattern HAVING count(*) >= 3),
-       {accuracy_sql('v', 'ok', 'pattern, variant', 5)},
+       {accuracy_sql('v', '(SELECT ok.* FROM ok JOIN p USING (pattern))', 'pattern, variant', 5)},
        b AS (SELECT ok.* FROM ok JOIN v USING (pattern, variant) WHERE v.cls = 'hard'),
        {accuracy_sql('s', 'b', 'pattern, variant, sent_pattern', 6)},
        l AS (SELECT b.* FROM b JOIN s USING (pattern, variant, sent_pattern) WHERE s.cls = 'hard'),
        {accuracy_sql('k', 'l', 'pattern, variant, sent_pattern, sent_text', 3)}
-       SELECT i.doc_id, i.start_pos, i.pattern, i.variant, i.sent_pattern, i.sent_text, round(CASE WHEN p.a1 IS NULL THEN -1
+       SELECT {key}, i.pattern, i.variant, i.sent_pattern, i.sent_text, round(CASE WHEN p.a1 IS NULL THEN -1
          WHEN p.a1 >= 0.75 OR p.a1 <= 0.25 THEN p.a1 WHEN v.cls IS NULL THEN p.a1 WHEN v.cls <> 'hard' THEN v.accuracy
          WHEN s.cls IS NULL THEN p.a1 WHEN s.cls <> 'hard' THEN s.accuracy ELSE coalesce(k.accuracy, s.accuracy) END, 6) AS confidence
        FROM inst i LEFT JOIN p ON p.pattern = i.pattern LEFT JOIN v ON v.pattern = i.pattern AND v.variant = i.variant
        LEFT JOIN s ON s.pattern = i.pattern AND s.variant = i.variant AND s.sent_pattern = i.sent_pattern
-       LEFT JOIN k ON k.pattern = i.pattern AND k.variant = i.variant AND k.sent_pattern = i.sent_pattern AND k.sent_text = i.sent_text""",
-)
+       LEFT JOIN k ON k.pattern = i.pattern AND k.variant = i.variant AND k.sent_pattern = i.sent_pattern AND k.sent_text = i.sent_text"""
+
+
+@query("confidence_cascade", "J20 N10", cascade_sql(INSTANCES, "i.doc_id, i.start_pos"))
 def confidence_cascade(t: Tables):
     instances = labelled_instances(t)
     scored = patterns.confidence_cascade(instances, patterns.train_pattern_model(instances))
     return scored.select(
         "doc_id", "start_pos", "pattern", "variant", "sent_pattern", "sent_text", F.round("confidence", 6).alias("confidence")
     )
+
+
+def judged_instances(t: Tables):
+    """Mentions in the running text with the pattern levels around them, and the labels of their documents as ground truth."""
+    label = cx.ctx_class_ui()
+    gt = F.when(F.col("toxic").isNull(), patterns.UNLABELLED).when(F.col("toxic") == 1, "wrongM").when(F.col("quality") == 0, "hypoM").otherwise(label)
+    rows = notes.instances(t).join(t.raw("labels"), "doc_id", "left")
+    return rows.withColumns({"signed_label": label, "gt_label": gt}).drop("quality", "toxic")
+
+
+JUDGED = f"""{notes.LEVELS}, inst AS (SELECT l.*, CASE WHEN experiencer <> 'Patient' THEN 'otherM' WHEN temporality <> 'Recent' THEN 'hisM'
+           WHEN negation = 'Negated' THEN 'negM' ELSE 'posM' END AS signed_label, b.toxic, b.quality FROM levels l LEFT JOIN labels b ON b.doc_id = l.doc_id),
+       ok AS (SELECT *, CASE WHEN toxic IS NULL THEN NULL WHEN toxic = 1 OR quality = 0 THEN 0.0 ELSE 1.0 END AS good FROM inst)"""
+
+
+@query("pattern_confidence", "N9 N10 J20", cascade_sql(JUDGED, "i.doc_id, i.cui, i.start_pos"))
+def pattern_confidence(t: Tables):
+    """The cascade trained on, and scoring, what the sentences around the mentions give."""
+    instances = scale.cut(judged_instances(t))
+    scored = patterns.confidence_cascade(instances, patterns.train_pattern_model(instances))
+    return scored.select(
+        "doc_id", "cui", F.col("start_pos").cast("long").alias("start_pos"), "pattern", "variant", "sent_pattern", "sent_text",
+        F.round("confidence", 6).alias("confidence"),
+    )
+
+
+@query(
+    "pattern_back_off", "N10 J20",
+    f"""WITH {JUDGED}, paths AS (SELECT doc_id, cui, start_pos, pattern, good, list_filter(string_split(sent_pattern, '<-'), lambda x: x <> '')[1:6] AS path FROM ok),
+       pre AS (SELECT * EXCLUDE (path), d AS depth, array_to_string(path[1:d], '<-') AS prefix FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM paths)),
+       tree AS (SELECT pattern, depth, prefix, avg(good) AS accuracy FROM pre GROUP BY ALL HAVING count(*) >= 3 AND avg(good) IS NOT NULL),
+       best AS (SELECT p.doc_id, p.cui, p.start_pos, max(t.depth) AS depth, arg_max(t.accuracy, t.depth) AS accuracy FROM pre p LEFT JOIN tree t
+         ON t.pattern = p.pattern AND t.depth = p.depth AND t.prefix = p.prefix GROUP BY ALL)
+       SELECT doc_id, cui, start_pos, CAST(coalesce(depth, -1) AS BIGINT) AS depth, round(coalesce(accuracy, -1), 6) AS confidence FROM best""",
+)
+def pattern_back_off(t: Tables):
+    """Accuracy of the deepest frequent node that a mention's tag path reaches in the prefix tree below its pattern."""
+    instances = scale.cut(judged_instances(t))
+    out = patterns.back_off(instances, patterns.pattern_tree(instances), key=["doc_id", "cui", "start_pos"])
+    return out.select(
+        "doc_id", "cui", *(F.col(c).cast("long").alias(c) for c in ("start_pos", "depth")), F.round("confidence", 6).alias("confidence")
+    )

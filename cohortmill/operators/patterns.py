@@ -226,3 +226,36 @@ def top_patterns(instances: DataFrame, *, k: int = 10) -> DataFrame:
 def short_patterns(instances: DataFrame, *, steps: int = 5) -> DataFrame:
     """Distinct sentence patterns of at most the given number of steps."""
     return instances.select("full_pattern").distinct().where(F.size(F.split("full_pattern", STEP)) <= steps)
+
+
+def prefixes(instances: DataFrame, *, steps: int) -> DataFrame:
+    """Instances with one row for each prefix of their tag path, from the mention outwards, of at most ``steps`` tags.
+
+    The empty prefix stands for the pattern alone, so there is always one to fall back on.
+    """
+    path = F.slice(F.filter(F.split("sent_pattern", BACK_STEP), lambda t: t != ""), 1, steps)
+    one = F.transform(F.sequence(F.lit(0), F.size("_path")), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice("_path", F.lit(1), n), BACK_STEP).alias("prefix")))
+    rows = instances.withColumn("_path", path)
+    return rows.select(*instances.columns, F.inline(one))
+
+
+def pattern_tree(instances: DataFrame, *, min_freq: int = 3, steps: int = 6) -> DataFrame:
+    """Prefix tree of the tag paths below each pattern as a table: ``pattern, depth, prefix, n, accuracy`` of its frequent nodes.
+
+    A node counts all instances that pass through it, so a frequent node has frequent nodes above it.
+    """
+    nodes = accuracy(prefixes(instances, steps=steps), ["pattern", "depth", "prefix"])
+    return nodes.where((F.col("n") >= min_freq) & F.col("accuracy").isNotNull())
+
+
+def back_off(instances: DataFrame, tree: DataFrame, *, key: list[str], steps: int = 6) -> DataFrame:
+    """``key…, depth, confidence``: accuracy of the deepest node of the tree that an instance reaches.
+
+    An instance whose pattern is not in the tree has depth -1 and the confidence of an unseen one.
+    """
+    found = prefixes(instances.select(*key, "pattern", "sent_pattern"), steps=steps).join(
+        scale.bounded_broadcast(tree.select("pattern", "depth", "prefix", F.col("accuracy").alias("_acc"))), ["pattern", "depth", "prefix"], "left"
+    )
+    deepest = F.max(F.when(F.col("_acc").isNotNull(), F.struct("depth", "_acc")))
+    rows = found.groupBy(*key).agg(deepest.alias("_node"))
+    return rows.select(*key, F.coalesce("_node.depth", F.lit(-1)).alias("depth"), F.coalesce("_node._acc", F.lit(UNSEEN)).alias("confidence"))

@@ -536,3 +536,15 @@ def test_masks_of_overlapping_spans():
     text = "ab cd ef gh"
     assert deident.masked(text, [(3, 5), (0, 4), (4, 8), (9, 11), (9, 10)]) == "xx xx xx xx"
     assert deident.masked(text, []) == text and deident.masked("a" * 9, [(2, 4), (2, 7), (3, 5)]) == "aaxxxxxaa"
+
+
+def test_back_off_takes_the_deepest_frequent_node(frame):
+    schema = "id int, pattern string, sent_pattern string, signed_label string, gt_label string"
+    rows = [(k, "p", "A<-B<-C", "x", "x") for k in range(3)] + [(3, "p", "A<-B<-D", "x", "y"), (4, "p", "A", "x", "-"), (5, "q", "A", "x", "x")]
+    instances = frame(rows, schema)
+    tree = patterns.pattern_tree(instances, min_freq=3)
+    nodes = {(r.depth, r.prefix): (r.n, r.accuracy) for r in tree.collect()}
+    assert nodes == {(0, ""): (5, 0.75), (1, "A"): (5, 0.75), (2, "A<-B"): (4, 0.75), (3, "A<-B<-C"): (3, 1.0)}
+    asked = frame([(10, "p", "A<-B<-C<-E"), (11, "p", "A<-X"), (12, "p", ""), (13, "q", "A"), (14, "r", "A")], "id int, pattern string, sent_pattern string")
+    got = {r.id: (r.depth, r.confidence) for r in patterns.back_off(asked, tree, key=["id"]).collect()}
+    assert got == {10: (3, 1.0), 11: (1, 0.75), 12: (0, 0.75), 13: (-1, -1.0), 14: (-1, -1.0)}
