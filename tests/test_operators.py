@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cohortmill import scale
 from cohortmill.functions import codes
 from cohortmill.functions import text as tx
-from cohortmill.operators import clusters, deident, filters, ontology, patterns, rules, search, sections, summary, textmine, validation
+from cohortmill.operators import clusters, deident, filters, learn, ontology, patterns, rules, search, sections, summary, textmine, validation
 from cohortmill.sources import config, readers, sinks
 
 
@@ -548,3 +548,39 @@ def test_back_off_takes_the_deepest_frequent_node(frame):
     asked = frame([(10, "p", "A<-B<-C<-E"), (11, "p", "A<-X"), (12, "p", ""), (13, "q", "A"), (14, "r", "A")], "id int, pattern string, sent_pattern string")
     got = {r.id: (r.depth, r.confidence) for r in patterns.back_off(asked, tree, key=["id"]).collect()}
     assert got == {10: (3, 1.0), 11: (1, 0.75), 12: (0, 0.75), 13: (-1, -1.0), 14: (-1, -1.0)}
+
+
+def test_all_folds_fitted_at_once_as_one_by_one(frame):
+    draw = random.Random(17)
+    rows = []
+    for k in range(120):
+        label = draw.choice(["posM", "negM", "hisM"])
+        common = {"posM": "has", "negM": "denies", "hisM": "had"}[label]
+        rows.append((k, [common] * draw.randint(0, 2) + [draw.choice("abcdef") for _ in range(draw.randint(0, 5))], label))
+    contexts = frame(rows, "id long, tokens array<string>, label string")
+    hashed = scale.cut(learn.hashed_contexts(contexts, folds=4, slots=32).repartition(5))
+    classes = ["hisM", "negM", "posM"]
+    got = learn.fit_folds(hashed, classes, folds=4, slots=32, rounds=6)
+    assert np.allclose(got, learn.fit_folds(hashed.coalesce(2), classes, folds=4, slots=32, rounds=6), atol=1e-6)
+    # one model after the other, on a dense matrix
+    local = hashed.collect()
+    x = np.zeros((len(local), 33))
+    x[:, -1] = 1
+    for k, r in enumerate(local):
+        place, count = np.unique(r.slots, return_counts=True)
+        place = place.astype(int)
+        x[k, place] = 1 + np.log(count)
+        x[k, :-1] /= np.linalg.norm(x[k, :-1]) or 1
+    y = np.eye(3)[[classes.index(r.label) for r in local]]
+    for fold in range(4):
+        seen = np.array([r.fold != fold for r in local])
+        w, v = np.zeros((3, 33)), 0.0
+        for _ in range(6):
+            p = np.exp(x[seen] @ w.T)
+            p /= p.sum(axis=1, keepdims=True)
+            v = 0.8 * v - 4.0 * ((p - y[seen]).T @ x[seen]) / seen.sum()
+            w = w + v
+        assert np.allclose(got[fold], w, atol=1e-6)
+    table = learn.cross_validate(contexts, folds=4, slots=64).collect()
+    assert sum(r.n for r in table) == 120 and all(r.accuracy > 0.5 for r in table)
+    assert learn.cross_validate(frame([], "id long, tokens array<string>, label string")).count() == 0
