@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortmill import scale
+from cohortmill.operators import rules
 
 
 def attach_patient(mentions: DataFrame, docs: DataFrame) -> DataFrame:
@@ -35,25 +36,36 @@ def study_mentions(mentions: DataFrame, closure: DataFrame) -> DataFrame:
     return mentions.join(scale.bounded_broadcast(pairs), "cui")
 
 
+def apart(sections: Column) -> Column:
+    """Whether each section of the array, by start, begins where the one before has ended, or behind."""
+    begin = F.struct(F.lit(None).cast("long").alias("last"), F.lit(True).alias("ok"))
+    step = lambda acc, s: F.struct(
+        s["end"].cast("long").alias("last"), (acc["ok"] & F.coalesce(s["start"] >= acc["last"], F.lit(True))).alias("ok")
+    )
+    return F.aggregate(sections, begin, step, lambda acc: acc["ok"])
+
+
 def mentions_in_sections(mentions: DataFrame, sections: DataFrame) -> DataFrame:
     """Mentions with the section they start in, behind its header.
 
     ``sections(doc_id, section, header_end, start, end)``. A document has fewer sections than
-    characters; they travel as one array per document.
+    characters; they travel as one array per document. Where they do not overlap, as parsed ones never do, the one
+    that holds a mention is found by halving.
     """
     item = F.struct("start", "end", "header_end", "section", "original_section")
     per_doc = sections.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("_secs"))
-    rows = scale.skew_join(mentions, scale.cut(per_doc), "doc_id")
-    inside = F.filter(
-        "_secs",
-        lambda s: (F.col("start_pos") >= s["header_end"]) & (F.col("start_pos") < s["end"]),
-    )
+    rows = scale.skew_join(mentions, scale.cut(per_doc.withColumn("_apart", apart(F.col("_secs")))), "doc_id")
+    at = F.col("start_pos")
+    holds = lambda s: (at >= s["header_end"]) & (at < s["end"])
+    # the first that ends behind the start of the mention
+    halved = F.get("_secs", rules.first_ending(F.col("_secs"), at + 1))
+    one_by_one = F.get(F.filter("_secs", holds), F.lit(0))
     return (
-        rows.withColumn("_sec", F.get(inside, F.lit(0)))
-        .where("_sec IS NOT NULL")
+        rows.withColumn("_sec", F.when(F.col("_apart"), halved).otherwise(one_by_one))
+        .where(holds(F.col("_sec")))
         .withColumn("section", F.col("_sec.section"))
         .withColumn("sec_start", F.col("_sec.start"))
-        .drop("_sec", "_secs")
+        .drop("_sec", "_secs", "_apart")
     )
 
 

@@ -219,7 +219,7 @@ def ends_in_order(sents: Column) -> Column:
     return F.aggregate(sents, begin, step, lambda acc: acc["ok"])
 
 
-def _first_ending(sents: Column, at: Column) -> Column:
+def first_ending(sents: Column, at: Column) -> Column:
     """Number of the first sentence that ends at or after a position, by halving."""
     begin = F.struct(F.lit(0).alias("low"), F.size(sents).alias("high"))
 
@@ -243,7 +243,7 @@ def sentence_index(sents: Column, start: Column, end: Column, in_order: Column)
     """
     every = F.transform(sents, lambda s, i: F.when(_overlap(s, start, end), i))
     one_by_one = F.get(F.filter(every, lambda i: i.isNotNull()), F.lit(0))
-    near = F.array(_first_ending(sents, start), _first_ending(sents, end))
+    near = F.array(first_ending(sents, start), first_ending(sents, end))
     halved = F.get(F.filter(near, lambda i: F.coalesce(_overlap(F.get(sents, i), start, end), F.lit(False))), F.lit(0))
     return F.when(in_order, halved).otherwise(one_by_one)
 

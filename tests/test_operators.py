@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cohortmill import scale
 from cohortmill.functions import codes
 from cohortmill.functions import text as tx
-from cohortmill.operators import clusters, deident, filters, learn, ontology, patterns, rules, search, sections, summary, textmine, validation
+from cohortmill.operators import clusters, deident, filters, joins, learn, ontology, patterns, rules, search, sections, summary, textmine, validation
 from cohortmill.sources import config, readers, sinks
 
 
@@ -584,3 +584,22 @@ def test_all_folds_fitted_at_once_as_one_by_one(frame):
     table = learn.cross_validate(contexts, folds=4, slots=64).collect()
     assert sum(r.n for r in table) == 120 and all(r.accuracy > 0.5 for r in table)
     assert learn.cross_validate(frame([], "id long, tokens array<string>, label string")).count() == 0
+
+
+def test_sections_of_mentions_by_halving_and_one_by_one(frame):
+    draw = random.Random(6)
+    apart, at = [], 0
+    for k in range(40):
+        start = at + draw.randint(0, 3)
+        header = start + draw.randint(0, 4)
+        at = header + draw.randint(1, 6)
+        apart.append((1, f"s{k}", f"S{k}", header, start, at))
+    nested = [(2, "a", "A", 2, 0, 50), (2, "b", "B", 12, 10, 20), (2, "c", "C", 22, 20, 90)]
+    schema = "doc_id long, section string, original_section string, header_end long, start long, end long"
+    mentions = [(doc, pos) for doc in (1, 2, 3) for pos in range(0, at + 5)]
+    got = joins.mentions_in_sections(frame(mentions, "doc_id long, start_pos long"), frame(apart + nested, schema))
+    want = []
+    for doc, pos in mentions:
+        held = [x[1] for x in sorted(apart + nested, key=lambda x: x[4]) if x[0] == doc and x[3] <= pos < x[5]]
+        want += [(doc, pos, held[0])] if held else []
+    assert sorted(tuple(r) for r in got.select("doc_id", "start_pos", "section").collect()) == sorted(want)
