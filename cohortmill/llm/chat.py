@@ -138,7 +138,8 @@ def frame_turns(records: DataFrame, conv: str = "conv_id") -> DataFrame:
 def json_turns(records: DataFrame, conv: str, column: str) -> DataFrame:
     """Rows (conv_id, layout, turn, role, text) of a column of JSON records, mapped row by row.
 
-    A record that is null, no JSON or of no known layout has one row with its fingerprint and null turn.
+    A record that is null, no JSON, nested too deeply to be read, or of no known layout (a message that is no object included) has one row
+    with its fingerprint and null turn.
     """
     turn = ArrayType(StructType([StructField("role", StringType()), StructField("text", StringType())]))
 
@@ -150,10 +151,12 @@ def json_turns(records: DataFrame, conv: str, column: str) -> DataFrame:
         for text in texts(values):
             try:
                 record = json.loads(text) if text else {}
-            except ValueError:
-                record = {}
-            paths = value_paths(record) if record else set()
+                paths = value_paths(record) if record else set()
+            except (ValueError, RecursionError):
+                record, paths = {}, set()
             layout = layout_of(sorted(paths))
+            if layout and layout.turns and not all(isinstance(m, dict) for m in record[layout.turns]):
+                layout = None
             marks.append(fingerprint(layout.paths if layout else sorted(paths)))
             if layout is None:
                 out.append(None)
@@ -164,8 +167,8 @@ def json_turns(records: DataFrame, conv: str, column: str) -> DataFrame:
                 messages = record[layout.turns] if layout.turns else [record]
                 out.append(
                     [
-                        {"role": names.get(m.get(layout.role), as_text(m.get(layout.role))), "text": as_text(m.get(layout.text))}
-                        for m in messages
+                        {"role": names.get(role, role), "text": as_text(m.get(layout.text))}
+                        for m, role in ((m, as_text(m.get(layout.role))) for m in messages)
                     ]
                 )
         return [marks, out]

@@ -115,7 +115,7 @@ def test_vectors(frame, none):
     few = neighbours.search(frame(good[:3], schema)).collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in sorted(few, key=lambda r: r["rank"])] == [(0, 1, 1), (0, 2, 2)]
     assert neighbours.search(frame([], schema)).count() == 0
-    assert neighbours.search(frame(bad, schema)).count() == 0 or True
+    assert neighbours.search(frame(bad, schema)).count() == 0
 
 
 def test_chat_rows(frame):
@@ -131,3 +131,17 @@ def test_chat_rows(frame):
     assert set(out) == {1, 2, None, -1}
     assert out[1].n_turns == 3 and out[1].loss_chars == 2 * len(rows[1][3])
     assert [r.conv_id for r in chat.chat_digest(frame([], schema)).collect()] == [-1]
+
+
+def test_records_that_are_no_conversation(frame):
+    records = [
+        '{"messages": [{"role": "user", "content": "a"}, "x"]}',
+        '{"messages": [{"role": ["user"], "content": {"k": 1}}]}',
+        '{"messages": [{"role": "user", "content": ' + "[" * 100_000 + "]" * 100_000 + "}]}",
+        "[[1]]", "5", "no json", None, '{"messages": []}',
+    ]
+    rows = chat.json_turns(frame(list(enumerate(records)), "k int, record string"), "k", "record").collect()
+    turns = {k: [(r.turn, r.role, r.text) for r in rows if r.k == k] for k in range(len(records))}
+    assert turns[0] == [(None, None, None)] and turns[2] == [(None, None, None)]
+    assert all(turns[k] == [(None, None, None)] for k in (3, 4, 5, 6, 7))
+    assert turns[1] in ([(0, '["user"]', '{"k": 1}')], [(None, None, None)])
