@@ -430,12 +430,25 @@ def patient_entities(t: Tables):
     return per_doc.join(docs, "pid")
 
 
-@query("patient_articles", "A26")
+@query(
+    "patient_articles", "A26",
+    """WITH a AS (SELECT doc_id, count(*) AS n, md5(string_agg(cui || ':' || start_pos || ':' || end_pos, ',' ORDER BY start_pos, end_pos, cui)) AS mark
+         FROM tmentions GROUP BY doc_id)
+       SELECT d.source AS pid, d.doc_id, md5(d.text) AS article, CAST(coalesce(a.n, 0) AS BIGINT) AS anns, a.mark
+       FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id""",
+)
 def patient_articles(t: Tables):
+    """The entities of all patients, unfolded: each article with the annotations of its document."""
     docs = t.text_docs.select("doc_id", "pid")
     mentions = t.text_mentions.withColumn("ruled_by", F.lit(None).cast("string"))
     articles = t.text_docs.select("pid", "doc_id", "text")
-    return summary.build_patient_entities(mentions, docs, articles)
+    entities = scale.cut(summary.build_patient_entities(mentions, docs, articles))
+    texts = entities.select("pid", F.inline("articles")).select("pid", "doc_id", F.md5("text").alias("article"))
+    places = F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", "cui")))
+    anns = entities.select("pid", F.inline("anns")).groupBy("pid", "doc_id").agg(F.count("*").alias("anns"), places.alias("places"))
+    mark = F.md5(F.array_join(F.transform("places", lambda p: F.concat_ws(":", p["cui"], p["start_pos"], p["end_pos"])), ","))
+    rows = texts.join(anns.withColumn("mark", mark).drop("places"), ["pid", "doc_id"], "left")
+    return rows.withColumn("anns", F.coalesce("anns", F.lit(0).cast("long")))
 
 
 @query(
