@@ -387,6 +387,33 @@ def test_long_conversations_come_in_pieces(frame, monkeypatch):
 # vectors
 
 
+def test_recall_on_the_embeddings(spark):
+    folder = "/root/testdata/sf0.1"
+    ids, x = zip(*duckdb.sql(f"SELECT vec_id, embedding FROM '{folder}/embeddings.parquet' ORDER BY vec_id").fetchall(), strict=True)
+    ids, x = np.array(ids), np.array(x, float)
+    found = {}
+    for r in queries()["op9_nearest"](spark, folder).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(found[ids[q]] & set(ids[np.lexsort((ids, -score))[:20]].tolist()))
+    assert hit >= 0.95 * 20 * len(found) and len(found) == (ids % 20 == 0).sum()
+
+
+def test_abandoned_candidates_are_beyond_the_bound():
+    draw = np.random.default_rng(2)
+    points, turned = draw.standard_normal((400, 40)).astype(np.float32), draw.standard_normal((30, 40)).astype(np.float32)
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    far = ((turned[:, None] - points[None]) ** 2).sum(axis=2)
+    bound = np.partition(far, 20, axis=1)[:, 20]
+    query, row = neighbours.survivors(points, turned, bound)
+    got = set(zip(query.tolist(), row.tolist(), strict=True))
+    want = {(q, r) for q in range(30) for r in np.flatnonzero(far[q] <= bound[q] * (1 - 1e-4)).tolist()}
+    assert len(want - got) <= 0.03 * len(want) and len(got) < 3 * len(want)
+
+
 @pytest.mark.parametrize("kind", ["clustered", "uneven lengths", "one point"])
 def test_recall(frame, monkeypatch, kind):
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 300)
