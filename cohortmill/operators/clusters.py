@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortmill import scale
 
-# rows of one cell that one task compares; larger cells are cut into blocks of this size
-BLOCK_ROWS = 1_000
+# rows of a block; a pair of blocks is compared at a time
+BLOCK_ROWS = 4_000
+# rows placed at a time, and pivots whose distances rule out pairs of blocks
+PLACED_ROWS, BOUNDS = 2_000, 64
 # a cell for so many points, up to the square root of their number
 CELL_POINTS = 100
 
@@ -57,25 +60,97 @@ def cells_of(x: np.ndarray, pivots: np.ndarray, eps: float, halo: str) -> tuple[
     return row, cell, cell == home[row]
 
 
-def _cells(points: DataFrame, pivots: np.ndarray, eps: float, *, halo: str) -> DataFrame:
-    """Points in the cell of their nearest pivot, and in each cell they can have partners in.
+def _chained(pivots: np.ndarray) -> np.ndarray:
+    """Pivots, each followed by the nearest one left, so that blocks over several cells stay close together."""
+    d = _distances(pivots, pivots)
+    order, left = [0], np.ones(len(pivots), bool)
+    left[0] = False
+    while left.any():
+        order.append(int(np.where(left, d[order[-1]], np.inf).argmin()) if np.isfinite(d[order[-1]][left]).any() else int(left.argmax()))
+        left[order[-1]] = False
+    return pivots[order]
 
-    A point whose distance to the plane between its pivot and another one exceeds ``eps`` has no
-    partner beyond that plane. ``halo`` is ``lower`` (only to cells of a lower number), ``all`` or ``none``.
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _packed(block: int, ids: np.ndarray, x: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+    """A block as one row; bounds are widened by what rounding can do, and open where a distance is no number."""
+    d = _distances(x, bounds)
+    slack = 1e-6 * (1.0 + np.sqrt(max((x * x).sum(1).max(), (bounds * bounds).sum(1).max())))
+    known = np.isfinite(d).all(0) & np.isfinite(slack)
+    low, high = np.where(known, d.min(0) - slack, -np.inf), np.where(known, d.max(0) + slack, np.inf)
+    columns = [pa.array([block]), pa.array([len(ids)]), *(pa.array([v.tobytes()], pa.binary()) for v in (ids, x)), pa.array([low]), pa.array([high])]
+    return pa.RecordBatch.from_arrays(columns, names=["blk", "n", "ids", "vecs", "low", "high"])
+
+
+def _blocks(points: DataFrame, pivots: np.ndarray, rows: int, block_rows: int) -> DataFrame:
+    """Points in blocks of at most ``block_rows``, cell by cell, each a row of packed ids and vectors.
+
+    ``low`` and ``high`` bound the distances of a block's points to the first pivots. Sorted points are streamed, so a task holds one
+    block and not a cell.
     """
+    centres = _chained(pivots) if len(pivots) else pivots
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PLACED_ROWS):
+                part = batch.slice(at, PLACED_ROWS)
+                _, cell, _ = cells_of(_matrix(part.column("vec")), centres, 0.0, "none")
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell, pa.int32())], names=["id", "vec", "cell"])
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, vecs = TaskContext.get().partitionId() << 32, [], []
         for batch in batches:
-            if batch.empty:
-                continue
-            row, cell, home = cells_of(np.array(batch["vec"].tolist(), dtype="float64"), pivots, eps, halo)
-            out = batch.iloc[row].copy()
-            out["cell"] = cell.astype("int32")
-            out["home"] = home
-            yield out
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, block_rows - sum(map(len, ids)))
+                ids.append(part.column("id").to_numpy())
+                vecs.append(_matrix(part.column("vec")))
+                at += part.num_rows
+                if sum(map(len, ids)) == block_rows:
+                    yield _packed(block, np.concatenate(ids), np.concatenate(vecs), pivots[:BOUNDS])
+                    block, ids, vecs = block + 1, [], []
+        if ids:
+            yield _packed(block, np.concatenate(ids), np.concatenate(vecs), pivots[:BOUNDS])
+
+    placed = points.select("id", "vec").mapInArrow(place, "id long, vec array<double>, cell int")
+    tasks = max(1, rows // (8 * block_rows))
+    ranged = placed.repartitionByRange(tasks, "cell", "id").sortWithinPartitions("cell", "id")
+    return scale.cut(ranged.mapInArrow(pack, "blk long, n long, ids binary, vecs binary, low array<double>, high array<double>"))
+
+
+def _compared(left: DataFrame, right: DataFrame, eps: float, compare: Callable[..., pa.Table], schema: str) -> DataFrame:
+    """``compare(ids, vectors, ids, vectors, same)`` of all pairs of blocks that can have points within ``eps``.
+
+    Two blocks whose distances to one pivot are more than ``eps`` apart have none, by the triangle inequality. The others meet as two packed
+    rows, so what a task holds does not grow with the points. If both sides are one, a pair of blocks is taken once.
+    """
+    one = left is right
+    ours = left.select(F.col("blk").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"))
+    theirs = right.select(F.col("blk").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    apart = lambda low, high: F.exists(F.zip_with(low, high, lambda x, y: x - y > eps), lambda far: far)
+    # one row per block without its points
+    pairs = ours.join(F.broadcast(theirs), ~apart("la", "hb") & ~apart("lb", "ha")).select("a", "b")
+    pairs = scale.cut(pairs.where("a <= b") if one else pairs)
+    side = lambda df, x: df.select(
+        F.col("blk").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "ids", "vecs"))
+    ).hint("shuffle_hash")
+
+    def unpacked(batch: pa.RecordBatch, r: int, x: str) -> tuple[np.ndarray, np.ndarray]:
+        values = [np.frombuffer(batch.column(f"{c}_{x}")[r].as_buffer(), kind) for c, kind in (("ids", np.int64), ("vecs", np.float64))]
+        return values[0], values[1].reshape(len(values[0]), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            for r in range(batch.num_rows):
+                found = compare(*unpacked(batch, r, "a"), *unpacked(batch, r, "b"), one and a[r] == b[r])
+                yield from found.to_batches()
 
-    schema = "id long, vec array<double>, cell int, home boolean"
-    return points.select("id", "vec").mapInPandas(place, schema)
+    return pairs.join(side(left, "a"), "a").join(side(right, "b"), "b").mapInArrow(run, schema)
 
 
 def _within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
@@ -115,35 +190,21 @@ def _forest(
 def eps_edges(points: DataFrame, eps: float, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """A spanning set of edges ``(src, dst)`` of the graph of points within ``eps``.
 
-    A pair is compared in one cell only: in the lower of its two home cells, where one of them is at home. Cells larger
-    than a block are cut into blocks, and pairs of blocks are separate tasks, so no task grows with a cell. Each task
-    returns connecting edges only, never all pairs.
+    Points stand in blocks by the nearest pivot, and pairs of blocks that can have partners are compared (:func:`_compared`). A pair of
+    blocks returns connecting edges only, never all pairs.
     """
     rows = points.count()
-    placed = scale.cut(_cells(points, choose_pivots(points, rows), eps, halo="lower"))
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    # one row per cell, and the cells are about the square root of the rows
-    blocked = placed.join(F.broadcast(sizes), "cell").withColumn(
-        "blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    )
-    tasks = blocked.select(
-        "cell", "id", "vec", "home", "blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select(
-        "cell", F.least("blk", "other").alias("a"), F.greatest("blk", "other").alias("b"), "id", "vec", "home", "blk"
-    )
+    blocks = _blocks(points, choose_pivots(points, rows), rows, block_rows)
 
-    def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        _, a, b = key
-        x = np.array(part["vec"].tolist(), dtype="float64")
-        ids, blk, home = part["id"].to_numpy(), part["blk"].to_numpy(), part["home"].to_numpy()
-        group = np.arange(len(x))
-        # pairs of two guests meet where one of them is at home
-        edges = _forest(x, ids, group, (blk == a) & home, blk == b, eps)
-        if a != b:
-            edges += _forest(x, ids, group, (blk == b) & home, (blk == a) & ~home, eps)
-        return pd.DataFrame(edges, columns=["src", "dst"], dtype="int64")
+    def compare(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, same: bool) -> pa.Table:
+        if not same:
+            ids, x = np.concatenate([ids, others]), np.concatenate([x, y])
+        left = np.arange(len(ids)) < len(ids) - (0 if same else len(others))
+        edges = _forest(x, ids, np.arange(len(ids)), left, left if same else ~left, eps)
+        src, dst = np.array(edges, np.int64).reshape(-1, 2).T
+        return pa.table({"src": src, "dst": dst})
 
-    return tasks.groupBy("cell", "a", "b").applyInPandas(compare, "src long, dst long")
+    return _compared(blocks, blocks, eps, compare, "src long, dst long")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -189,12 +250,12 @@ def density_clusters(vectors: DataFrame, eps: float, *, block_rows: int = BLOCK_
     typed = vectors.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
     copies = typed.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     reps = scale.cut(copies)
-    points = reps.select(F.col("rep").alias("id"), "vec")
+    points = reps.where("vec IS NOT NULL").select(F.col("rep").alias("id"), "vec")
     parts = connected_components(eps_edges(points, eps, block_rows=block_rows)).withColumnRenamed("id", "rep")
     own = reps.join(parts, "rep", "left").select(
         "vec", F.when(F.col("component").isNull() & (F.col("n") > 1), F.col("rep")).otherwise(F.col("component")).alias("cluster")
     )
-    return typed.join(own, "vec").select("id", "cluster")
+    return typed.join(own.where("vec IS NOT NULL"), "vec", "left").select("id", "cluster")
 
 
 def assign_clusters(points: DataFrame, cores: DataFrame, eps: float, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -204,45 +265,33 @@ def assign_clusters(points: DataFrame, cores: DataFrame, eps: float, *, block_ro
     """
     new = points.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
     old = cores.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-    pivots = choose_pivots(old, old.count())
-    placed = scale.cut(_cells(old, pivots, eps, halo="none"))
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    sizes = F.broadcast(sizes)
-    blocked = placed.join(sizes, "cell").select(
-        "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("blk"), "id", "vec", F.lit(True).alias("core"), F.lit(0).alias("part")
-    )
-    # new points meet every block of each cell in reach, in parts of a bounded size
-    there = _cells(new, pivots, eps, halo="all").join(sizes, "cell")
-    asked = there.select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"), "id", "vec", F.lit(False).alias("core")
-    )
-    load = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
-    load = F.broadcast(load)
-    asked = asked.join(load, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    held = blocked.drop("part").join(load, "cell").withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    )
-    columns = ["cell", "blk", "part", "id", "vec", "core"]
+    old, new = scale.cut(old), scale.cut(new)
+    known, asked = old.where("vec IS NOT NULL"), new.where("vec IS NOT NULL")
+    rows = known.count()
+    pivots = choose_pivots(known, rows)
 
-    def nearest(part: pd.DataFrame) -> pd.DataFrame:
-        core, ask = part[part["core"]], part[~part["core"]]
+    def nearest(ids: np.ndarray, x: np.ndarray, cores: np.ndarray, y: np.ndarray, _: bool) -> pa.Table:
         found = []
-        if len(core) and len(ask):
-            core = core.sort_values("id")
-            y = np.array(core["vec"].tolist(), dtype="float64")
-            ids = core["id"].to_numpy()
-            for pid, vec in zip(ask["id"], ask["vec"]):
-                d = _exact(np.asarray(vec, dtype="float64"), y)
-                at = int(d.argmin())
-                if d[at] < eps:
-                    found.append((int(pid), float(d[at]), int(ids[at])))
-        out = pd.DataFrame(found, columns=["id", "dist", "core"])
-        return out.astype({"id": "int64", "dist": "float64", "core": "int64"})
-
+        square = (y * y).sum(1)
+        for at in range(0, len(x), 256):
+            part = x[at : at + 256]
+            own = (part * part).sum(1)[:, None]
+            about = own + square[None, :] - 2.0 * (part @ y.T)
+            # all that may be nearest for rounding, and near enough, are measured exactly
+            doubt = 1e-11 * (own + square[None, :]) + 1e-300
+            least = (about + doubt).min(1, initial=np.inf)[:, None]
+            row, core = np.nonzero((about - doubt <= least) & (about - doubt <= eps * eps))
+            exact = _exact(part[row], y[core])
+            order = np.lexsort((cores[core], exact, row))
+            first = order[np.diff(row[order], prepend=-1) > 0]
+            first = first[exact[first] < eps]
+            found.append((ids[at + row[first]], exact[first], cores[core[first]]))
+        columns = [np.concatenate(c) for c in zip(*found)]
+        return pa.table(dict(zip(["id", "dist", "core"], columns)))
+
+    blocks = _blocks(known, pivots, rows, block_rows)
     best = (
-        asked.select(*columns).unionByName(held.select(*columns))
-        .groupBy("cell", "blk", "part")
-        .applyInPandas(nearest, "id long, dist double, core long")
+        _compared(_blocks(asked, pivots, asked.count(), block_rows), blocks, eps, nearest, "id long, dist double, core long")
         .groupBy("id")
         .agg(F.min(F.struct("dist", "core")).alias("b"))
         .select("id", F.col("b.core").alias("core_id"))
