@@ -182,8 +182,10 @@ def first_numbers(t: Tables):
        FROM tmentions m JOIN documents d ON m.doc_id = d.doc_id""",
 )
 def cut_off_positions(t: Tables):
-    rows = t.text_mentions.join(t.text_docs.select("doc_id", "text"), "doc_id")
-    behind = tx.at_or_after_anchor("text", F.col("start_pos"), "With")
+    # the anchor is looked for once per text, and no text is joined to mentions
+    anchors = t.text_docs.select("doc_id", tx.anchor_position("text", "With").alias("anchor"))
+    rows = t.text_mentions.join(anchors, "doc_id")
+    behind = tx.at_or_after("anchor", F.col("start_pos"))
     return rows.select("doc_id", "cui", F.col("start_pos").cast("long").alias("start_pos"), behind.alias("behind"))
 
 
