@@ -74,7 +74,8 @@ class Processing:
         log = self.log(spark)
         if n <= log.last()[0]:
             return
-        docs = scale.cut(docs)
+        # a batch may be one file, which few tasks read, and tagging is heavy
+        docs = scale.cut(docs.repartition(max(docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)))
         # judged mentions are read by the store only
         judged = self.judge(scale.cut(self.annotate(docs)), docs)
         owners = docs.select("doc_id", self.key)
