@@ -53,7 +53,8 @@ def annotation_files(t: Tables):
     folder = scale.job_folder(t.spark, "annotations")
     ann = t.mentions.select(F.floor(F.col("doc_id") / 500).alias("file"), annotation_struct().alias("ann"))
     whole = ann.groupBy("file").agg(F.to_json(F.struct(F.array(F.collect_list("ann")).alias("annotations"))).alias("value"))
-    whole.repartition("file").write.partitionBy("file").text(folder)
+    # a group is one row and so one file already; the annotation format repeats its names, so files are packed
+    whole.write.partitionBy("file").option("compression", "gzip").text(folder)
     parsed = readers.read_annotation_files(t.spark, f"{folder}/*", key=r"file=(\d+)/")
     rows = readers.concept_mentions(parsed)
     counted = rows.groupBy(F.col("doc_id").cast("long").alias("file")).agg(F.count(F.lit(1)).alias("n"), F.sum("start_pos").alias("s"))
