@@ -424,10 +424,11 @@ def merge_patient_results(t: Tables):
 def patient_entities(t: Tables):
     entities = summary.build_patient_entities(t.mentions, t.docs)
     flat = entities.select("pid", F.explode("anns").alias("a"))
-    seen = flat.groupBy("pid", "a.doc_id", "a.ctx_id").agg(F.count("*").alias("n"))
-    per_doc = seen.groupBy("pid").agg(F.sum("n").alias("anns"), F.count_distinct("ctx_id").alias("concepts"))
-    docs = seen.groupBy("pid").agg(F.count_distinct("doc_id").alias("docs"))
-    return per_doc.join(docs, "pid")
+    # counted by each key alone, so that no row travels with both
+    seen = flat.groupBy("pid", "a.ctx_id").agg(F.count("*").alias("n"))
+    per_concept = seen.groupBy("pid").agg(F.sum("n").alias("anns"), F.count("ctx_id").alias("concepts"))
+    docs = flat.select("pid", "a.doc_id").distinct().groupBy("pid").agg(F.count("doc_id").alias("docs"))
+    return per_concept.join(docs, "pid")
 
 
 @query(

@@ -279,8 +279,13 @@ def build_patient_entities(
     if articles is not None:
         arts = articles.select("pid", F.struct("doc_id", "text").alias("article"))
         rows = rows.unionByName(arts.withColumn("ann", F.lit(None)), allowMissingColumns=True)
-    text_bytes = F.coalesce(F.octet_length("article.text"), F.lit(0)).cast("long")
-    sizes = rows.groupBy("pid").agg(F.count("*").alias("_n"), F.sum(text_bytes).alias("_bytes"))
+    # counted by document before a patient is looked up
+    per_doc = mentions.groupBy("doc_id").agg(F.count("*").alias("_n"))
+    counted = joins.attach_patient(scale.cut(per_doc), docs).select("pid", "_n", F.lit(0).cast("long").alias("_bytes"))
+    if articles is not None:
+        text_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+        counted = counted.unionByName(articles.select("pid", F.lit(1).cast("long").alias("_n"), text_bytes.alias("_bytes")))
+    sizes = counted.groupBy("pid").agg(F.sum("_n").alias("_n"), F.sum("_bytes").alias("_bytes"))
     parts = F.greatest(F.ceil(F.col("_n") / part_rows), F.ceil(F.col("_bytes") / part_bytes))
     # written, so that the join may split a patient with very many rows
     large = scale.cut(sizes.select("pid", parts.alias("_parts")).where("_parts > 1"))
