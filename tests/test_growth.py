@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortmill import scale
 from cohortmill.functions import text as tx
-from cohortmill.operators import clusters, learn, patterns, search
+from cohortmill.operators import clusters, learn, ontology, patterns, search
 
 
 def test_postings_of_a_batch_come_in_slices(monkeypatch):
@@ -63,3 +63,18 @@ def test_rows_are_weighed_before_the_rounds(frame):
     got = learn.weighted_rows(rows).orderBy("fold").collect()
     assert [r.places for r in got] == [[1, 3], [], []] and np.isclose(sum(w * w for w in got[0].weights), 1)
     assert learn.weighted_rows(rows).select(F.size("weights").alias("n")).agg(F.sum("n")).first()[0] == 2
+
+
+def test_no_round_of_a_closure_is_broadcast(frame, monkeypatch):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    plans = []
+    monkeypatch.setattr(scale, "cut", lambda df, real=scale.cut: plans.append(plan(df)) or real(df))
+    # two ways to d, and a cycle
+    edges = frame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "b")], "parent string, child string")
+    reach = ontology.closure_in_rounds(frame([(c, c) for c in "abe"], "root string, cui string"), edges, keys=["root"])
+    best = ontology.richest_closure(frame([("s", "b"), ("s", "a"), ("t", "e"), ("t", "x")], "term string, cui string"), reach)
+    assert len(plans) > 4 and not [p for p in [*plans, plan(best)] if "Broadcast" in p]
+    assert sorted("".join(r) for r in reach.collect()) == ["aa", "ab", "ac", "ad", "bb", "bd", "ee"]
+    assert sorted(map(tuple, best.collect())) == [("s", "a", 4), ("t", "e", 1)]
