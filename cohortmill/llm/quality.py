@@ -14,6 +14,7 @@ read, or handed on by :func:`kept`.
 from __future__ import annotations
 
 import itertools
+import operator
 import re
 import zlib
 from collections import Counter
@@ -53,27 +54,43 @@ SHAPE = bytes(
     for c in range(256)
 )
 MARKS = bytes(32 if c in b" \t\r\n\f\v" else 97 if c in ORDINARY else 120 for c in range(256))
-DOUBLED = re.compile(rb"([^\s\w\x80-\xff.])\1")
+SPACES = b" \t\r\n\f\v"
+#: Marks that may stand around a word.
+AROUND = b".,;:'\"?!()-*#$%&|"
+ODD = re.compile(rb"x[^ ]*")
+#: Whether a byte is a mark that may come in pairs.
+PAIRED = np.array([re.fullmatch(rb"[^\s\w\x80-\xff.]", bytes([c])) is not None for c in range(256)])
+#: The checksum goes on from what stands before the name of a shape.
+SHAPE_CRC = zlib.crc32(b"shape:")
+#: Beginnings of insults, tried first.
+HEAD = min(map(len, INSULTS))
+HEADS = frozenset(w[:HEAD] for w in INSULTS)
 LETTERS_UP, LETTERS_LOW = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 
 
 class Facts:
-    """What labellers and features are made from, of one text."""
+    """What labellers and features are made from, of one text. Steps over all words or bytes run outside of the interpreter's loops."""
 
     def __init__(self, text: bytes | None):
         text = text or b""
         self.text = text
         self.words = text.lower().split()
         self.n = len(self.words)
-        self.counts = Counter(w.strip(b".,;:'\"?!()-*#$%&|") for w in self.words)
+        self.counts = Counter(map(bytes.strip, self.words, itertools.repeat(AROUND)))
         self.counts.pop(b"", None)
+        insults = [w for w in self.counts if w[:HEAD] in HEADS and w.startswith(INSULTS)]
+        self.insults = sum(self.counts[w] for w in insults)
+        self.insult_kinds = len(insults)
         size = max(1, len(text))
-        self.symbols = len(text.translate(None, ORDINARY)) / size
-        self.odd = sum(b"x" in w for w in text.translate(MARKS).split()) / max(1, self.n)
-        self.doubled = sum(1 for _ in DOUBLED.finditer(text)) / max(1, self.n)
-        same = [a == b for a, b in itertools.pairwise(self.words)]
-        self.stutter = sum(same) / max(1, self.n)
-        self.triple = sum(a and b for a, b in itertools.pairwise(same)) / max(1, self.n)
+        odd = len(text.translate(None, ORDINARY))
+        self.symbols = odd / size
+        # a word counts from its first odd character on, once
+        self.odd = len(ODD.findall(text.translate(MARKS))) / max(1, self.n) if odd else 0.0
+        self.doubled = doubled(text) / max(1, self.n)
+        same = list(map(operator.eq, self.words, itertools.islice(self.words, 1, None)))
+        stutter = sum(same)
+        self.stutter = stutter / max(1, self.n)
+        self.triple = sum(map(operator.and_, same, itertools.islice(same, 1, None))) / max(1, self.n) if stutter > 1 else 0.0
         up = len(text) - len(text.translate(None, LETTERS_UP))
         low = len(text) - len(text.translate(None, LETTERS_LOW))
         self.upper = up / max(1, up + low)
@@ -81,10 +98,19 @@ class Facts:
         self.distinct = len(self.counts) / max(1, self.n)
         lines = [x for x in text.split(b"\n") if x.strip()]
         self.repeated = 1 - len(set(lines)) / max(1, len(lines))
-        self.function = sum(self.counts[w] for w in FUNCTION_WORDS if w in self.counts) / max(1, self.n)
-        self.mean = sum(map(len, self.words)) / max(1, self.n)
-        self.insults = sum(c for w, c in self.counts.items() if w.startswith(INSULTS))
-        self.insult_kinds = sum(w.startswith(INSULTS) for w in self.counts)
+        self.function = sum(self.counts[w] for w in FUNCTION_WORDS & self.counts.keys()) / max(1, self.n)
+        self.mean = len(text.translate(None, SPACES)) / max(1, self.n)
+
+
+def doubled(text: bytes) -> int:
+    """Number of disjoint pairs of an equal mark: half of the length of each of its runs."""
+    data = np.frombuffer(text, np.uint8)
+    at = np.flatnonzero((data[1:] == data[:-1]) & PAIRED[data[1:]])
+    if not len(at):
+        return 0
+    # pairs that overlap stand in one run, one after the other
+    starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    return int(((np.diff(starts, append=len(at)) + 1) // 2).sum())
 
 
 def vote(bad: bool, good: bool) -> int:
@@ -127,21 +153,22 @@ def features(facts: Facts, task: str) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values of a text's hashed features."""
     if task == "toxic":
         # presence of words, so that length does not thin them out
-        slots = {zlib.crc32(w) % SLOTS for w in facts.counts}
+        slots = set((np.fromiter(map(zlib.crc32, facts.counts), np.int64, len(facts.counts)) % SLOTS).tolist())
         return np.fromiter(slots, np.int32, len(slots)), np.ones(len(slots), np.float32)
     shapes = np.frombuffer(facts.text.translate(SHAPE), np.uint8)
     if len(shapes):
         shapes = shapes[np.concatenate(([True], shapes[1:] != shapes[:-1]))]
     found = Counter(shapes.tobytes().split())
     whole = max(1, sum(found.values()))
-    named = {b"shape:" + s: 4 * c / whole for s, c in found.items()}
     bins = {
         "symbols": facts.symbols * 50, "upper": facts.upper * 10, "top": facts.top * 20, "distinct": facts.distinct * 20,
         "repeated": facts.repeated * 10, "stutter": facts.stutter * 20, "function": facts.function * 20, "mean": facts.mean, "size": np.log2(1 + facts.n),
     }
-    named |= {f"bin:{k}:{int(min(v, 40))}".encode(): 1.0 for k, v in bins.items()}
-    slots = [zlib.crc32(k) % SLOTS for k in named]
-    return np.array(slots, np.int32), np.array(list(named.values()), np.float32)
+    slots = [zlib.crc32(s, SHAPE_CRC) % SLOTS for s in found]
+    slots += [zlib.crc32(f"bin:{k}:{int(min(v, 40))}".encode()) % SLOTS for k, v in bins.items()]
+    values = np.ones(len(slots), np.float32)
+    values[: len(found)] = 4 * np.fromiter(found.values(), np.int64, len(found)) / whole
+    return np.array(slots, np.int32), values
 
 
 def posteriors(counts: dict[int, int], labellers: int) -> dict[int, float]:
