@@ -3,9 +3,12 @@
 import random
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from cohortmill import scale
+from cohortmill.catalog import events
+from cohortmill.sources.tables import Tables
 from cohortmill.streaming import incremental
 from cohortmill.streaming.processing import Processing
 from cohortmill.streaming.store import KeyedStore, part_of, sources_of
@@ -126,3 +129,43 @@ def test_known_concepts_are_state_of_the_stream(spark, frame):
     assert sorted(r.ctx_id for r in spark.read.parquet(sink).collect()) == ["a", "b", "c0", "c1", "c2"]
     state = spark.read.format("statestore").load(checkpoint)
     assert state.count() == 5
+
+
+@pytest.fixture
+def few_documents(spark, frame, tmp_path, monkeypatch):
+    """Tables of documents that are dealt to all batches, which are logged but not annotated here; ``Processing.lost`` are not logged."""
+
+    def batch(self, docs, n):
+        if n in self.broken:
+            raise OSError(f"batch {n} is lost")
+        if n > self.log(spark).last()[0]:
+            self.before_log(n)
+            counted = docs.groupBy("pid").agg(F.count("*").alias("docs"))
+            counted.write.mode("overwrite").parquet(incremental.batch_folder(f"{self.path}/summary", n))
+            if n not in self.lost:
+                self.log(spark).add((n, str(n), docs.count(), 0, 0))
+
+    monkeypatch.setattr(Processing, "batch", batch)
+    monkeypatch.setattr(Processing, "broken", (), raising=False)
+    monkeypatch.setattr(Processing, "lost", (), raising=False)
+    rows = [(k, f"s{k}", "en", "of the thatin", 13) for k in range(40)]
+    frame(rows, "doc_id long, source string, lang string, text string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    return Tables(spark, str(tmp_path))
+
+
+def test_the_planned_failure_leaves_a_whole_summary(few_documents):
+    assert sorted(r.pid for r in events.incremental_run(few_documents).collect()) == sorted(f"s{k}" for k in range(40))
+
+
+@pytest.mark.parametrize("at", [1, 4])
+def test_another_failure_is_no_result(few_documents, monkeypatch, at):
+    # batch 4 comes in the second run, behind the planned failure
+    monkeypatch.setattr(Processing, "broken", (at,))
+    with pytest.raises(StreamingQueryException, match=f"batch {at} is lost"):
+        events.incremental_run(few_documents)
+
+
+def test_documents_that_no_batch_has_logged_are_no_result(few_documents, monkeypatch):
+    monkeypatch.setattr(Processing, "lost", (5,))
+    with pytest.raises(RuntimeError, match="documents were processed"):
+        events.incremental_run(few_documents)
