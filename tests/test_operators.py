@@ -603,3 +603,41 @@ def test_sections_of_mentions_by_halving_and_one_by_one(frame):
         held = [x[1] for x in sorted(apart + nested, key=lambda x: x[4]) if x[0] == doc and x[3] <= pos < x[5]]
         want += [(doc, pos, held[0])] if held else []
     assert sorted(tuple(r) for r in got.select("doc_id", "start_pos", "section").collect()) == sorted(want)
+
+
+def test_sentences_of_odd_texts_keep_their_offsets(spark, frame):
+    draw = random.Random(3)
+    texts = ["", "...", " \n\t.", "ab. " * 127, "ab. " * 128 + " . ", "ab. " * 300, "a " * 200 + "\n" * 500]
+    texts += ["".join(draw.choice("aé日 .\n\t\x0b\x0c\r\x1c\x85\xa0") for _ in range(draw.randrange(60))) for _ in range(300)]
+    got = frame(list(enumerate(texts)) + [(-1, None)], "id int, text string").select("id", tx.sentence_spans("text").alias("s"), tx.word_spans("text").alias("w"))
+    for r in got.collect():
+        text = texts[r.id] if r.id >= 0 else ""
+        want = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^.\n \t\x0b\x0c\r][^.\n]*\.?", text)]
+        assert [tuple(x) for x in r.s] == want
+        assert [tuple(x) for x in r.w] == [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\W_]+", text)]
+
+
+def test_words_are_worked_out_for_the_asked_sentences_only(spark, frame):
+    docs = frame([(1, "One of two. - . Three of four."), (2, "Five"), (1, "One of two")], "doc_id long, text string")
+    tags = frame([("of", "ADP")], "token string, tag string")
+    only = frame([(1, 0), (1, 1), (2, 0), (3, 0)], "doc_id long, sent_no int")
+    tagged = patterns.tagged_sentences(docs, tags, only=only)
+    plan = tagged._jdf.queryExecution().optimizedPlan().toString()
+    # not in a filter, which stands before the join
+    filters_of_plan = [line for line in plan.split("\n") if line.lstrip(" :+-").startswith("Filter ")]
+    assert filters_of_plan and not any("split(" in line for line in filters_of_plan)
+    got = {(r.doc_id, r.sent_no): (r.toks, r.tags, r.run_tags, r.run_starts) for r in tagged.collect()}
+    n, a = "NOUN", "ADP"
+    assert got == {
+        (1, 0): (["One", "One", "of", "of", "two", "two"], [n, n, a, a, n, n], [n, a, n], [0, 2, 4]),
+        (2, 0): (["Five"], [n], [n], [0]),
+    }
+
+
+def test_a_sentence_without_a_first_word_is_not_taken_apart(frame):
+    docs = frame([(1, "Soft OF THE. Nothing here. Kelvin of"), (2, None)], "doc_id long, text string")
+    schema = "term string, cui string, sty string, pref string"
+    hits = textmine.dictionary_annotate(docs, frame([("of the", "C1", "", ""), ("of", "C2", "", ""), ("kelvin", "C3", "", "")], schema))
+    assert sorted((r.cui, r.start_pos) for r in hits.collect()) == [("C1", 5), ("C2", 34), ("C3", 27)]
+    runs = textmine.term_runs(docs, frame([("of", "C2", "", "")], schema))
+    assert "Contains(lower(" in runs._jdf.queryExecution().optimizedPlan().toString()
